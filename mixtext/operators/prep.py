@@ -108,17 +108,22 @@ def stratified_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, labe
     outside it are assigned map-only, and only the boundary bucket (about 1/65,536 of
     a class) is ranked. When the smallest class has fewer than 2 rows the split falls
     back to one unstratified stratum, as the reference does.
+
+    ``df`` is read three times (histogram, decided rows, boundary rows): pass a
+    materialized table, not a long lineage.
     """
     h = _split_hash(seed, F.col("row_id"))
     keyed = df.withColumn("_h", h).withColumn(
         "_b", F.conv(F.substring("_h", 1, SPLIT_BUCKET_HEX), 16, 10).cast("int")
     )
+    # (class, bucket) histogram: at most 65,536 x k rows, reused for the decision below
+    hist = keyed.groupBy(F.col(label).alias("_s"), "_b").agg(F.count(F.lit(1)).alias("_cnt")).cache()
     if stratify is None:
-        smallest = keyed.groupBy(label).count().agg(F.min("count")).first()[0]  # k-sized
+        smallest = hist.groupBy("_s").agg(F.sum("_cnt").alias("n")).agg(F.min("n")).first()[0]  # k-sized
         stratify = smallest is not None and smallest >= 2
-    stratum = F.col(label) if stratify else F.lit("")
-    keyed = keyed.withColumn("_s", stratum)
-    hist = keyed.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    if not stratify:
+        hist = hist.groupBy(F.lit("").alias("_s"), "_b").agg(F.sum("_cnt").alias("_cnt"))
+    keyed = keyed.withColumn("_s", F.col(label) if stratify else F.lit(""))
     counts = hist.groupBy("_s").agg(F.sum("_cnt").alias("n"))
     quotas = class_quotas(counts, test_size, label="_s")
     run = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -126,7 +131,7 @@ def stratified_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, labe
     boundary = cum.join(quotas, "_s").where(
         (F.col("_before") < F.col("test_quota")) & (F.col("_incl") >= F.col("test_quota"))
     ).select("_s", F.col("_b").alias("_bstar"), (F.col("test_quota") - F.col("_before")).alias("_need"))
-    # one row per stratum: broadcast is bounded by the number of classes
+    # one row per class: the broadcast is bounded by the number of classes
     marked = keyed.join(F.broadcast(boundary), "_s", "left")
     side = (
         F.when(F.col("_bstar").isNull(), F.lit("train"))

@@ -28,4 +28,4 @@ def load_all() -> None:
         importlib.import_module(f"mixtext.plans.{name}")
 
 
-MODULES = ["q_prep"]
+MODULES = ["q_prep", "q_scoring"]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixtext.operators import prep
-from mixtext.session import read_table
+from mixtext.session import materialize, read_table
 
 TEST_SIZE = 0.2
 SEED = 42
@@ -33,7 +33,10 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split(spark: SparkSession, sf_dir: str, test_size: float = TEST_SIZE, seed: int = SEED) -> DataFrame:
-    return prep.stratified_split(prepared(spark, sf_dir), test_size=test_size, seed=seed)
+    """Prepared rows with their split; the prepared table is written once to the shared
+    folder so the split's passes read files, not the cleaning lineage."""
+    table = materialize(prepared(spark, sf_dir), "prepared")
+    return prep.stratified_split(table, test_size=test_size, seed=seed)
 
 
 def test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,3 +45,16 @@ def test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def train_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split(spark, sf_dir).where(F.col("split") == "train").drop("split")
+
+
+def predictions(spark: SparkSession, sf_dir: str, model=None) -> DataFrame:
+    """Test split scored by ``model`` (default: the frozen function-word scorer)."""
+    from mixtext.operators.scoring import function_word_scorer, score
+
+    model = model or function_word_scorer()
+    return score(test_rows(spark, sf_dir), model)
+
+
+def r6(c):
+    """Round a derived double to 6 places for engine-independent comparison."""
+    return F.round(c, 6)

@@ -84,8 +84,8 @@ W1 = """w1 AS (
 
 
 def split_ctes(source: str = "w1", test_size: float = 0.2, seed: int = 42) -> str:
-    return f"""cls AS (SELECT label, count(*) AS n FROM {source} GROUP BY label),
-strat AS (SELECT s.*, CASE WHEN (SELECT min(n) FROM cls) >= 2 THEN s.label ELSE '' END AS stratum FROM {source} s),
+    return f"""labcnt AS (SELECT label, count(*) AS n FROM {source} GROUP BY label),
+strat AS (SELECT s.*, CASE WHEN (SELECT min(n) FROM labcnt) >= 2 THEN s.label ELSE '' END AS stratum FROM {source} s),
 counts AS (SELECT stratum, count(*) AS n FROM strat GROUP BY stratum),
 q0 AS (SELECT stratum, n, sum(n) OVER () AS total,
               CAST(ceil(CAST({test_size} AS DOUBLE) * sum(n) OVER ()) AS BIGINT) AS n_test FROM counts),
@@ -107,3 +107,53 @@ SPLIT = PREPARED + ",\n" + split_ctes()
 
 def with_(ctes: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
+
+
+# ---------------------------------------------------------------------------
+# Frozen scorer replay (test split -> predictions)
+# ---------------------------------------------------------------------------
+def scorer_ctes(weights: dict[str, dict[str, int]], prefix: str = "", source: str = "split") -> str:
+    classes = sorted({c for by in weights.values() for c in by})
+    rows = ", ".join(f"({q(t)}, {q(c)}, {w})" for t, by in sorted(weights.items()) for c, w in sorted(by.items()))
+    cls_rows = ", ".join(f"({q(c)}, {i})" for i, c in enumerate(classes))
+    p = prefix
+    return f"""{p}test AS (SELECT row_id, original_text, text, label FROM {source} WHERE split = 'test'),
+{p}sc AS (SELECT * FROM (VALUES {rows}) v(term, cls, w)),
+{p}cls AS (SELECT * FROM (VALUES {cls_rows}) v(cls, idx)),
+{p}ct AS (SELECT row_id, {clean('text')} AS cleaned_text FROM {p}test),
+{p}tk AS (SELECT row_id, unnest({tokens('cleaned_text')}) AS term FROM {p}ct),
+{p}z0 AS (SELECT tk.row_id, sc.cls, sum(sc.w) AS z FROM {p}tk tk JOIN {p}sc sc USING (term) GROUP BY 1, 2),
+{p}zz AS (SELECT ct.row_id, c.cls, c.idx, coalesce(z0.z, 0) AS z
+          FROM {p}ct ct CROSS JOIN {p}cls c LEFT JOIN {p}z0 z0 ON z0.row_id = ct.row_id AND z0.cls = c.cls),
+{p}ez AS (SELECT *, exp(z - max(z) OVER (PARTITION BY row_id)) AS e FROM {p}zz),
+{p}prob AS (SELECT row_id, cls, idx, z, e / sum(e) OVER (PARTITION BY row_id) AS p FROM {p}ez),
+{p}top AS (SELECT row_id, cls AS predicted_label, p AS confidence
+           FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY z DESC, idx) AS r FROM {p}prob) WHERE r = 1),
+{p}pred AS (SELECT t.row_id, t.original_text, ct.cleaned_text, t.label, top.predicted_label, top.confidence
+            FROM {p}test t JOIN {p}ct ct USING (row_id) JOIN {p}top top USING (row_id))"""
+
+
+def report_ctes(prefix: str = "") -> str:
+    p = prefix
+    return f"""{p}cc AS (
+  SELECT lab AS label, sum(s) AS support, sum(pp) AS predicted, sum(t) AS tp FROM (
+    SELECT label AS lab, 1 AS s, 0 AS pp, CASE WHEN label = predicted_label THEN 1 ELSE 0 END AS t FROM {p}pred
+    UNION ALL SELECT predicted_label, 0, 1, 0 FROM {p}pred) GROUP BY lab),
+{p}rep AS (
+  SELECT label,
+         CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
+         CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall,
+         CASE WHEN support + predicted > 0 THEN 2.0 * tp / (support + predicted) ELSE 0.0 END AS f1,
+         support, predicted, tp FROM {p}cc),
+{p}summ AS (
+  SELECT sum(tp) / sum(support) AS accuracy, avg(f1) AS macro_f1, sum(f1 * support) / sum(support) AS weighted_f1,
+         avg(precision) AS macro_precision, avg(recall) AS macro_recall,
+         sum(precision * support) / sum(support) AS weighted_precision,
+         sum(recall * support) / sum(support) AS weighted_recall, CAST(sum(support) AS BIGINT) AS support
+  FROM {p}rep),
+{p}grid AS (SELECT a.cls AS true_label, a.idx AS true_idx, b.cls AS pred_label, b.idx AS pred_idx
+            FROM {p}cls a CROSS JOIN {p}cls b),
+{p}cells AS (
+  SELECT g.true_idx, g.pred_idx, g.true_label, g.pred_label, CAST(coalesce(c.n, 0) AS BIGINT) AS count
+  FROM {p}grid g LEFT JOIN (SELECT label, predicted_label, count(*) AS n FROM {p}pred GROUP BY 1, 2) c
+    ON c.label = g.true_label AND c.predicted_label = g.pred_label)"""
