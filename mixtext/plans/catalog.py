@@ -28,4 +28,4 @@ def load_all() -> None:
         importlib.import_module(f"mixtext.plans.{name}")
 
 
-MODULES = ["q_prep", "q_scoring", "q_errors", "q_features", "q_models", "q_reconcile"]
+MODULES = ["q_prep", "q_scoring", "q_errors", "q_features", "q_models", "q_reconcile", "q_io"]
