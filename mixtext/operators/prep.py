@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from mixtext.functions import text as T
 
-# bits of the md5 used as the split histogram bucket (65,536 buckets per class)
-SPLIT_BUCKET_HEX = 4
+# hex digits of the md5 used as the split histogram bucket: 20 bits, 1,048,576 buckets
+# per class. The boundary bucket then holds about n_c / 2^20 rows, which bounds the
+# broadcast of boundary assignments (about 100k rows per class at 10^11 rows).
+SPLIT_BUCKET_HEX = 5
 
 
 def project_clean(raw: DataFrame, text_col: str, label_col: str, row_id: str = "row_id",
@@ -103,27 +105,28 @@ def stratified_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, labe
                      stratify: bool | None = None) -> DataFrame:
     """Adds ``split`` ('train' / 'test') with exact per-class quotas, seeded.
 
-    Membership inside a class = order of md5(seed|row_id). Skew-safe two phases: a
-    (class, 16-bit hash bucket) histogram finds each class's boundary bucket, rows
-    outside it are assigned map-only, and only the boundary bucket (about 1/65,536 of
-    a class) is ranked. When the smallest class has fewer than 2 rows the split falls
-    back to one unstratified stratum, as the reference does.
-
-    ``df`` is read three times (histogram, decided rows, boundary rows): pass a
-    materialized table, not a long lineage.
+    Membership inside a class = order of md5(seed|row_id). Skew-safe, no window over
+    data rows of a whole class: a (class, 20-bit hash bucket) histogram finds each
+    class's boundary bucket; rows outside it are assigned map-only; only the boundary
+    bucket (about 1/2^20 of a class) is ranked, on narrow (row_id, label) columns, and
+    its assignments are broadcast back. The wide table is read once for the output
+    (plus two narrow passes), so pass a materialized table, not a long lineage.
+    When the smallest class has fewer than 2 rows the split falls back to one
+    unstratified stratum, as the reference does.
     """
-    h = _split_hash(seed, F.col("row_id"))
-    keyed = df.withColumn("_h", h).withColumn(
-        "_b", F.conv(F.substring("_h", 1, SPLIT_BUCKET_HEX), 16, 10).cast("int")
-    )
-    # (class, bucket) histogram: at most 65,536 x k rows, reused for the decision below
-    hist = keyed.groupBy(F.col(label).alias("_s"), "_b").agg(F.count(F.lit(1)).alias("_cnt")).cache()
+    def keyed(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("_h", _split_hash(seed, F.col("row_id"))).withColumn(
+            "_b", F.conv(F.substring("_h", 1, SPLIT_BUCKET_HEX), 16, 10).cast("int")
+        )
+
+    narrow = keyed(df.select("row_id", label))
+    hist = narrow.groupBy(F.col(label).alias("_s"), "_b").agg(F.count(F.lit(1)).alias("_cnt")).cache()
     if stratify is None:
         smallest = hist.groupBy("_s").agg(F.sum("_cnt").alias("n")).agg(F.min("n")).first()[0]  # k-sized
         stratify = smallest is not None and smallest >= 2
+    stratum = F.col(label) if stratify else F.lit("")
     if not stratify:
         hist = hist.groupBy(F.lit("").alias("_s"), "_b").agg(F.sum("_cnt").alias("_cnt"))
-    keyed = keyed.withColumn("_s", F.col(label) if stratify else F.lit(""))
     counts = hist.groupBy("_s").agg(F.sum("_cnt").alias("n"))
     quotas = class_quotas(counts, test_size, label="_s")
     run = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -132,19 +135,20 @@ def stratified_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, labe
         (F.col("_before") < F.col("test_quota")) & (F.col("_incl") >= F.col("test_quota"))
     ).select("_s", F.col("_b").alias("_bstar"), (F.col("test_quota") - F.col("_before")).alias("_need"))
     # one row per class: the broadcast is bounded by the number of classes
-    marked = keyed.join(F.broadcast(boundary), "_s", "left")
+    boundary = F.broadcast(boundary)
+    edge = narrow.withColumn("_s", stratum).join(boundary, "_s").where(F.col("_b") == F.col("_bstar"))
+    rank = F.row_number().over(Window.partitionBy("_s").orderBy("_h", "row_id"))
+    edge = edge.select("row_id", F.when(rank <= F.col("_need"), "test").otherwise("train").alias("_edge"))
+    wide = keyed(df).withColumn("_s", stratum).join(boundary, "_s", "left")
+    # about n_c / 2^20 rows per class (see SPLIT_BUCKET_HEX)
+    wide = wide.join(F.broadcast(edge), "row_id", "left")
     side = (
         F.when(F.col("_bstar").isNull(), F.lit("train"))
         .when(F.col("_b") < F.col("_bstar"), F.lit("test"))
         .when(F.col("_b") > F.col("_bstar"), F.lit("train"))
+        .otherwise(F.col("_edge"))
     )
-    marked = marked.withColumn("split", side)
-    decided = marked.where(F.col("split").isNotNull())
-    edge = marked.where(F.col("split").isNull())
-    rank = F.row_number().over(Window.partitionBy("_s").orderBy("_h", "row_id"))
-    edge = edge.withColumn("split", F.when(rank <= F.col("_need"), "test").otherwise("train"))
-    drop = ["_h", "_b", "_s", "_bstar", "_need"]
-    return decided.unionByName(edge).drop(*drop)
+    return wide.withColumn("split", side).select(*df.columns, "split")
 
 
 def stratified_split_plain(df: DataFrame, test_size: float = 0.2, seed: int = 42,
