@@ -59,8 +59,7 @@ def main() -> None:
     test = split.where("split = 'test'").drop("split")
 
     def tfidf():
-        tf = FE.term_counts(train)
-        run(FE.tfidf(tf, FE.smoothed_idf(tf, train.count())))
+        run(FE.tfidf_from_docs(train, table=materialize))
 
     timed("tfidf", tfidf)
     model = function_word_scorer()

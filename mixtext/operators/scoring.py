@@ -38,11 +38,12 @@ class TermWeightScorer:
     def weight_rows(self):
         return [(t, c, int(w)) for t, by in sorted(self.weights.items()) for c, w in sorted(by.items())]
 
-    def logits(self, text: Column) -> Column:
+    def logits(self, tok: Column) -> Column:
+        """Logits from a token-array column (C9); bigrams are added only if the table has any."""
         vec = {t: [int(by.get(c, 0)) for c in self.classes] for t, by in self.weights.items()}
         table = F.create_map(*[x for t, v in sorted(vec.items()) for x in (F.lit(t), F.array(*[F.lit(i) for i in v]))])
         bigram_terms = any(" " in t for t in vec)
-        terms = T.ngrams_1_2(text) if bigram_terms else T.tokens(text)
+        terms = F.concat(tok, T.bigrams(tok)) if bigram_terms else tok
         hits = F.filter(terms, lambda t: F.map_contains_key(table, t))
         start = F.array(*[F.lit(int(self.bias.get(c, 0))).cast("long") for c in self.classes])
         return F.aggregate(
@@ -50,7 +51,8 @@ class TermWeightScorer:
         )
 
     def with_probabilities(self, df: DataFrame, text_col: str) -> DataFrame:
-        out = df.withColumn("logits", self.logits(F.col(text_col)))
+        out = df.withColumn("_tok", T.tokens(F.col(text_col)))
+        out = out.withColumn("logits", self.logits(F.col("_tok"))).drop("_tok")
         out = out.withColumn("_exp", S.softmax_exp(F.col("logits")))
         return out.withColumn("probabilities", S.normalise(F.col("_exp"))).drop("_exp")
 

@@ -11,7 +11,7 @@ from mixtext.plans import documents as D
 from mixtext.plans import oracle as O
 from mixtext.plans.catalog import register
 from mixtext.plans.documents import r6
-from mixtext.session import read_table
+from mixtext.session import materialize, read_table
 
 TRAIN = O.SPLIT + f""",
 tr AS (SELECT row_id, text, label FROM split WHERE split = 'train'),
@@ -48,9 +48,8 @@ def a5_smoothed_idf(spark, sf_dir):
 
 @register("j3_tfidf_weights", O.with_(TRAIN, "SELECT row_id, term, round(weight, 6) AS weight FROM tfidf"))
 def j3_tfidf_weights(spark, sf_dir):
-    train, tf = _train_tf(spark, sf_dir)
-    idf = FE.smoothed_idf(tf, train.count())
-    return FE.tfidf(tf, idf).select("row_id", "term", r6(F.col("weight")).alias("weight"))
+    out = FE.tfidf_from_docs(D.train_rows(spark, sf_dir), table=materialize)
+    return out.select("row_id", "term", r6(F.col("weight")).alias("weight"))
 
 
 @register("a6_class_weights", O.with_(TRAIN, "SELECT label, n_c, round(weight, 6) AS weight FROM cwt"))

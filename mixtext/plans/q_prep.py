@@ -71,8 +71,9 @@ def c9_tokenize(spark, sf_dir):
     ),
 )
 def c10_ngrams(spark, sf_dir):
-    ng = T.ngrams_1_2(F.col("text"))
-    return D.prepared(spark, sf_dir).select(
+    toks = D.prepared(spark, sf_dir).select("row_id", T.tokens(F.col("text")).alias("_tok"))
+    ng = F.concat(F.col("_tok"), T.bigrams(F.col("_tok")))
+    return toks.select(
         "row_id", F.size(ng).cast("long").alias("n_terms"), F.md5(F.array_join(ng, "|")).alias("terms_md5")
     )
 
