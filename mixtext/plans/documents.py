@@ -32,11 +32,29 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.prepare(raw_documents(spark, sf_dir), "text", "lang")
 
 
+# paths of tables already written in this application, by (app id, input dir, params)
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _table(spark: SparkSession, key: tuple, build) -> DataFrame:
+    full = (spark.sparkContext.applicationId,) + key
+    if full not in _WRITTEN:
+        df = materialize(build(), key[0])
+        _WRITTEN[full] = df.inputFiles()[0].rsplit("/", 1)[0]
+    return spark.read.parquet(_WRITTEN[full])
+
+
+def prepared_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prepared rows written once to the shared folder (the cleaning UDF and the
+    dedupe shuffle run once per application and input)."""
+    return _table(spark, ("prepared", sf_dir), lambda: prepared(spark, sf_dir))
+
+
 def split(spark: SparkSession, sf_dir: str, test_size: float = TEST_SIZE, seed: int = SEED) -> DataFrame:
-    """Prepared rows with their split; the prepared table is written once to the shared
-    folder so the split's passes read files, not the cleaning lineage."""
-    table = materialize(prepared(spark, sf_dir), "prepared")
-    return prep.stratified_split(table, test_size=test_size, seed=seed)
+    """Prepared rows with their split; the split's passes read the written prepared
+    table, not the cleaning lineage, and the result is written once too."""
+    return _table(spark, ("split", sf_dir, test_size, seed),
+                  lambda: prep.stratified_split(prepared_table(spark, sf_dir), test_size=test_size, seed=seed))
 
 
 def test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,3 +157,16 @@ def u4_split_check(spark, sf_dir):
 )
 def t3_first_rows(spark, sf_dir):
     return D.prepared(spark, sf_dir).orderBy("row_id").limit(5)
+
+
+@register(
+    "w3_row_index",
+    O.with_(O.PREPARED, "SELECT row_id, CAST(row_number() OVER (ORDER BY row_id) - 1 AS BIGINT) AS row_index FROM w1"),
+)
+def w3_row_index(spark, sf_dir):
+    """Dense 0-based position of each prepared row (only on request; row_id is the carried
+    identity). A range-partitioned sort keeps partitions in order and zipWithIndex numbers
+    them with one counting pass: no single-partition window."""
+    ordered = D.prepared_table(spark, sf_dir).select("row_id").orderBy("row_id")
+    indexed = ordered.rdd.zipWithIndex().map(lambda p: (p[0][0], p[1]))
+    return spark.createDataFrame(indexed, "row_id long, row_index long")
