@@ -34,6 +34,7 @@ from mixtext.functions import scoring as S
 from mixtext.functions import text as T
 from mixtext.operators import evaluate as E
 from mixtext.operators import features as FE
+from mixtext.session import materialize
 
 # Champion selection order and experiment naming of the reference
 SELECTION_METRIC_ORDER = ("macro_f1", "weighted_f1", "accuracy")
@@ -62,6 +63,17 @@ def _lr(n_train: int, max_iter: int, tol: float, n_classes: int) -> LogisticRegr
     )
 
 
+# Training rows per partition for L-BFGS. Every partition returns a dense K x D gradient
+# each iteration, so partitions should follow the data volume, not the core count
+# (measured: 8 -> 2 partitions cut 5 iterations at sf0.1 from 46 s to 29 s).
+TRAIN_ROWS_PER_PARTITION = 20_000
+
+
+def _training_partitions(df: DataFrame, n_rows: int) -> DataFrame:
+    want = max(1, -(-int(n_rows) // TRAIN_ROWS_PER_PARTITION))
+    return df.coalesce(want) if df.rdd.getNumPartitions() > want else df
+
+
 def _weighted(train: DataFrame, label: str) -> tuple[DataFrame, int, list[str]]:
     weights = FE.class_weights(train, label).cache()
     stats = weights.agg(F.sum("n_c").alias("n"), F.sort_array(F.collect_list(label)).alias("cls")).first()  # k-sized
@@ -111,7 +123,10 @@ class TfidfModel:
         features = PipelineModel(stages=list(fitted.stages[:-1]) + [scale, norm])
         indexer = StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc")
         clf = Pipeline(stages=[indexer, _lr(n_train, max_iter, tol, len(classes))])
-        classifier = clf.fit(features.transform(weighted).select("features", label, "weight"))
+        # the feature matrix is written once (in parallel) and re-read by the indexer,
+        # the summarizer and L-BFGS, instead of re-tokenising in the coalesced tasks
+        matrix = materialize(features.transform(weighted).select("features", label, "weight"), "train_matrix")
+        classifier = clf.fit(_training_partitions(matrix, n_train))
         return cls(features, classifier, list(classifier.stages[0].labels), model_name)
 
     def with_probabilities(self, df: DataFrame, text_col: str) -> DataFrame:
@@ -163,7 +178,8 @@ class EmbeddingModel:
         weighted, n_train, classes = _weighted(train, label)
         indexer = StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc")
         clf = Pipeline(stages=[indexer, _lr(n_train, max_iter, tol, len(classes))])
-        classifier = clf.fit(cls._features(weighted, vector_col).select("features", label, "weight"))
+        data = _training_partitions(cls._features(weighted, vector_col).select("features", label, "weight"), n_train)
+        classifier = clf.fit(data)
         return cls(classifier, list(classifier.stages[0].labels), vector_col, encoder, batch_size, model_name)
 
     def with_probabilities(self, df: DataFrame, text_col: str) -> DataFrame:
