@@ -208,13 +208,20 @@ _ENCODERS: dict[int, Callable] = {}
 
 def encoder_udf(factory: Callable[[], Callable[[list[str]], np.ndarray]], batch_size: int = 32):
     """``factory()`` returns ``encode(list[str]) -> (n, d) array``. It is called once per
-    Python worker (cached by factory id) and fed Arrow batches cut to ``batch_size``."""
+    (reused) Python worker and fed Arrow batches cut to ``batch_size``. The cache key is
+    a digest of the pickled factory, fixed on the driver: object ids change every time a
+    task deserializes the closure."""
+    import hashlib
+
+    from pyspark import cloudpickle
+
+    key = hashlib.sha1(cloudpickle.dumps(factory)).hexdigest()
 
     @F.pandas_udf(ArrayType(FloatType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = _ENCODERS.get(id(factory))
+        enc = _ENCODERS.get(key)
         if enc is None:
-            enc = _ENCODERS[id(factory)] = factory()
+            enc = _ENCODERS[key] = factory()
         for batch in batches:
             texts = batch.fillna("").astype(str).tolist()
             parts = [np.asarray(enc(texts[i:i + batch_size]), dtype=np.float32)

@@ -145,8 +145,9 @@ def r1_normalize_name(spark, sf_dir):
 def r2_r3_resolve_roles(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     t, lab = PR.named_roles(docs.withColumnRenamed("lang", "Label "))
-    return docs.select(F.lit(t).alias("text_column"), F.lit(lab).alias("label_column"),
-                       F.lit(PR.resolve_column(docs, "2")).alias("by_position")).limit(1)
+    return docs.agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit(t).alias("text_column"), F.lit(lab).alias("label_column"),
+        F.lit(PR.resolve_column(docs, "2")).alias("by_position"), "rows")
 
 
 _R4_COLS = ["doc_id", "text", "lang", "source", "n_chars"]
