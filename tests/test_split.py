@@ -40,3 +40,25 @@ def test_dedupe_keeps_first(spark):
                                "row_id long, original_text string, text string, label string")
     out = {(r.text, r.label): (r.row_id, r.original_text) for r in prep.dedupe_keep_first(df).collect()}
     assert out == {("x", "a"): (1, "o1"), ("x", "b"): (2, "o2")}
+
+
+def test_hot_key_dedupe_and_hot_class_split(spark):
+    n = 30_000
+    df = spark.range(n).select(
+        F.col("id").alias("row_id"),
+        F.when(F.col("id") % 3 == 0, F.lit("same text")).otherwise(F.concat(F.lit("t"), F.col("id").cast("string")))
+        .alias("text"),
+        F.when(F.col("id") % 3 == 0, F.lit("orig")).otherwise(F.lit("o")).alias("original_text"),
+        F.when(F.col("id") % 10 < 7, F.lit("hot")).otherwise(F.lit("cold")).alias("label"),
+    ).repartition(16)
+    dd = prep.dedupe_keep_first(df)
+    same = dd.where("text = 'same text'").orderBy("label").collect()
+    assert [(r.label, r.row_id) for r in same] == [("cold", 9), ("hot", 0)]
+    assert dd.count() == n - n // 3 + 2
+    sp = prep.stratified_split(df)
+    got = {r.label: r["count"] for r in sp.where("split = 'test'").groupBy("label").count().collect()}
+    counts = df.groupBy("label").count()
+    want = {r.label: r.test_quota for r in prep.class_quotas(counts.withColumnRenamed("count", "n"), 0.2).collect()}
+    assert got == want
+    plain = prep.stratified_split_plain(df).select("row_id", "split")
+    assert sp.select("row_id", "split").exceptAll(plain).count() == 0
