@@ -15,6 +15,9 @@ from mixtext.functions import text as T
 # per class. The boundary bucket then holds about n_c / 2^20 rows, which bounds the
 # broadcast of boundary assignments (about 100k rows per class at 10^11 rows).
 SPLIT_BUCKET_HEX = 5
+# boundary assignments are broadcast up to this many rows (~40 MB of (row_id, side));
+# beyond it the join on row_id is shuffled instead
+EDGE_BROADCAST_ROWS = 2_000_000
 
 
 def project_clean(raw: DataFrame, text_col: str, label_col: str, row_id: str = "row_id",
@@ -140,8 +143,13 @@ def stratified_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, labe
     rank = F.row_number().over(Window.partitionBy("_s").orderBy("_h", "row_id"))
     edge = edge.select("row_id", F.when(rank <= F.col("_need"), "test").otherwise("train").alias("_edge"))
     wide = keyed(df).withColumn("_s", stratum).join(boundary, "_s", "left")
-    # about n_c / 2^20 rows per class (see SPLIT_BUCKET_HEX)
-    wide = wide.join(F.broadcast(edge), "row_id", "left")
+    # about n_c / 2^20 rows per class (see SPLIT_BUCKET_HEX); the exact total is read
+    # from the histogram (k-sized job) and decides between broadcast and shuffle join
+    edge_rows = (
+        hist.join(boundary.select("_s", F.col("_bstar").alias("_b")), ["_s", "_b"])
+        .agg(F.sum("_cnt")).first()[0] or 0
+    )
+    wide = wide.join(F.broadcast(edge) if edge_rows <= EDGE_BROADCAST_ROWS else edge, "row_id", "left")
     side = (
         F.when(F.col("_bstar").isNull(), F.lit("train"))
         .when(F.col("_b") < F.col("_bstar"), F.lit("test"))

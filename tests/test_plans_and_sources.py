@@ -33,6 +33,15 @@ def test_tfidf_never_broadcasts_the_vocabulary(spark):
     assert "BroadcastHashJoin" not in plan and "CartesianProduct" not in plan
 
 
+def test_term_pairs_are_counted_without_their_own_shuffle(spark):
+    """Only the documents are exchanged (by row_id); the exploded pairs are aggregated
+    in the stage that produces them."""
+    plan = _plan(FE.term_counts(D.prepared_table(spark, SF001)))
+    tree = plan.split("\n\n")[0]
+    assert tree.count("Exchange") == 1
+    assert tree.index("Generate") < tree.index("Exchange")  # the tree lists the exchange below
+
+
 def test_split_has_no_unpartitioned_window_over_rows(spark):
     plan = _plan(prep.stratified_split(D.prepared(spark, SF001)))
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan

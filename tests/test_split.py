@@ -62,3 +62,12 @@ def test_hot_key_dedupe_and_hot_class_split(spark):
     assert got == want
     plain = prep.stratified_split_plain(df).select("row_id", "split")
     assert sp.select("row_id", "split").exceptAll(plain).count() == 0
+
+
+def test_boundary_join_without_broadcast(spark, monkeypatch):
+    """Above the size check the boundary assignments are joined by shuffle; same split."""
+    p = D.prepared(spark, SF01).cache()
+    a = prep.stratified_split(p).select("row_id", "split")
+    monkeypatch.setattr(prep, "EDGE_BROADCAST_ROWS", -1)
+    b = prep.stratified_split(p).select("row_id", "split")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
