@@ -120,16 +120,22 @@ class TfidfModel:
         return Pipeline(stages=stages)
 
     @classmethod
-    def fit(cls, train: DataFrame, text_col: str = "text", label: str = "label", max_iter: int = 2000,
-            tol: float = 1e-4, vocab_size: int = DEFAULT_VOCAB_SIZE, hashing: bool = False,
-            model_name: str = BASELINE_NAME) -> TfidfModel:
-        weighted, n_train, classes = _weighted(train, label)
-        fitted = cls.feature_pipeline(text_col, vocab_size, hashing).fit(weighted)
+    def fit_features(cls, train: DataFrame, text_col: str = "text", vocab_size: int = DEFAULT_VOCAB_SIZE,
+                     hashing: bool = False) -> PipelineModel:
+        """M1's feature stages fitted on ``train``: text -> L2-normalised smoothed TF-IDF ``features``."""
+        fitted = cls.feature_pipeline(text_col, vocab_size, hashing).fit(train)
         # Spark's IDF is ln((n+1)/(df+1)); the smoothed form adds 1: scale tf by (idf + 1)
         idf = fitted.stages[-1].idf.toArray() + 1.0
         scale = ElementwiseProduct(inputCol="_tf", outputCol="_tfidf", scalingVec=Vectors.dense(idf))
         norm = Normalizer(inputCol="_tfidf", outputCol="features", p=2.0)
-        features = PipelineModel(stages=list(fitted.stages[:-1]) + [scale, norm])
+        return PipelineModel(stages=list(fitted.stages[:-1]) + [scale, norm])
+
+    @classmethod
+    def fit(cls, train: DataFrame, text_col: str = "text", label: str = "label", max_iter: int = 2000,
+            tol: float = 1e-4, vocab_size: int = DEFAULT_VOCAB_SIZE, hashing: bool = False,
+            model_name: str = BASELINE_NAME) -> TfidfModel:
+        weighted, n_train, classes = _weighted(train, label)
+        features = cls.fit_features(weighted, text_col, vocab_size, hashing)
         indexer = StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc")
         clf = Pipeline(stages=[indexer, _lr(n_train, max_iter, tol, len(classes))])
         # the feature matrix is written once (in parallel) and re-read by the indexer,

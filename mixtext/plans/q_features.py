@@ -1,12 +1,14 @@
 """Queries for features: term counts, IDF, TF-IDF, class weights, L2 normalisation
-(A4-A6, J2, J3, X4)."""
+(A4-A6, J2, J3, X4) and M1's fitted feature stages checked against the same SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from mixtext.functions import scoring as S
 from mixtext.operators import features as FE
+from mixtext.operators import models as M
 from mixtext.plans import documents as D
 from mixtext.plans import oracle as O
 from mixtext.plans.catalog import register
@@ -83,3 +85,29 @@ def x4_l2_normalize(spark, sf_dir):
     return normed.select("vec_id", F.posexplode_outer("u").alias("i", "value")).select(
         "vec_id", F.col("i").cast("int"), r6(F.col("value")).alias("value")
     )
+
+
+_VEC_SUMMARY = StructType([StructField("n", LongType()), StructField("s", DoubleType()), StructField("m", DoubleType())])
+
+
+@F.udf(_VEC_SUMMARY)
+def _vector_summary(v):
+    """(non-zeros, sum, max) of one ML vector; O(non-zeros) per row (vectors have no SQL accessors)."""
+    vals = v.toArray() if not hasattr(v, "indices") else v.values
+    nz = vals[vals != 0]
+    return (int(nz.size), float(nz.sum()), float(nz.max()) if nz.size else 0.0)
+
+
+@register(
+    "m1_tfidf_pipeline_features",
+    O.with_(TRAIN, """SELECT tr.row_id, count(t.term) AS n_terms, round(coalesce(sum(t.weight), 0.0), 6) AS sum_weight,
+                             round(coalesce(max(t.weight), 0.0), 6) AS max_weight
+                      FROM tr LEFT JOIN tfidf t USING (row_id) GROUP BY tr.row_id"""),
+)
+def m1_tfidf_pipeline_features(spark, sf_dir):
+    """M1's Spark ML feature stages (tokenizer, 2-grams, CountVectorizer, smoothed IDF, L2)
+    fitted on the training split; each row's vector must equal the relational TF-IDF."""
+    train = D.train_rows(spark, sf_dir)
+    vec = M.TfidfModel.fit_features(train).transform(train).select("row_id", _vector_summary("features").alias("v"))
+    return vec.select("row_id", F.col("v.n").alias("n_terms"), r6(F.col("v.s")).alias("sum_weight"),
+                      r6(F.col("v.m")).alias("max_weight"))
