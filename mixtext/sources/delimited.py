@@ -28,6 +28,17 @@ def list_inputs(spark: SparkSession, directory: str, pattern: str = "*.csv") ->
     return paths
 
 
+def first_file(spark: SparkSession, path: str) -> str:
+    """The first input file by sorted path (a listing: file contents are not read).
+
+    The separator probes read this file only. Spark's own "first record" of a
+    directory comes from whichever file lands first in a combined split, which varies
+    with file names (Spark's part files carry random ids), so the decision would too.
+    """
+    rows = spark.read.format("binaryFile").load(path).select("path").orderBy("path").limit(1).collect()
+    return rows[0][0] if rows else path
+
+
 def _probe_lines(spark: SparkSession, path: str) -> list[str]:
     # a bounded probe: the first lines only, never the whole file
     return [r[0] for r in spark.read.text(path).limit(PROBE_LINES).collect()]
@@ -62,6 +73,7 @@ def choose_separator(spark: SparkSession, path: str, header: bool) -> tuple[str,
     """S1 decision: sniffed separator first, then tab, comma, semicolon, pipe; widest wins,
     earlier attempt wins ties."""
     attempts = []
+    path = first_file(spark, path)
     sniffed = sniff(_probe_lines(spark, path))
     if sniffed is not None:
         attempts.append(sniffed)
@@ -81,7 +93,7 @@ def read_delimited(spark: SparkSession, path: str, header: bool = False, sep: st
     if sep is None:
         sep, names = choose_separator(spark, path, header)
     else:
-        names = width(spark, path, sep, header)[1]
+        names = width(spark, first_file(spark, path), sep, header)[1]
     if not header:
         names = [f"_c{i}" for i in range(len(names))]
     schema = StructType([StructField(n, StringType()) for n in names] + [StructField(CORRUPT, StringType())])

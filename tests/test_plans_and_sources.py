@@ -62,6 +62,15 @@ def test_separator_probe_prefers_widest(spark, tmp_path):
     assert sep == ";" and names == ["x", "y", "z"]
 
 
+def test_separator_probe_reads_first_file_by_name(spark, tmp_path):
+    """Under ';' the sorted-first file is 3 wide; the other file would make ',' 4 wide."""
+    (tmp_path / "a-7f.csv").write_text("p;q;r\ns;t;u\n", encoding="utf-8")
+    (tmp_path / "b-01.csv").write_text("a,b,c,d\n", encoding="utf-8")
+    for _ in range(3):
+        sep, names = DL.choose_separator(spark, str(tmp_path), header=False)
+        assert sep == ";" and len(names) == 3
+
+
 def test_role_inference_on_headerless_file(spark, tmp_path):
     out = scratch_path(spark, "roles")
     rows = [(f"some longer free text number {i}", "Positive" if i % 3 else "Negative") for i in range(30)]
