@@ -78,6 +78,12 @@ def x10_top_n_clamped(spark, sf_dir):
     return _top_n_query(spark, sf_dir, -2)
 
 
+@register("x10_top_n_beyond_classes", O.with_(PRED, _TOPN.format(n=10)))
+def x10_top_n_beyond_classes(spark, sf_dir):
+    """A top_n above the number of classes returns every class, ranked."""
+    return _top_n_query(spark, sf_dir, 10)
+
+
 @register(
     "m6_batch_scoring",
     O.with_(PRED, "SELECT row_id, cleaned_text, predicted_label, round(confidence, 6) AS confidence FROM pred"),
