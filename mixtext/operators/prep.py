@@ -31,29 +31,42 @@ def project_clean(raw: DataFrame, text_col: str, label_col: str, row_id: str = "
     )
 
 
+def nonempty() -> Column:
+    """P2's condition: non-empty cleaned text and label."""
+    return (F.col("text") != "") & (F.col("label") != "")
+
+
 def keep_nonempty(df: DataFrame) -> DataFrame:
     """Non-empty cleaned text and label."""
-    return df.where((F.col("text") != "") & (F.col("label") != ""))
+    return df.where(nonempty())
 
 
-def dedupe_keep_first(df: DataFrame, keys=("text", "label")) -> DataFrame:
+def dedupe_keep_first(df: DataFrame, keys=("text", "label"), only: Column | None = None) -> DataFrame:
     """One row per key, the one with the smallest row_id (its original text survives).
 
     A plain aggregation, so Spark combines duplicates map-side before the shuffle:
     a key holding a third of all rows reaches its reducer as one row per map task.
+    ``only`` (a condition on the keys) keeps just the groups that satisfy it. It is
+    evaluated inside the aggregate on the columns as they arrive: as a Filter below a
+    projection the optimizer would substitute the projected expressions into it and
+    evaluate them twice (for P2 that is the whole cleaning chain).
     """
     keys = list(keys)
     others = [c for c in df.columns if c not in keys and c != "row_id"]
-    first = F.min(F.struct(F.col("row_id"), *[F.col(c) for c in others])).alias("_first")
-    return df.groupBy(*keys).agg(first).select(
+    row = F.struct(F.col("row_id"), *[F.col(c) for c in others])
+    first = F.min(row if only is None else F.when(only, row)).alias("_first")
+    out = df.groupBy(*keys).agg(first)
+    if only is not None:
+        out = out.where(F.col("_first").isNotNull())
+    return out.select(
         F.col("_first.row_id").alias("row_id"), *[F.col(f"_first.{c}").alias(c) for c in others], *keys
     )
 
 
 def prepare(raw: DataFrame, text_col: str, label_col: str, row_id: str = "row_id",
             normalize: bool = True) -> DataFrame:
-    """P1 -> P2 -> W1: (row_id, original_text, text, label)."""
-    out = dedupe_keep_first(keep_nonempty(project_clean(raw, text_col, label_col, row_id, normalize)))
+    """P1 -> P2 -> W1: (row_id, original_text, text, label); P2 is applied per group in W1."""
+    out = dedupe_keep_first(project_clean(raw, text_col, label_col, row_id, normalize), only=nonempty())
     return out.select("row_id", "original_text", "text", "label")
 
 

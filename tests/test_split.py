@@ -71,3 +71,14 @@ def test_boundary_join_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(prep, "EDGE_BROADCAST_ROWS", -1)
     b = prep.stratified_split(p).select("row_id", "split")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_prepare_drops_empty_groups_like_a_filter(spark):
+    rows = [(1, "  ", "a"), (2, "x", " "), (3, "x", "a"), (4, "X", "a"), (5, None, "b"), (6, "@m", "b"),
+            (7, "y", None), (0, "y", "b")]
+    raw = spark.createDataFrame(rows, "row_id long, t string, l string")
+    fused = prep.prepare(raw, "t", "l")
+    staged = prep.dedupe_keep_first(prep.keep_nonempty(prep.project_clean(raw, "t", "l")))
+    got = sorted(tuple(r) for r in fused.collect())
+    assert got == sorted(tuple(r) for r in staged.select(*fused.columns).collect())
+    assert [(r[0], r[2], r[3]) for r in got] == [(0, "y", "b"), (3, "x", "a")]
