@@ -66,10 +66,19 @@ def train_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str, model=None) -> DataFrame:
-    """Test split scored by ``model`` (default: the frozen function-word scorer)."""
-    from mixtext.operators.scoring import function_word_scorer, score
+    """Test split scored by ``model`` (default: the frozen function-word scorer).
+
+    Frozen scorers' predictions are written once per application, input and weights: the
+    error queries filter them (wrong rows, drill-downs), and a Filter above the scoring
+    projection would make the optimizer evaluate the scorer again inside the filter.
+    """
+    from mixtext.operators.scoring import TermWeightScorer, function_word_scorer, score
 
     model = model or function_word_scorer()
+    if isinstance(model, TermWeightScorer):
+        key = ("predictions", sf_dir, model.model_name, tuple(model.classes), tuple(model.weight_rows()),
+               tuple(sorted(model.bias.items())))
+        return _table(spark, key, lambda: score(test_rows(spark, sf_dir), model))
     return score(test_rows(spark, sf_dir), model)
 
 
