@@ -26,6 +26,14 @@ def test_cleaning_udf_runs_once_and_scan_is_pruned(spark):
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
+def test_cleaning_chain_is_evaluated_once(spark):
+    """P2 sits inside the keep-first aggregate: no Filter re-runs the regex chain."""
+    plan = _plan(D.prepared(spark, SF001))
+    tree = plan.split("\n\n")[0]
+    assert plan.count("https?://") == 1
+    assert "Filter" not in tree.split("ArrowEvalPython")[0].rsplit("Aggregate", 1)[-1]
+
+
 def test_tfidf_never_broadcasts_the_vocabulary(spark):
     train = D.prepared(spark, SF001)
     tf = FE.term_counts(train)
