@@ -51,4 +51,39 @@ SELECT d.doc_id, d.size, p.source_size, p.target, d.size * (p.whole + CASE
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN edge ON d.source IS NOT DISTINCT FROM edge.source
 """
 
-ORACLE = {"op5_quality_rules": OP5, "op6_source_mix": OP6}
+# kind, pattern, validity of m, score before the context, context words
+_PII = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", 75, "mail|contact|courriel|correo|kontakt"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+     "len(list_filter(string_split(m, '.'), lambda x: try_cast(x AS DOUBLE) > 255)) = 0", 60, "address|host|server|login"),
+    ("card", r"[0-9]([\x20-]?[0-9])+",
+     """length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 13 AND 19 AND list_sum(list_transform(
+        string_split(reverse(regexp_replace(m, '[^0-9]', '', 'g')), ''), lambda x, i:
+        CASE WHEN i % 2 = 1 THEN x::INT WHEN x::INT > 4 THEN 2 * x::INT - 9 ELSE 2 * x::INT END)) % 10 = 0""",
+     70, "card|visa|credit|carte|tarjeta|karte|payment"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 9 AND 15", 60, "phone|call|tel|mobile|fax"),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
+     """list_reduce(list_prepend(0, list_transform(string_split(m[5:] || m[:4], ''),
+        lambda x: CASE WHEN x >= 'A' THEN ascii(x) - 55 ELSE ascii(x) - 48 END)),
+        lambda a, b: CASE WHEN b > 9 THEN (a * 100 + b) % 97 ELSE (a * 10 + b) % 97 END) = 1""",
+     80, "iban|bank|account|konto|compte|cuenta"),
+)
+
+OP1 = "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS (" + " UNION ALL ".join(rf"""
+SELECT doc_id, {n} AS k, '{kind}' AS kind, s, s + length(m) AS e, {score} + CASE WHEN regexp_matches(
+    lower(substr(t, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0))), '{near}') THEN 20 ELSE 0 END AS score
+FROM (SELECT doc_id, t, m, (sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m))::BIGINT AS s FROM (
+    SELECT doc_id, t, unnest(ms) AS m, unnest(gs[:len(ms)]) AS g, unnest(range(1, len(ms) + 1)) AS i FROM (
+        SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM d)))
+WHERE {ok}""" for n, (kind, pattern, ok, score, near) in enumerate(_PII)) + """),
+per AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
+    count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (k < 4) AS base,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans,
+    string_agg(score::VARCHAR, ',' ORDER BY k, s) AS scores FROM found GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+    coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+    coalesce(scores, '') AS scores FROM d LEFT JOIN per ON d.doc_id = per.doc_id
+"""
+
+ORACLE = {"op1_pii": OP1, "op5_quality_rules": OP5, "op6_source_mix": OP6}

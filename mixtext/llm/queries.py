@@ -5,14 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mixtext.llm.common import read, tokenizer_file
 from mixtext.llm.mixing import mix
 from mixtext.llm.oracle import ORACLE as ORACLE
+from mixtext.llm.pii import BASE, count, personal_data, span_list
 from mixtext.llm.quality_rules import quality
 from mixtext.llm.token_files import token_files
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
+    return found.select(
+        "doc_id", *[count(F.col("pii"), k).alias(f"n_{k}") for k in BASE],
+        F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("pii")).alias("spans"),
+        F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",").alias("scores"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
@@ -29,5 +40,5 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_quality_rules, op6_source_mix, op9_token_files)
+    f.__name__: f for f in (op1_pii, op5_quality_rules, op6_source_mix, op9_token_files)
 }
