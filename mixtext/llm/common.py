@@ -51,3 +51,16 @@ def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
+
+
+_HELD: dict[str, object] = {}
+
+
+def per_worker(key: str, make):
+    """``make()`` once per worker process and key; one object is held at a time per family
+    (the part of the key before the colon), so models of earlier queries go."""
+    if key not in _HELD:
+        for old in [k for k in _HELD if k.split(":")[0] == key.split(":")[0]]:
+            del _HELD[old]
+        _HELD[key] = make()
+    return _HELD[key]

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixtext.llm.common import read, tokenizer_file
+from mixtext.llm import language_id, toxicity
+from mixtext.llm.common import held_out, read, tokenizer_file
 from mixtext.llm.mixing import mix
 from mixtext.llm.oracle import ORACLE as ORACLE
 from mixtext.llm.pii import BASE, count, personal_data, span_list
 from mixtext.llm.quality_rules import quality
+from mixtext.llm.secret_scan import secrets
 from mixtext.llm.token_files import token_files
 
 
@@ -24,6 +26,19 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",").alias("scores"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs)
+    return language_id.language(docs.select("doc_id", "text"), model) \
+        .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
@@ -34,11 +49,19 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"] != "novel")
+    return found.select(
+        "doc_id", *[count(F.col("secrets"), k).alias(f"n_{k}") for k in ("assign", "access", "hex", "novel")],
+        F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("secrets")).alias("spans"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return token_files(docs, tokenizer_file("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op5_quality_rules, op6_source_mix, op9_token_files)
+    f.__name__: f for f in (op1_pii, op3_toxicity, op4_language_id, op5_quality_rules, op6_source_mix, op7_secrets, op9_token_files)
 }
