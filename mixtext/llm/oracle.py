@@ -86,4 +86,14 @@ SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coa
     coalesce(scores, '') AS scores FROM d LEFT JOIN per ON d.doc_id = per.doc_id
 """
 
-ORACLE = {"op1_pii": OP1, "op5_quality_rules": OP5, "op6_source_mix": OP6}
+_FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+OP2 = f"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE {_FINITE}),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(1, len(q.v) + 1),
+    lambda i: (c.v[i] - q.v[i]) * (c.v[i] - q.v[i]))), lambda a, b: a + b)) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLE = {"op2_nearest": OP2, "op1_pii": OP1, "op5_quality_rules": OP5, "op6_source_mix": OP6}

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from mixtext.llm import language_id, toxicity
 from mixtext.llm.common import held_out, read, tokenizer_file
 from mixtext.llm.mixing import mix
+from mixtext.llm.neighbours import nearest
 from mixtext.llm.oracle import ORACLE as ORACLE
 from mixtext.llm.pii import BASE, count, personal_data, span_list
+from mixtext.llm.piece_sampling import pieces
 from mixtext.llm.quality_rules import quality
 from mixtext.llm.secret_scan import secrets
 from mixtext.llm.token_files import token_files
@@ -26,6 +28,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",").alias("scores"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
@@ -57,11 +63,25 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("secrets")).alias("spans"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_digest(pieces(docs, tokenizer_file("piece_bpe_32k.model")))
+
+
+def piece_digest(found: DataFrame) -> DataFrame:
+    """One narrow row per document: ids as their count and crc32 (of the packed ids)."""
+    drawn = F.transform("pieces.samples", lambda s: F.struct(
+        s["n_ids"].alias("n_ids"), F.crc32(s["ids"]).alias("ids_crc32"), s["log_prob"].alias("log_prob"),
+        s["perturbed"].alias("perturbed"), s["log_inclusion"].alias("log_inclusion")))
+    return found.select("doc_id", F.col("pieces.n_ids").alias("n_ids"), F.crc32("pieces.ids").alias("ids_crc32"),
+                        F.col("pieces.round_trip").alias("round_trip"), drawn.alias("samples"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return token_files(docs, tokenizer_file("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op3_toxicity, op4_language_id, op5_quality_rules, op6_source_mix, op7_secrets, op9_token_files)
+    f.__name__: f for f in (op1_pii, op2_nearest, op3_toxicity, op4_language_id, op5_quality_rules, op6_source_mix, op7_secrets, op8_pieces, op9_token_files)
 }
