@@ -1,4 +1,77 @@
-"""placeholder until the stages exist"""
+"""From raw documents to sampled piece sequences, stage by stage.
+
+Each stage takes what the stage before it kept, written as Parquet, and returns a table with
+the columns of ``documents``; the last returns the pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mixtext.llm import language_id
+from mixtext.llm.common import read, tokenizer_file
+from mixtext.llm.jaccard_join import jaccard_components
+from mixtext.llm.mixing import mixed
+from mixtext.llm.piece_sampling import pieces
+from mixtext.llm.queries import piece_digest
+from mixtext.llm.secret_scan import masked, secrets
+from mixtext.session import materialize
+
+PIECES = "piece_bpe_32k.model"
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is undetermined (no letters) go."""
+    found = language_id.language(docs.withColumn("__text", F.col("text")), language_id.fit(docs), "__text")
+    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays, once.
+    Documents without an id link with nothing and stay."""
+    keep = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret in a text becomes ``<secret>``; n_chars follows; no document goes."""
+    found = secrets(docs)
+    some = F.size("secrets") > 0
+    changed = found.withColumn("text", masked(F.col("text"), F.col("secrets")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed = changed.withColumn("n_chars", F.when(some, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return changed.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them (not at all to three times)."""
+    return mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, the encoding's length and checksum, whether it decodes to the text, and two
+    sampled segmentations with their inclusion scores."""
+    return piece_digest(pieces(docs.select("doc_id", "text"), tokenizer_file(PIECES)))
+
+
+STAGES = [
+    ("language_id", identify),
+    ("jaccard_join", deduplicate),
+    ("secret_scan", mask_secrets),
+    ("source_mix", mix_sources),
+    ("pieces", encode),
+]
+
+# Learned models, compression and hashed draws have no SQL form: see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

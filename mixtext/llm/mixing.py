@@ -15,20 +15,23 @@ from pyspark.sql import functions as F
 from mixtext.llm.common import words
 from mixtext.session import materialize
 
-COARSE = 1 << 16  # first buckets; each is refined into 1 << 16 finer ones
 MAX_COPIES = 3
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size (words) and the two bucket numbers of each document's hash."""
+def _buckets(id_col: str) -> list[Column]:
+    """The two bucket numbers of a document: 16 bits each of a hash of its id."""
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
 
     def bits(start: int) -> Column:
         return F.conv(F.substring(digest, start, 4), 16, 10).cast("int")
 
-    return docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-        F.size(words(F.col(text_col))).cast("long").alias("size"), bits(1).alias("coarse"), bits(5).alias("fine"))
+    return [bits(1).alias("coarse"), bits(5).alias("fine")]
+
+
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, size (words) and the two bucket numbers of each document's hash."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+                       F.size(words(F.col(text_col))).cast("long").alias("size"), *_buckets(id_col))
 
 
 def targets(per_source: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -71,38 +74,58 @@ def boundary(histogram: DataFrame, bucket: str) -> DataFrame:
             .select("source", f"b.{bucket}", F.col("b.left").alias("left"), F.col("b.words").alias("words")))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), id_col: str = "doc_id",
-        text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken (size x copies) per document.
+def _with_plan(df: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with their source's row of a table that has one row per source (null included)."""
+    plan = plan.withColumnRenamed("source", "__source")
+    return df.join(plan, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
 
-    Null text has size 0; a null source is a source of its own; an empty table gives no rows;
-    sources without words have target 0 and take none of their (empty) documents; rows with
-    the same id hash alike and are taken together. The same input gives the same mix.
-    """
-    docs = materialize(sizes(docs, id_col, text_col, source_col), "mix-sizes")
+
+def cuts(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """One row per source of ``sizes`` rows: source, source_size, target, whole copies, what is
+    left for one more (budget), and the threshold (__coarse, __fine) below which a document's
+    hash takes part in it; no threshold: none or, with a budget, all."""
     coarse = materialize(docs.groupBy("source", "coarse").agg(F.sum("size").alias("words")), "mix-histogram")
     plan = materialize(targets(coarse.groupBy("source").agg(F.sum("words").alias("source_size")), weights)
                        .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
                        .withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-plan")
-
-    def with_plan(df: DataFrame, p: DataFrame) -> DataFrame:
-        p = p.withColumnRenamed("source", "__source")
-        return df.join(p, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-
-    first = boundary(with_plan(coarse, plan.select("source", "budget")), "coarse").drop("words")
+    first = boundary(_with_plan(coarse, plan.select("source", "budget")), "coarse").drop("words")
     first = materialize(first.withColumnsRenamed({"coarse": "__coarse", "left": "budget"}), "mix-boundary")
-    inside = with_plan(docs, first).where(F.col("coarse") == F.col("__coarse"))
+    inside = _with_plan(docs, first).where(F.col("coarse") == F.col("__coarse"))
     second = boundary(inside.groupBy("source", "budget", "fine").agg(F.sum("size").alias("words")), "fine")
     # the boundary cell (about 2^-32 of a source) goes in if that ends nearer to the budget
     second = second.select("source", (F.col("fine") + F.when(F.col("left") * 2 > F.col("words"), 1).otherwise(0)).alias("__fine"))
-    cut = with_plan(plan, first.select("source", "__coarse")
-                    .withColumnRenamed("source", "s").join(second.withColumnRenamed("source", "t"), F.expr("s <=> t"))
-                    .select(F.col("s").alias("source"), "__coarse", "__fine"))
+    cut = _with_plan(plan, first.select("source", "__coarse")
+                     .withColumnRenamed("source", "s").join(second.withColumnRenamed("source", "t"), F.expr("s <=> t"))
+                     .select(F.col("s").alias("source"), "__coarse", "__fine"))
     rest = plan.join(first.select(F.col("source").alias("__source")), F.expr("source <=> __source"), "left_anti")
-    cuts = materialize(cut.unionByName(rest, allowMissingColumns=True), "mix-cuts")
-    out = with_plan(docs, cuts)
-    # no boundary: the budget is nothing (targets of whole copies) or all of the source
+    return materialize(cut.unionByName(rest, allowMissingColumns=True), "mix-cuts")
+
+
+def copies() -> Column:
+    """How often a document (with its buckets and its source's cut) is taken."""
     below = (F.col("coarse") < F.col("__coarse")) | ((F.col("coarse") == F.col("__coarse")) & (F.col("fine") < F.col("__fine")))
     extra = F.when(F.col("__coarse").isNull(), F.when(F.col("budget") > 0, 1).otherwise(0)).when(below, 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target",
-                      (F.col("whole") + extra).alias("copies"), (F.col("size") * (F.col("whole") + extra)).alias("taken"))
+    return F.col("whole") + extra
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), id_col: str = "doc_id",
+        text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken (size x copies) per document.
+
+    Null text has size 0; a null source is a source of its own; an empty table gives no rows;
+    sources without words have target 0 and take none of their (empty) documents; rows with
+    the same id hash alike and are taken together. The same input gives the same mix.
+    """
+    narrow = materialize(sizes(docs, id_col, text_col, source_col), "mix-sizes")
+    out = _with_plan(narrow, cuts(narrow, weights)).withColumn("copies", copies())
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), id_col: str = "doc_id",
+          text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with their own columns only. The
+    texts are not shuffled: each row meets the cut of its source, one row per source."""
+    narrow = materialize(sizes(docs, id_col, text_col, source_col), "mix-sizes")
+    held = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *_buckets(id_col), F.col(source_col).alias("source"))
+    taken = _with_plan(held, cuts(narrow, weights)).withColumn("copies", copies()).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -96,4 +96,18 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, ve
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-ORACLE = {"op2_nearest": OP2, "op1_pii": OP1, "op5_quality_rules": OP5, "op6_source_mix": OP6}
+OP10 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o, any_value(a.n) AS nx, any_value(b.n) AS ny
+    FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT x, y FROM p WHERE 100 * o >= 90 * (nx + ny - o)),
+ends AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(v, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT ends.y, reach.c FROM reach JOIN ends ON ends.x = reach.v)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(c) FROM reach WHERE v = s.doc_id) AS component_id FROM s
+"""
+
+ORACLE = {"op10_jaccard_join": OP10, "op2_nearest": OP2, "op1_pii": OP1, "op5_quality_rules": OP5, "op6_source_mix": OP6}

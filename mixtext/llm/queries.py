@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mixtext.llm import language_id, toxicity
 from mixtext.llm.common import held_out, read, tokenizer_file
+from mixtext.llm.jaccard_join import jaccard_components
 from mixtext.llm.mixing import mix
 from mixtext.llm.neighbours import nearest
 from mixtext.llm.oracle import ORACLE as ORACLE
@@ -82,6 +83,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(docs, tokenizer_file("word_bpe_49k.json"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_nearest, op3_toxicity, op4_language_id, op5_quality_rules, op6_source_mix, op7_secrets, op8_pieces, op9_token_files)
+    f.__name__: f for f in (op1_pii, op2_nearest, op3_toxicity, op4_language_id, op5_quality_rules, op6_source_mix, op7_secrets, op8_pieces, op9_token_files, op10_jaccard_join)
 }
