@@ -179,12 +179,11 @@ class Lattices:
 
     def learn(self, chunks: list[str]) -> None:
         """Build the lattices and encodings of new words, all at once."""
-        # a word that follows a line end has no space before it; the line end hides the one
-        # that the model would add
-        got = self.model.encode([c[1:].replace(SPACE, " ") if c[0] == SPACE else "\n" + c for c in chunks])
+        # the model would put a space before a word; behind a line end it does not
+        got = self.model.encode(["\n" + c.replace(SPACE, " ") for c in chunks])
         for c, ids in zip(chunks, got, strict=True):
             self.number[c] = len(self.canonical)
-            self.canonical.append(np.array(ids if c[0] == SPACE else ids[2:], "<u2").tobytes())
+            self.canonical.append(np.array(ids[2:], "<u2").tobytes())
         sizes = np.array([len(c) for c in chunks])
         stops = np.cumsum(sizes)
         ends = np.repeat(stops, sizes)

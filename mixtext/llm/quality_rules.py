@@ -89,9 +89,9 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     })
     counted = counted.withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"))
     return counted.withColumns({
-        "mean_word_chars": F.col("word_chars") / F.col("n_words"),
-        "symbols_per_word": F.col("n_symbols") / F.col("n_words"),
-        "stop_word_ratio": F.col("__stop") / F.col("n_words"),
+        "mean_word_chars": F.try_divide("word_chars", "n_words"),
+        "symbols_per_word": F.try_divide("n_symbols", "n_words"),
+        "stop_word_ratio": F.try_divide("__stop", "n_words"),
         "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.size("__l"), F.lit(1)),
     })
 
