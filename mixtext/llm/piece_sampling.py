@@ -288,10 +288,10 @@ def _parts(lat: Lattices, edges: np.ndarray, offsets: np.ndarray, value: np.ndar
     n = np.diff(offsets)
     p = lat.prob.data[edges]
     logs = np.log(p)
-    before = np.cumsum(logs) - logs
-    heads = np.repeat(before[np.minimum(offsets[:-1], max(len(before) - 1, 0))] if len(before) else np.zeros(len(n)), n)
-    before = before - heads
-    total = np.array([logs[a:z].sum() for a, z in zip(offsets[:-1], offsets[1:], strict=True)])
+    # text by text, so that rounding does not depend on what a text is sampled with
+    sums = [np.cumsum(logs[a:z]) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+    before = np.concatenate(sums) - logs if sums else logs
+    total = np.array([x[-1] if len(x) else 0.0 for x in sums])
     place = np.arange(len(edges)) - np.repeat(offsets[:-1], n)
     with np.errstate(divide="ignore"):
         mass = before + np.log1p(-np.minimum(p, 1.0))
