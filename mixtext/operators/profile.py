@@ -20,72 +20,79 @@ KNOWN_LABEL_VALUES = (
 )
 
 
+class ColumnIndex:
+    """The columns of a table by position, exact name and normalised name (R2).
+
+    Names that several columns share stand for the first of them.
+    """
+
+    def __init__(self, names: list[str]):
+        self.names = list(names)
+        self.exact: dict[str, int] = {}
+        self.normal: dict[str, int] = {}
+        for place, name in enumerate(self.names):
+            self.exact.setdefault(name, place)
+            self.normal.setdefault(T.normalize_name_py(name), place)
+
+    def find(self, selector: int | str) -> str:
+        wanted = str(selector).strip()
+        if wanted.isdecimal() and int(wanted) < len(self.names):
+            return self.names[int(wanted)]
+        places = {self.exact.get(wanted), self.normal.get(T.normalize_name_py(wanted))} - {None}
+        if not places:
+            raise ValueError(f"no column {selector!r}: give a position below {len(self.names)} or one of {self.names}")
+        return self.names[min(places)]
+
+    def among(self, known: tuple[str, ...]) -> str | None:
+        """The first column whose normalised name is one of ``known``."""
+        places = [self.normal[k] for k in known if k in self.normal]
+        return self.names[min(places)] if places else None
+
+
 def resolve_column(df: DataFrame, selector) -> str | None:
-    """R2: by position, exact name or normalised name; error lists the choices."""
-    if selector is None:
-        return None
-    cols = df.columns
-    if isinstance(selector, int):
-        return cols[selector]
-    text = str(selector).strip()
-    if text.isdigit() and 0 <= int(text) < len(cols):
-        return cols[int(text)]
-    norm = T.normalize_name_py(text)
-    for c in cols:
-        if c == text or T.normalize_name_py(c) == norm:
-            return c
-    raise ValueError(f"Column '{selector}' was not found. Available columns: {', '.join(cols)}")
+    """R2: the column that a position or name stands for; nothing for no selector."""
+    return None if selector is None else ColumnIndex(df.columns).find(selector)
 
 
 def named_roles(df: DataFrame) -> tuple[str | None, str | None]:
-    """First column whose normalised name is a known text / label name."""
-    text_col = label_col = None
-    for c in df.columns:
-        n = T.normalize_name_py(c)
-        if n in TEXT_COLUMN_NAMES and text_col is None:
-            text_col = c
-        if n in LABEL_COLUMN_NAMES and label_col is None:
-            label_col = c
-    return text_col, label_col
-
-
-def label_likeness(df: DataFrame, approximate: bool = False) -> DataFrame:
+    """The columns with a known text name and a known label name."""
+    index = ColumnIndex(df.columns)
+    return index.among(TEXT_COLUMN_NAMES), index.among(LABEL_COLUMN_NAMES)
+
+
+def label_likeness(df: DataFrame) -> DataFrame:
     """Per column (position, known-label hits, distinct ratio, mean stripped length).
 
-    One pass: every statistic of every column in a single aggregate. ``approximate``
-    swaps exact distinct counts for HyperLogLog sketches at scale.
+    One pass in long form: every value becomes (position, 128-bit digest, length), digests
+    are grouped with map-side combine, and k rows are left. Whole values are not shuffled.
     """
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(df.columns):
-        v = T.py_strip(T.null_to_empty(F.col(c)))
-        distinct = F.approx_count_distinct(v) if approximate else F.count_distinct(v)
-        aggs += [
-            F.count_if(F.lower(v).isin(*KNOWN_LABEL_VALUES)).alias(f"h{i}"),
-            distinct.alias(f"d{i}"),
-            F.avg(F.length(v)).alias(f"l{i}"),
-        ]
-    row = df.agg(*aggs)
-    per_col = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"), F.col(f"h{i}").alias("known_hits"),
-                 (F.col(f"d{i}") / F.greatest(F.col("_n"), F.lit(1))).alias("unique_ratio"),
-                 F.coalesce(F.col(f"l{i}"), F.lit(0.0)).alias("mean_length"))
-        for i, c in enumerate(df.columns)
-    ])
-    return row.select(F.inline(per_col))
+    named = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"),
+                               T.py_strip(T.null_to_empty(F.col(c))).alias("v")) for i, c in enumerate(df.columns)])
+    values = df.select(F.explode(named).alias("x")).select(
+        "x.position", "x.column_name", F.md5("x.v").alias("digest"), F.length("x.v").cast("long").alias("length"),
+        F.lower("x.v").isin(*KNOWN_LABEL_VALUES).alias("known"))
+    distinct = values.groupBy("position", "column_name", "digest").agg(
+        F.count("*").alias("n"), F.sum("length").alias("length"), F.count_if("known").alias("hits"))
+    found = distinct.groupBy("position", "column_name").agg(
+        F.sum("hits").alias("known_hits"), (F.count("*") / F.sum("n")).alias("unique_ratio"),
+        (F.sum("length") / F.sum("n")).alias("mean_length"))
+    # a table without rows still has its columns
+    every = df.sparkSession.createDataFrame([(i, c, 0, 0.0, 0.0) for i, c in enumerate(df.columns)],
+                                            "position int, column_name string, known_hits long, unique_ratio double, mean_length double")
+    return every.unionByName(found).groupBy("column_name", "position").agg(
+        F.max("known_hits").alias("known_hits"), F.max("unique_ratio").alias("unique_ratio"), F.max("mean_length").alias("mean_length"))
 
 
 def infer_roles(profile: DataFrame) -> DataFrame:
     """label = min by (-hits, ratio, mean length, position); text = max of the other
     columns by (mean length, ratio, -hits), first column on ties. One row."""
-    profile = profile.cache()  # one row per input column; read twice below
     label_key = F.struct(-F.col("known_hits"), F.col("unique_ratio"), F.col("mean_length"), F.col("position"))
-    chosen = profile.agg(F.min_by("column_name", label_key).alias("label_column"), F.count(F.lit(1)).alias("_k"))
-    marked = profile.join(chosen, profile.column_name == chosen.label_column, "left_anti")
-    text_key = F.struct(F.col("mean_length"), F.col("unique_ratio"), -F.col("known_hits"), -F.col("position"))
-    text = marked.agg(F.max_by("column_name", text_key).alias("text_column"))
-    from mixtext.operators.util import side_by_side
-
-    return side_by_side(text, chosen.drop("_k"))
+    label = F.min_by(F.struct("column_name", "position"), label_key)
+    text_key = F.struct("mean_length", "unique_ratio", -F.col("known_hits"), -F.col("position"), "column_name")
+    # k rows, one aggregate: the best text column and, should it be the label, the runner-up
+    both = profile.agg(label.alias("label"), F.slice(F.sort_array(F.collect_list(text_key), asc=False), 1, 2).alias("texts"))
+    pick = F.get(F.filter("texts", lambda t: t["column_name"] != F.col("label.column_name")), F.lit(0))["column_name"]
+    return both.select(pick.alias("text_column"), F.col("label.column_name").alias("label_column"))
 
 
 def infer_columns(df: DataFrame) -> tuple[str, str]:

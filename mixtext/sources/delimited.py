@@ -3,6 +3,8 @@ all-null column pruning."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -86,10 +88,19 @@ def choose_separator(spark: SparkSession, path: str, header: bool) -> tuple[str,
     return best[0], best[2]
 
 
+def _fields(record, sep: str):
+    """Number of fields of a raw record: separators outside quoted parts, plus one."""
+    bare = F.regexp_replace(record, '"([^"]|"")*"', "")
+    return F.size(F.split(bare, re.escape(sep), -1))
+
+
 def read_delimited(spark: SparkSession, path: str, header: bool = False, sep: str | None = None) -> DataFrame:
-    """All-string columns, one scan with the chosen separator. Rows with more fields
-    than the header / first record are dropped; short rows keep nulls. Adds ``row_id``
-    (file order) and prunes all-null columns (S4). Error if nothing is read."""
+    """All-string columns, one scan with the chosen separator, in file order (``_order``).
+
+    Rows with more fields than the header / first record are dropped, empty fields are empty
+    strings, and only fields that a short row does not have are null. The reader flags every
+    record of another width; the width of a flagged record is counted in its raw text.
+    """
     if sep is None:
         sep, names = choose_separator(spark, path, header)
     else:
@@ -101,11 +112,12 @@ def read_delimited(spark: SparkSession, path: str, header: bool = False, sep: st
         _reader(spark, sep, header).schema(schema).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT).csv(path)
     )
-    # a flagged row whose last declared field is set had too many fields
-    df = df.where(F.col(CORRUPT).isNull() | F.col(names[-1]).isNull()).drop(CORRUPT)
     order = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    df = df.withColumn("_order", order)
-    return prune_null_columns(df.select(F.col("_order"), *names))
+    # the reader refuses plans that need its corrupt record alone: a count reads one more column
+    some = F.length(F.coalesce(F.col(names[0]), F.lit(""))) >= 0
+    present = F.when(F.col(CORRUPT).isNull() & some, len(names)).otherwise(_fields(F.col(CORRUPT), sep))
+    df = df.select(order.alias("_order"), present.alias("_present"), *names).where(F.col("_present") <= len(names))
+    return df.select("_order", *[F.when(F.col("_present") > i, F.coalesce(F.col(n), F.lit(""))).alias(n) for i, n in enumerate(names)])
 
 
 def prune_null_columns(df: DataFrame, keep=("_order", "row_id")) -> DataFrame:
@@ -117,27 +129,35 @@ def prune_null_columns(df: DataFrame, keep=("_order", "row_id")) -> DataFrame:
     return df.select(*[c for c in df.columns if c in keep or counts[c] > 0])
 
 
+def _roles(raw: DataFrame, selectors: tuple) -> tuple[str, str] | None:
+    """Text and label column of a table: selected, else named, else (headerless) profiled."""
+    data = raw.drop("_order")
+    chosen = tuple(PR.resolve_column(data, s) for s in selectors)
+    if None not in chosen:
+        return chosen
+    guessed = PR.infer_columns(data)
+    return tuple(c or g for c, g in zip(chosen, guessed, strict=True))
+
+
 def load_dataset(spark: SparkSession, path: str, text_col=None, label_col=None) -> tuple[DataFrame, str, str]:
     """S3 + R2-R5: decide header mode, resolve or infer the roles, return the raw table
-    with ``row_id`` plus the chosen text and label column names."""
-    if text_col is not None or label_col is not None:
-        header = not str(text_col if text_col is not None else label_col).isdigit()
-        raw = read_delimited(spark, path, header=header)
-        data = raw.drop("_order")
-        t = PR.resolve_column(data, text_col)
-        lab = PR.resolve_column(data, label_col)
-        if t is None or lab is None:
-            it, il = PR.infer_columns(data)
-            t, lab = t or it, lab or il
+    with ``row_id`` plus the chosen text and label column names.
+
+    A selected column tells the header mode (a position: none). Without one, the first
+    record is a header if it names both roles: that needs the record alone, not a scan.
+    Positions count all columns; empty ones are pruned afterwards.
+    """
+    selectors = (text_col, label_col)
+    given = [str(s) for s in selectors if s is not None]
+    if given:
+        header = not given[0].isdigit()
     else:
-        probe = read_delimited(spark, path, header=True)
-        t, lab = PR.named_roles(probe.drop("_order"))
-        if t is not None and lab is not None:
-            raw = probe
-        else:
-            raw = read_delimited(spark, path, header=False)
-            t, lab = PR.infer_columns(raw.drop("_order"))
-    return with_row_id(raw), t, lab
+        names = choose_separator(spark, path, True)[1]
+        index = PR.ColumnIndex(names)
+        header = None not in (index.among(PR.TEXT_COLUMN_NAMES), index.among(PR.LABEL_COLUMN_NAMES))
+    raw = read_delimited(spark, path, header=header)
+    text, label = PR.named_roles(raw.drop("_order")) if header and not given else _roles(raw, selectors)
+    return with_row_id(prune_null_columns(raw)), text, label
 
 
 def with_row_id(raw: DataFrame) -> DataFrame:

@@ -3,8 +3,11 @@
 import contextlib
 import io
 
+import pytest
+
 from mixtext.operators import features as FE
 from mixtext.operators import prep
+from mixtext.operators import profile as PR
 from mixtext.plans import documents as D
 from mixtext.session import scratch_path
 from mixtext.sources import delimited as DL
@@ -60,7 +63,28 @@ def test_delimited_malformed_and_multiline_rows(spark, tmp_path):
     path.write_text('A,b\nc,d,e\nf,\n"q,1","l1\nl2"\n', encoding="utf-8")
     df = DL.read_delimited(spark, str(path), header=False).drop("_order")
     rows = sorted((r._c0, r._c1) for r in df.collect())
-    assert rows == [("A", "b"), ("f", None), ("q,1", "l1\nl2")]
+    assert rows == [("A", "b"), ("f", ""), ("q,1", "l1\nl2")]
+
+
+def test_delimited_widths_and_empty_fields(spark, tmp_path):
+    """Too long a row goes even with an empty last field; empty fields stay empty strings and
+    keep their column; fields a short row lacks are null; positions count empty columns."""
+    path = tmp_path / "in.csv"
+    path.write_text('a,b,c\n1,2,3\n1,2,,9\n1,2,3,\n4,,\n5\n"6,6",7\n', encoding="utf-8")
+    rows = DL.read_delimited(spark, str(path), header=True).orderBy("_order").drop("_order").collect()
+    assert [tuple(r) for r in rows] == [("1", "2", "3"), ("4", "", ""), ("5", None, None), ("6,6", "7", None)]
+    path.write_text("x,,hello\ny,,world\n", encoding="utf-8")
+    raw, text, label = DL.load_dataset(spark, str(path), text_col="2", label_col="0")
+    assert (text, label) == ("_c2", "_c0") and [(r._c0, r._c1, r._c2) for r in raw.orderBy("row_id").collect()] == [("x", "", "hello"), ("y", "", "world")]
+
+
+def test_column_index():
+    index = PR.ColumnIndex(["Id", "The Text", "the_text", "2", "Label "])
+    assert [index.find(x) for x in (1, "1", "The Text", " the text ", "LABEL", "2", "9" * 0 + "4")] == [
+        "The Text", "The Text", "The Text", "The Text", "Label ", "the_text", "Label "]
+    with pytest.raises(ValueError, match="no column 'zzz'"):
+        index.find("zzz")
+    assert PR.ColumnIndex(["x", "Category", "text", "label"]).among(PR.LABEL_COLUMN_NAMES) == "Category"
 
 
 def test_separator_probe_prefers_widest(spark, tmp_path):
