@@ -57,10 +57,9 @@ _HELD: dict[str, object] = {}
 
 
 def per_worker(key: str, make):
-    """``make()`` once per worker process and key; one object is held at a time per family
-    (the part of the key before the colon), so models of earlier queries go."""
+    """``make()`` once per worker process and key. Workers outlive queries and stages, so a
+    process holds one such object at a time: the next operator's takes its place."""
     if key not in _HELD:
-        for old in [k for k in _HELD if k.split(":")[0] == key.split(":")[0]]:
-            del _HELD[old]
+        _HELD.clear()
         _HELD[key] = make()
     return _HELD[key]

@@ -17,6 +17,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import partial
 from urllib.parse import urlparse
 
 import numpy as np
@@ -26,10 +27,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mixtext.llm.common import raw_texts
+from mixtext.llm.common import per_worker, raw_texts
 from mixtext.session import scratch_path
 
-CACHE_WORDS = 300_000  # distinct words whose ids a worker keeps; then the cache starts anew
+CACHE_WORDS = 400_000  # distinct words whose ids a worker keeps; then that cache starts anew
+CACHE_RUNS = 600_000  # likewise for letter runs
 READ_DOCS = 8192  # documents per batch when reading back
 
 MANIFEST = T.StructType([
@@ -46,44 +48,94 @@ class WordEncoder:
     """Whole texts to ids through a word cache.
 
     The tokenizer's normaliser and pre-tokeniser never look across ASCII white space, so the
-    ids of a text are the ids of its white-space separated words, one after the other.
+    ids of a text are the ids of its white-space separated words, one after the other. Most
+    words are a run of Latin letters with closing marks; the pre-tokeniser parts the two, the
+    letters' ids do not depend on their case, and many letter runs are encoded in one call:
+    every run's last id, and no other, is a word-end token. All other words are encoded one
+    by one.
     """
 
+    MARKS = b".,!?;:#*$%&|"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.ends = np.zeros(size, dtype=bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.runs: dict[bytes, bytes] = {}
+
+    def _run(self, letters: bytes) -> bytes | None:
+        """The lower-case form of a run of Latin letters, None for anything else."""
+        if letters.isalpha():
+            return letters.lower()
+        text = letters.decode("utf-8", "replace")
+        if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
+            return text.lower().encode()
+        return None
+
+    def _one_by_one(self, words: list[bytes]) -> list[bytes]:
+        out = []
+        for start in range(0, len(words), 4096):
+            got = self.batch([w.decode("utf-8", "replace") for w in words[start:start + 4096]], add_special_tokens=False)
+            out += [np.array(e.ids, dtype=self.dtype).tobytes() for e in got]
+        return out
+
+    def _learn_runs(self, runs: list[bytes]) -> None:
+        for start in range(0, len(runs), 4096):
+            some = runs[start:start + 4096]
+            ids = np.array(self.batch([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
+            packed = ids.tobytes()
+            if len(stops) != len(some) or stops[-1] != len(packed):
+                self.runs.update(zip(some, self._one_by_one(some), strict=True))
+                continue
+            at = 0
+            for run, stop in zip(some, stops.tolist(), strict=True):
+                self.runs[run] = packed[at:stop]
+                at = stop
+
+    def _learn(self, words: set[bytes]) -> None:
+        parted, whole = [], []
+        for w in words:
+            letters = w.rstrip(self.MARKS)
+            run = self._run(letters)
+            if run is None:
+                whole.append(w)
+            else:
+                parted.append((w, run, w[len(letters):]))
+        marks = {m for _, _, m in parted if m}.difference(self.runs)
+        self.runs.update(zip(marks, self._one_by_one(list(marks)), strict=True))
+        self._learn_runs(list({r for _, r, _ in parted}.difference(self.runs)))
+        self.runs[b""] = b""
+        for w, run, mark in parted:
+            self.known[w] = self.runs[run] + self.runs[mark]
+        self.known.update(zip(whole, self._one_by_one(whole), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of each text."""
         split = [t.split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known = {}
+        if len(self.runs) > CACHE_RUNS:
+            self.runs = {}
         new: set[bytes] = set()
         for w in split:
             new.update(set(w).difference(self.known))
-        fresh = list(new)
-        for start in range(0, len(fresh), 4096):
-            some = fresh[start:start + 4096]
-            got = self.batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            for w, e in zip(some, got, strict=True):
-                self.known[w] = np.array(e.ids, dtype=self.dtype).tobytes()
+        if new:
+            self._learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in split]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One encoder per worker process and vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return per_worker(f"encoder:{path}", partial(WordEncoder, path))
 
 
 def _store(uri: str):
