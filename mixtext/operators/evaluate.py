@@ -28,11 +28,12 @@ def label_grid(spark, classes) -> DataFrame:
 
 def confusion_cells(pred: DataFrame, classes, true: str = "label", predicted: str = "predicted_label") -> DataFrame:
     """Dense k x k confusion cells over the given label order; pairs outside it are ignored."""
-    counts = pred.groupBy(F.col(true).alias("true_label"), F.col(predicted).alias("pred_label")).agg(
+    known = F.col(true).isin(*classes) & F.col(predicted).isin(*classes)
+    counts = pred.where(known).groupBy(F.col(true).alias("true_label"), F.col(predicted).alias("pred_label")).agg(
         F.count(F.lit(1)).alias("count")
     )
     grid = label_grid(pred.sparkSession, classes)
-    # the count table has at most (labels seen)^2 rows; both sides are tiny
+    # pairs outside the class list are gone before: at most k x k rows
     return grid.join(F.broadcast(counts), ["true_label", "pred_label"], "left").select(
         "true_idx", "pred_idx", "true_label", "pred_label", F.coalesce("count", F.lit(0)).cast("long").alias("count")
     )

@@ -300,14 +300,16 @@ def candidates(*metrics: DataFrame) -> DataFrame:
 
 
 def comparison(candidate_metrics: DataFrame, experiment: str = "text_classification") -> DataFrame:
-    """M8 / M9: one comparison row. A single candidate gives ``baseline_only`` mode."""
+    """M8 / M9: one comparison row. Without a candidate beside the baseline family the mode is
+    ``baseline_only``; a lone embedding model is a comparison."""
     ranked = champion_rank(candidate_metrics)
     models = F.map_from_entries(
         F.collect_list(F.struct("model_name", F.struct("model_family", "accuracy", "macro_f1", "weighted_f1")))
     )
     champ = F.max_by(F.struct("model_name", "model_family"), -F.col("rank"))
-    out = ranked.agg(F.count(F.lit(1)).alias("_n"), champ.alias("_c"), models.alias("models"))
-    only = F.col("_n") == 1
+    out = ranked.agg(F.count(F.lit(1)).alias("_n"), champ.alias("_c"), models.alias("models"),
+                     F.bool_and(F.col("model_family") == "baseline").alias("_b"))
+    only = (F.col("_n") == 1) & F.col("_b")
     return out.select(
         F.lit(experiment).alias("experiment_name"),
         F.when(only, "baseline_only").otherwise("comparison").alias("mode"),

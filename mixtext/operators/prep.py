@@ -12,12 +12,9 @@ from pyspark.sql import functions as F
 from mixtext.functions import text as T
 
 # hex digits of the md5 used as the split histogram bucket: 20 bits, 1,048,576 buckets
-# per class. The boundary bucket then holds about n_c / 2^20 rows, which bounds the
-# broadcast of boundary assignments (about 100k rows per class at 10^11 rows).
+# per class. The boundary bucket, the only one that is ranked, then holds about n_c / 2^20
+# rows (about 100k rows per class at 10^11 rows).
 SPLIT_BUCKET_HEX = 5
-# boundary assignments are broadcast up to this many rows (~40 MB of (row_id, side));
-# beyond it the join on row_id is shuffled instead
-EDGE_BROADCAST_ROWS = 2_000_000
 
 
 def project_clean(raw: DataFrame, text_col: str, label_col: str, row_id: str = "row_id",
@@ -121,55 +118,37 @@ def stratified_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, labe
                      stratify: bool | None = None) -> DataFrame:
     """Adds ``split`` ('train' / 'test') with exact per-class quotas, seeded.
 
-    Membership inside a class = order of md5(seed|row_id). Skew-safe, no window over
-    data rows of a whole class: a (class, 20-bit hash bucket) histogram finds each
-    class's boundary bucket; rows outside it are assigned map-only; only the boundary
-    bucket (about 1/2^20 of a class) is ranked, on narrow (row_id, label) columns, and
-    its assignments are broadcast back. The wide table is read once for the output
-    (plus two narrow passes), so pass a materialized table, not a long lineage.
-    When the smallest class has fewer than 2 rows the split falls back to one
-    unstratified stratum, as the reference does.
+    Membership inside a class = order of (md5(seed|row_id), row_id): a row is a test row if it
+    does not come after its class's last test row. That cut-off, one (hash, row_id) per class,
+    is found without ranking a class: a (class, 20-bit hash bucket) histogram gives the bucket
+    in which the quota ends, and only that bucket (about 1/2^20 of a class) is ranked, on
+    narrow columns. The wide table is then read once and compared map-only with its class's
+    cut-off, so pass a materialized table, not a long lineage. When the smallest class has
+    fewer than 2 rows the split falls back to one unstratified stratum, as the reference does.
     """
-    def keyed(frame: DataFrame) -> DataFrame:
-        return frame.withColumn("_h", _split_hash(seed, F.col("row_id"))).withColumn(
-            "_b", F.conv(F.substring("_h", 1, SPLIT_BUCKET_HEX), 16, 10).cast("int")
-        )
-
-    narrow = keyed(df.select("row_id", label))
-    hist = narrow.groupBy(F.col(label).alias("_s"), "_b").agg(F.count(F.lit(1)).alias("_cnt")).cache()
+    narrow = df.select("row_id", label).withColumn("_h", _split_hash(seed, F.col("row_id"))).withColumn(
+        "_b", F.conv(F.substring("_h", 1, SPLIT_BUCKET_HEX), 16, 10).cast("int"))
+    by_class = narrow.groupBy(F.col(label), "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     if stratify is None:
-        smallest = hist.groupBy("_s").agg(F.sum("_cnt").alias("n")).agg(F.min("n")).first()[0]  # k-sized
+        smallest = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]  # one number
         stratify = smallest is not None and smallest >= 2
-    stratum = F.col(label) if stratify else F.lit("")
-    if not stratify:
-        hist = hist.groupBy(F.lit("").alias("_s"), "_b").agg(F.sum("_cnt").alias("_cnt"))
-    counts = hist.groupBy("_s").agg(F.sum("_cnt").alias("n"))
-    quotas = class_quotas(counts, test_size, label="_s")
+    strata = F.col(label) if stratify else F.lit("")
+    hist = by_class.groupBy(strata.alias("_s"), "_b").agg(F.sum("_cnt").alias("_cnt"))
+    quotas = class_quotas(hist.groupBy("_s").agg(F.sum("_cnt").alias("n")), test_size, label="_s")
     run = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = hist.withColumn("_incl", F.sum("_cnt").over(run)).withColumn("_before", F.col("_incl") - F.col("_cnt"))
-    boundary = cum.join(quotas, "_s").where(
+    boundary = cum.join(quotas.select("_s", "test_quota"), "_s").where(
         (F.col("_before") < F.col("test_quota")) & (F.col("_incl") >= F.col("test_quota"))
     ).select("_s", F.col("_b").alias("_bstar"), (F.col("test_quota") - F.col("_before")).alias("_need"))
-    # one row per class: the broadcast is bounded by the number of classes
-    boundary = F.broadcast(boundary)
-    edge = narrow.withColumn("_s", stratum).join(boundary, "_s").where(F.col("_b") == F.col("_bstar"))
+    # one row per class on the right side of both joins
+    edge = narrow.withColumn("_s", strata).join(boundary, "_s").where(F.col("_b") == F.col("_bstar"))
     rank = F.row_number().over(Window.partitionBy("_s").orderBy("_h", "row_id"))
-    edge = edge.select("row_id", F.when(rank <= F.col("_need"), "test").otherwise("train").alias("_edge"))
-    wide = keyed(df).withColumn("_s", stratum).join(boundary, "_s", "left")
-    # about n_c / 2^20 rows per class (see SPLIT_BUCKET_HEX); the exact total is read
-    # from the histogram (k-sized job) and decides between broadcast and shuffle join
-    edge_rows = (
-        hist.join(boundary.select("_s", F.col("_bstar").alias("_b")), ["_s", "_b"])
-        .agg(F.sum("_cnt")).first()[0] or 0
-    )
-    wide = wide.join(F.broadcast(edge) if edge_rows <= EDGE_BROADCAST_ROWS else edge, "row_id", "left")
-    side = (
-        F.when(F.col("_bstar").isNull(), F.lit("train"))
-        .when(F.col("_b") < F.col("_bstar"), F.lit("test"))
-        .when(F.col("_b") > F.col("_bstar"), F.lit("train"))
-        .otherwise(F.col("_edge"))
-    )
-    return wide.withColumn("split", side).select(*df.columns, "split")
+    cuts = edge.withColumn("_rank", rank).where(F.col("_rank") == F.col("_need")).select(
+        F.col("_s").alias("_cs"), F.struct(F.col("_h"), F.col("row_id")).alias("_cut"))
+    place = F.struct(_split_hash(seed, F.col("row_id")).alias("_h"), F.col("row_id"))
+    out = df.join(cuts, strata == F.col("_cs"), "left")
+    # a class without a cut-off has no test rows
+    return out.select(*[df[c] for c in df.columns], F.when(place <= F.col("_cut"), "test").otherwise("train").alias("split"))
 
 
 def stratified_split_plain(df: DataFrame, test_size: float = 0.2, seed: int = 42,

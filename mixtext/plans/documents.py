@@ -32,12 +32,20 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.prepare(raw_documents(spark, sf_dir), "text", "lang")
 
 
-# paths of tables already written in this application, by (app id, input dir, params)
+# paths of tables already written in this application, by (app id, state of the input, params)
 _WRITTEN: dict[tuple, str] = {}
 
 
+def input_state(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of a table's files (a listing, no contents)."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+    return files.agg(F.md5(F.array_join(F.sort_array(F.collect_list(F.concat_ws("|", "path", "length", "modificationTime"))), ","))).first()[0]
+
+
 def _table(spark: SparkSession, key: tuple, build) -> DataFrame:
-    full = (spark.sparkContext.applicationId,) + key
+    # the input's schema, files and sizes are part of the key: a changed input is written anew
+    state = input_state(spark, f"{key[1].rstrip('/')}/documents.parquet")
+    full = (spark.sparkContext.applicationId, state) + key
     if full not in _WRITTEN:
         df = materialize(build(), key[0])
         _WRITTEN[full] = df.inputFiles()[0].rsplit("/", 1)[0]
@@ -82,6 +90,15 @@ def predictions(spark: SparkSession, sf_dir: str, model=None) -> DataFrame:
     return score(test_rows(spark, sf_dir), model)
 
 
+def scored_documents(spark: SparkSession, sf_dir: str, model=None) -> DataFrame:
+    """All prepared documents (not the test split alone) scored by a frozen scorer, written once."""
+    from mixtext.operators.scoring import function_word_scorer, score
+
+    model = model or function_word_scorer()
+    key = ("scored", sf_dir, model.model_name, tuple(model.classes), tuple(model.weight_rows()), tuple(sorted(model.bias.items())))
+    return _table(spark, key, lambda: score(prepared_table(spark, sf_dir), model))
+
+
 def r6(c):
     """Round a derived double to 6 places for engine-independent comparison."""
     return F.round(c, 6)

@@ -14,7 +14,7 @@ from mixtext.operators import models as M
 from mixtext.operators import prep
 from mixtext.operators import reconcile as RC
 from mixtext.operators.scoring import score
-from mixtext.session import materialize
+from mixtext.session import materialize, path_exists
 from mixtext.sources import delimited as DL
 from mixtext.sources import reports as RP
 
@@ -26,12 +26,6 @@ COMPARISON_SCHEMA = (
 )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def preprocess(spark: SparkSession, input_path: str, output_dir: str, text_col=None, label_col=None,
                test_size: float = 0.2, random_state: int = 42, first_only: bool = False) -> dict[str, str]:
     """Delimited input -> split table + metadata."""
@@ -71,7 +65,8 @@ def train_baseline(spark: SparkSession, split_path: str, models_dir: str, report
     metrics = _metrics_report(M.evaluate(score(test, model), model), f"{reports_dir}/baseline_metrics")
     registry = f"{models_dir}/registry"
     M.register_model(spark, registry, model.model_name, model_path, "baseline")
-    if not _exists(spark, f"{reports_dir}/transformer_metrics"):
+    embedded = path_exists(spark, f"{reports_dir}/transformer_metrics") and path_exists(spark, f"{models_dir}/{M.TRANSFORMER_NAME}")
+    if not embedded:  # its report and its model: one of them alone does not make a comparison
         comp = M.comparison(M.candidates(metrics))
         _finish_comparison(spark, comp, metrics, models_dir, reports_dir, {model.model_name: model_path})
     row = metrics.first()  # one metrics row
@@ -104,7 +99,7 @@ def train_embeddings(spark: SparkSession, split_path: str, models_dir: str, repo
     metrics = _metrics_report(M.evaluate(score(test, model), model), f"{reports_dir}/transformer_metrics")
     cands = [metrics]
     paths = {model.model_name: model_path}
-    if _exists(spark, f"{reports_dir}/baseline_metrics"):
+    if path_exists(spark, f"{reports_dir}/baseline_metrics"):
         base = spark.read.schema(metrics.schema).json(f"{reports_dir}/baseline_metrics")
         cands.append(base)
         paths[M.BASELINE_NAME] = f"{models_dir}/{M.BASELINE_NAME}"
@@ -128,7 +123,7 @@ def validate(spark: SparkSession, split_path: str, models_dir: str, reports_dir:
     """V0-V10 over the written reports, registry and test split (missing inputs fail their rule)."""
     def read(name, schema=None):
         path = f"{reports_dir}/{name}"
-        if not _exists(spark, path):
+        if not path_exists(spark, path):
             return None
         return spark.read.schema(schema).json(path) if schema else spark.read.json(path)
 
@@ -145,7 +140,8 @@ def validate(spark: SparkSession, split_path: str, models_dir: str, reports_dir:
             [("V0_metrics_present", False, None, None, None, None)],
             "rule string, ok boolean, expected double, actual double, expected_name string, actual_name string")
     shown = RC.display_metrics(comparison_rows, champ, base)
-    test = RP.load_split(spark, split_path, "test") if _exists(spark, split_path) else None
+    # a missing test part fails its rule, it does not end the check
+    test = RP.load_split(spark, split_path, "test") if path_exists(spark, f"{split_path}/split=test") else None
     err = read("error_analysis")
-    registry = spark.read.parquet(f"{models_dir}/registry") if _exists(spark, f"{models_dir}/registry") else None
-    return RC.reconcile(shown, test, err, registry, _exists(spark, f"{reports_dir}/transformer_metrics"))
+    registry = spark.read.parquet(f"{models_dir}/registry") if path_exists(spark, f"{models_dir}/registry") else None
+    return RC.reconcile(shown, test, err, registry, path_exists(spark, f"{reports_dir}/transformer_metrics"))

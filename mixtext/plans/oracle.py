@@ -112,12 +112,13 @@ def with_(ctes: str, body: str) -> str:
 # ---------------------------------------------------------------------------
 # Frozen scorer replay (test split -> predictions)
 # ---------------------------------------------------------------------------
-def scorer_ctes(weights: dict[str, dict[str, int]], prefix: str = "", source: str = "split") -> str:
+def scorer_ctes(weights: dict[str, dict[str, int]], prefix: str = "", source: str = "split",
+                where: str = "split = 'test'") -> str:
     classes = sorted({c for by in weights.values() for c in by})
     rows = ", ".join(f"({q(t)}, {q(c)}, {w})" for t, by in sorted(weights.items()) for c, w in sorted(by.items()))
     cls_rows = ", ".join(f"({q(c)}, {i})" for i, c in enumerate(classes))
     p = prefix
-    return f"""{p}test AS (SELECT row_id, original_text, text, label FROM {source} WHERE split = 'test'),
+    return f"""{p}test AS (SELECT row_id, original_text, text, label FROM {source} WHERE {where}),
 {p}sc AS (SELECT * FROM (VALUES {rows}) v(term, cls, w)),
 {p}cls AS (SELECT * FROM (VALUES {cls_rows}) v(cls, idx)),
 {p}ct AS (SELECT row_id, {clean('text')} AS cleaned_text FROM {p}test),

@@ -11,7 +11,7 @@ from mixtext.operators import errors as ER
 from mixtext.operators import models as M
 from mixtext.operators import prep
 from mixtext.operators import profile as PR
-from mixtext.operators.scoring import function_word_scorer
+from mixtext.operators.scoring import FUNCTION_WORDS, function_word_scorer
 from mixtext.plans import documents as D
 from mixtext.plans import oracle as O
 from mixtext.plans.catalog import register
@@ -80,18 +80,24 @@ def _write_split(spark, sf_dir):
     return path
 
 
-@register("s5_write_split")
+@register("s5_write_split", O.with_(O.SPLIT, "SELECT split, count(*) AS count FROM split GROUP BY split"))
 def s5_write_split(spark, sf_dir):
     path = _write_split(spark, sf_dir)
     return spark.read.parquet(path).groupBy("split").count()
 
 
-@register("s6_dataset_metadata")
+@register("s6_dataset_metadata", O.with_(O.SPLIT, """SELECT (SELECT count(*) FROM documents) AS raw_rows, count(*) AS processed_rows,
+    'text' AS text_column, 'lang' AS label_column, (SELECT string_agg(label || '=' || n, ',' ORDER BY label) FROM
+    (SELECT label, count(*) AS n FROM split GROUP BY label)) AS label_distribution, 0.2::DOUBLE AS test_size, 42::INT AS random_state,
+    true AS stratified_split, count(*) FILTER (WHERE split = 'train') AS train_rows, count(*) FILTER (WHERE split = 'test') AS test_rows,
+    5::INT AS cleaning_steps FROM split"""))
 def s6_dataset_metadata(spark, sf_dir):
     raw = D.raw_documents(spark, sf_dir)
     meta = RP.dataset_metadata(raw, D.split(spark, sf_dir), f"{sf_dir}/documents.parquet", "text", "lang",
                                D.TEST_SIZE, D.SEED, True)
-    return meta.select(F.to_json(F.struct(*meta.columns)).alias("metadata_json"))
+    labels = F.transform(F.map_entries("label_distribution"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return meta.select("raw_rows", "processed_rows", "text_column", "label_column", F.array_join(F.array_sort(labels), ",").alias("label_distribution"),
+                       "test_size", "random_state", "stratified_split", "train_rows", "test_rows", F.size("cleaning").alias("cleaning_steps"))
 
 
 @register(
@@ -188,7 +194,7 @@ def r5_role_inference(spark, sf_dir):
     return PR.infer_roles(PR.label_likeness(docs))
 
 
-@register("r6_inspect")
+@register("r6_inspect", O.with_(O.PREPARED, "SELECT row_id, original_text, text, label FROM w1 ORDER BY row_id LIMIT 5"))
 def r6_inspect(spark, sf_dir):
     return PR.inspect(D.prepared(spark, sf_dir))
 
@@ -205,9 +211,17 @@ def p8_language_hint(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", hint.alias("hint"), valid.alias("is_valid"))
 
 
-@register("p9_nonempty_payload", "SELECT conv_id, turn FROM conversations WHERE length(text) >= 1")
+@register(
+    "p9_nonempty_payload",
+    f"""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN '' WHEN turn % 4 = 2 THEN '  ' ELSE text END AS text FROM conversations)
+    SELECT conv_id, turn, {O.py_strip("text")} <> '' AS has_words FROM t WHERE length(text) >= 1""",
+)
 def p9_nonempty_payload(spark, sf_dir):
-    return read_table(spark, sf_dir, "conversations").where(F.length("text") >= 1).select("conv_id", "turn")
+    """The request gate (at least one character) and the trimmed gate of spoken output, over
+    conversations of which some turns are derived to be empty or blank."""
+    text = F.when(F.col("turn") % 4 == 3, "").when(F.col("turn") % 4 == 2, "  ").otherwise(F.col("text"))
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"))
+    return turns.where(F.length("text") >= 1).select("conv_id", "turn", (T.py_strip("text") != "").alias("has_words"))
 
 
 @register(
@@ -230,31 +244,47 @@ CONV_SCHEMA = StructType([
 ])
 
 
+def stream_rows(spark, sf_dir):
+    """The conversations as stream input; every fourth turn is derived to be empty, so that the
+    payload gate has something to reject."""
+    text = F.when(F.col("turn") % 4 == 3, "").otherwise(F.col("text"))
+    return read_table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("row_id"), "conv_id", "turn", text.alias("text"))
+
+
 def _conversation_stream(spark, sf_dir):
-    conv = read_table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("row_id"), "conv_id", "turn", "text")
     src = scratch_path(spark, "stream_in")
-    conv.repartition(4).write.parquet(src)  # several files -> several micro-batch inputs
+    stream_rows(spark, sf_dir).repartition(4).write.parquet(src)  # several files -> several micro-batch inputs
     out = scratch_path(spark, "stream_out")
     q = start_scoring_stream(spark, src, CONV_SCHEMA, function_word_scorer(), out, scratch_path(spark, "stream_ckpt"))
     q.awaitTermination()
     return out
 
 
-@register("st1_streaming_scoring")
+_STREAM = """turns AS (SELECT conv_id * 1000000 + turn AS row_id, CASE WHEN turn % 4 = 3 THEN '' ELSE text END AS text FROM conversations),
+conv AS (SELECT row_id, text AS original_text, text, '' AS label FROM turns WHERE length(text) >= 1),
+""" + O.scorer_ctes(FUNCTION_WORDS, source="conv", where="true") + """,
+banded AS (SELECT row_id, predicted_label, round(confidence, 6) AS confidence, cleaned_text, 'baseline' AS model,
+    'function_words' AS model_name, CASE WHEN confidence >= 0.70 THEN 'high' WHEN confidence >= 0.55 THEN 'medium' ELSE 'low' END AS band FROM pred),
+tops AS (SELECT row_id, string_agg(cls, '|' ORDER BY p DESC, idx) AS top_labels FROM (SELECT *, row_number() OVER
+    (PARTITION BY row_id ORDER BY p DESC, idx) AS rk FROM prob) WHERE rk <= 3 GROUP BY row_id)"""
+
+
+def _records(df):
+    return df.select("row_id", "predicted_label", r6(F.col("confidence")).alias("confidence"), "band", "cleaned_text", "model",
+                     "model_name", F.array_join("top_probabilities.label", "|").alias("top_labels"))
+
+
+@register("st1_streaming_scoring", O.with_(_STREAM, "SELECT banded.*, top_labels FROM banded JOIN tops USING (row_id)"))
 def st1_streaming_scoring(spark, sf_dir):
-    return spark.read.parquet(f"{_conversation_stream(spark, sf_dir)}/predictions")
+    return _records(spark.read.parquet(f"{_conversation_stream(spark, sf_dir)}/predictions"))
 
 
-@register("st2_review_sink")
+@register("st2_review_sink", O.with_(_STREAM, "SELECT banded.*, top_labels FROM banded JOIN tops USING (row_id) WHERE band = 'low'"))
 def st2_review_sink(spark, sf_dir):
-    out = _conversation_stream(spark, sf_dir)
-    try:
-        return spark.read.parquet(f"{out}/review")
-    except Exception:  # noqa: BLE001 - no low-confidence row in any batch
-        return spark.read.parquet(f"{out}/predictions").where("band = 'low'")
+    return _records(spark.read.parquet(f"{_conversation_stream(spark, sf_dir)}/review"))
 
 
-@register("st3_reject_sink")
+@register("st3_reject_sink", O.with_(_STREAM, "SELECT row_id FROM turns WHERE text IS NULL OR length(text) < 1"))
 def st3_reject_sink(spark, sf_dir):
-    return spark.read.parquet(f"{_conversation_stream(spark, sf_dir)}/rejects")
+    return spark.read.parquet(f"{_conversation_stream(spark, sf_dir)}/rejects").select("row_id")

@@ -104,12 +104,15 @@ def u2_metrics_union(spark, sf_dir):
 
 @register(
     "j6_text_embedding_join",
-    """SELECT d.doc_id, d.lang, e.label FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id""",
+    """SELECT d.doc_id, d.lang, e.label, len(e.embedding)::INT AS dims, round(list_sum(list_transform(e.embedding,
+              lambda x: x::DOUBLE)), 6) AS total FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""",
 )
 def j6_text_embedding_join(spark, sf_dir):
+    """Every text with its stored vector; a text without one keeps its row."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
-    emb = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    return docs.join(emb, "doc_id")
+    emb = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", "embedding")
+    total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x)
+    return docs.join(emb, "doc_id", "left").select("doc_id", "lang", "label", F.size("embedding").alias("dims"), r6(total).alias("total"))
 
 
 # Iteration budget of the registered fit queries. The library default is the reference's

@@ -3,6 +3,7 @@ class counts (A1-A3), the split (W2, U4) and the first rows (T3)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mixtext.functions import text as T
@@ -10,7 +11,7 @@ from mixtext.operators import prep
 from mixtext.plans import documents as D
 from mixtext.plans import oracle as O
 from mixtext.plans.catalog import register
-from mixtext.session import read_table
+from mixtext.session import materialize, read_table
 
 
 def _pages_text(spark, sf_dir):
@@ -40,9 +41,10 @@ _c_query("c8_py_strip", T.py_strip, O.py_strip)
 _c_query("c_clean_text", T.clean_text, O.clean)
 
 
-@register("c1_nfkc")
+@register("c1_nfkc", O.with_(_PAGES, "SELECT page_id, raw AS value FROM pages_raw"))
 def c1_nfkc(spark, sf_dir):
-    """NFKC through the Arrow UDF over whole page texts (rows-only check)."""
+    """NFKC through the Arrow UDF over whole page texts (the given texts are their own
+    NFKC form; crafted texts that are not are in the tests)."""
     return _pages_text(spark, sf_dir).select("page_id", T.nfkc(F.col("raw")).alias("value"))
 
 
@@ -146,7 +148,7 @@ def w2_class_quotas(spark, sf_dir):
     return prep.class_quotas(counts, D.TEST_SIZE)
 
 
-@register("u4_split_check")
+@register("u4_split_check", "SELECT 0::BIGINT AS overlap, 0::BIGINT AS missing, 0::BIGINT AS extra, 0::BIGINT AS repeated, true AS ok")
 def u4_split_check(spark, sf_dir):
     return prep.split_check(D.prepared(spark, sf_dir), D.split(spark, sf_dir))
 
@@ -165,8 +167,13 @@ def t3_first_rows(spark, sf_dir):
 )
 def w3_row_index(spark, sf_dir):
     """Dense 0-based position of each prepared row (only on request; row_id is the carried
-    identity). A range-partitioned sort keeps partitions in order and zipWithIndex numbers
-    them with one counting pass: no single-partition window."""
-    ordered = D.prepared_table(spark, sf_dir).select("row_id").orderBy("row_id")
-    indexed = ordered.rdd.zipWithIndex().map(lambda p: (p[0][0], p[1]))
-    return spark.createDataFrame(indexed, "row_id long, row_index long")
+    identity). A range-partitioned sort keeps partitions in order; a row's index is its place in
+    the partition plus the sizes of the partitions before: no window over data rows."""
+    ordered = materialize(D.prepared_table(spark, sf_dir).select("row_id").orderBy("row_id").withColumn(
+        "_at", F.monotonically_increasing_id()), "row_index")
+    # position in the partition plus the rows of all partitions before it (one row per partition)
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ordered.groupBy(part.alias("_p")).agg(F.count("*").alias("n")).withColumn("_base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return ordered.withColumn("_p", part).join(F.broadcast(bases.select("_p", "_base")), "_p") \
+        .select("row_id", (F.col("_base") + place).alias("row_index"))

@@ -92,18 +92,29 @@ def x6_almost_equal(spark, sf_dir):
 
 @register(
     "j7_metrics_errors_split_join",
-    O.with_(RECON, """SELECT model_name, total, err_total, test_rows, err_wrong, total - correct AS wrong FROM vals"""),
+    O.with_(RECON + """,
+    other AS (SELECT model_name AS o_model, count(*) AS o_total, count(*) FILTER (WHERE label <> predicted_label) AS o_wrong
+              FROM allpred WHERE model_name NOT IN (SELECT model_name FROM champ) GROUP BY model_name)""",
+            """SELECT 'same model' AS artifacts, model_name, total, err_total, test_rows, err_wrong, total - correct AS wrong FROM vals
+    UNION ALL SELECT 'other model', model_name, total, NULL, test_rows, NULL, total - correct FROM vals
+    UNION ALL SELECT 'other model', o_model, NULL, o_total, test_rows, o_wrong, NULL FROM other, trows"""),
 )
 def j7_metrics_errors_split_join(spark, sf_dir):
-    """Reported metrics x error summary x split counts, keyed by model name (full outer join)."""
-    shown_src, summary, _ = _artifacts(spark, sf_dir)
+    """Reported metrics x error summary x split counts by model name (full outer join): once
+    with the champion's own error summary, once with the other model's, which must not match."""
     from mixtext.operators import evaluate as E
 
-    st = E.matrix_stats(shown_src, keep=["model_name"])
-    tr = D.test_rows(spark, sf_dir).agg(F.count(F.lit(1)).alias("test_rows"))
-    err = summary.select("model_name", F.col("total_examples").alias("err_total"), F.col("total_wrong").alias("err_wrong"))
-    joined = st.join(err, "model_name", "full_outer")
-    # the split count has no model key: attach it through the one-row helper, not a cross join
-    from mixtext.operators.util import side_by_side
-
-    return side_by_side(joined, tr).select("model_name", "total", "err_total", "test_rows", "err_wrong", "wrong")
+    shown_src, summary, _ = _artifacts(spark, sf_dir)
+    champion = shown_src.select("model_name").first()[0]  # one name
+    other = next(m for m in (function_word_scorer(), article_scorer()) if m.model_name != champion)
+    foreign = ER.error_analysis(D.predictions(spark, sf_dir, other), other)["summary"]
+    st = E.matrix_stats(shown_src, keep=["model_name"]).select("model_name", "total", "wrong")
+    tests = D.test_rows(spark, sf_dir).agg(F.count(F.lit(1)).alias("test_rows")).withColumn("_one", F.lit(1))
+    out = None
+    for name, err in (("same model", summary), ("other model", foreign)):
+        err = err.select("model_name", F.col("total_examples").alias("err_total"), F.col("total_wrong").alias("err_wrong"))
+        # the split count belongs to every row, matched or not
+        rows = st.join(err, "model_name", "full_outer").withColumn("_one", F.lit(1)).join(tests, "_one") \
+            .select(F.lit(name).alias("artifacts"), "model_name", "total", "err_total", "test_rows", "err_wrong", "wrong")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -14,16 +14,18 @@ from mixtext.plans.catalog import register
 from mixtext.plans.documents import r6
 
 PRED = O.SPLIT + ",\n" + O.scorer_ctes(FUNCTION_WORDS)
+# the same over every prepared document
+ALL = O.PREPARED + ",\n" + O.scorer_ctes(FUNCTION_WORDS, source="w1", where="true")
 REPORT = PRED + ",\n" + O.report_ctes()
 
 
 @register(
     "x1_softmax",
-    O.with_(PRED, "SELECT row_id, cls AS label, round(p, 6) AS probability FROM prob"),
+    O.with_(ALL, "SELECT row_id, cls AS label, round(p, 6) AS probability FROM prob"),
 )
 def x1_softmax(spark, sf_dir):
     model = function_word_scorer()
-    pred = D.predictions(spark, sf_dir, model)
+    pred = D.scored_documents(spark, sf_dir, model)
     return pred.select("row_id", F.posexplode_outer("probabilities").alias("idx", "probability")).select(
         "row_id", F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.col("idx") + 1).alias("label"),
         r6(F.col("probability")).alias("probability"),
@@ -32,19 +34,19 @@ def x1_softmax(spark, sf_dir):
 
 @register(
     "x2_x3_argmax_confidence",
-    O.with_(PRED, "SELECT row_id, predicted_label, round(confidence, 6) AS confidence FROM pred"),
+    O.with_(ALL, "SELECT row_id, predicted_label, round(confidence, 6) AS confidence FROM pred"),
 )
 def x2_x3_argmax_confidence(spark, sf_dir):
-    return D.predictions(spark, sf_dir).select("row_id", "predicted_label", r6(F.col("confidence")).alias("confidence"))
+    return D.scored_documents(spark, sf_dir).select("row_id", "predicted_label", r6(F.col("confidence")).alias("confidence"))
 
 
 @register(
     "x5_label_probability_map",
-    O.with_(PRED, "SELECT row_id, cls AS label, round(p, 6) AS probability FROM prob"),
+    O.with_(ALL, "SELECT row_id, cls AS label, round(p, 6) AS probability FROM prob"),
 )
 def x5_label_probability_map(spark, sf_dir):
     model = function_word_scorer()
-    pred = D.predictions(spark, sf_dir, model)
+    pred = D.scored_documents(spark, sf_dir, model)
     m = S.label_probabilities(F.array(*[F.lit(c) for c in model.classes]), F.col("probabilities"))
     return pred.select("row_id", F.explode_outer(m).alias("label", "probability")).select(
         "row_id", "label", r6(F.col("probability")).alias("probability")
@@ -57,7 +59,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY p DESC, idx) AS
 
 def _top_n_query(spark, sf_dir, n):
     model = function_word_scorer()
-    rec = prediction_records(D.predictions(spark, sf_dir, model), model, top_n=n)
+    rec = prediction_records(D.scored_documents(spark, sf_dir, model), model, top_n=n)
     # outer generator: the plain one makes Spark infer a size() > 0 filter that it pushes
     # below the projections, evaluating cleaning and scoring twice
     exploded = rec.select("row_id", F.posexplode_outer("top_probabilities").alias("pos", "tp"))
@@ -67,18 +69,20 @@ def _top_n_query(spark, sf_dir, n):
     )
 
 
-@register("t2_top3_probabilities", O.with_(PRED, _TOPN.format(n=3)))
+@register("t2_top3_probabilities", O.with_(ALL, _TOPN.format(n=3)))
 def t2_top3_probabilities(spark, sf_dir):
     return _top_n_query(spark, sf_dir, 3)
 
 
-@register("x10_top_n_clamped", O.with_(PRED, _TOPN.format(n=0)))
+@register("x10_top_n_clamped", O.with_(ALL, "SELECT row_id, predicted_label, 0 AS n_probabilities FROM pred"))
 def x10_top_n_clamped(spark, sf_dir):
-    """A negative top_n is clamped to 0: no probabilities are returned."""
-    return _top_n_query(spark, sf_dir, -2)
+    """A negative top_n is clamped to 0: every record stands, without probabilities."""
+    model = function_word_scorer()
+    rec = prediction_records(D.scored_documents(spark, sf_dir, model), model, top_n=-2)
+    return rec.select("row_id", F.col("sentiment").alias("predicted_label"), F.size("top_probabilities").alias("n_probabilities"))
 
 
-@register("x10_top_n_beyond_classes", O.with_(PRED, _TOPN.format(n=10)))
+@register("x10_top_n_beyond_classes", O.with_(ALL, _TOPN.format(n=10)))
 def x10_top_n_beyond_classes(spark, sf_dir):
     """A top_n above the number of classes returns every class, ranked."""
     return _top_n_query(spark, sf_dir, 10)
@@ -86,10 +90,10 @@ def x10_top_n_beyond_classes(spark, sf_dir):
 
 @register(
     "m6_batch_scoring",
-    O.with_(PRED, "SELECT row_id, cleaned_text, predicted_label, round(confidence, 6) AS confidence FROM pred"),
+    O.with_(ALL, "SELECT row_id, cleaned_text, predicted_label, round(confidence, 6) AS confidence FROM pred"),
 )
 def m6_batch_scoring(spark, sf_dir):
-    return D.predictions(spark, sf_dir).select(
+    return D.scored_documents(spark, sf_dir).select(
         "row_id", "cleaned_text", "predicted_label", r6(F.col("confidence")).alias("confidence")
     )
 
@@ -97,7 +101,7 @@ def m6_batch_scoring(spark, sf_dir):
 @register(
     "m7_prediction_record",
     O.with_(
-        PRED,
+        ALL,
         """SELECT row_id, predicted_label AS sentiment, round(confidence, 6) AS confidence, 'baseline' AS model,
                   'function_words' AS model_name, cleaned_text,
                   CASE WHEN confidence >= 0.70 THEN 'high' WHEN confidence >= 0.55 THEN 'medium' ELSE 'low' END AS band
@@ -106,7 +110,7 @@ def m6_batch_scoring(spark, sf_dir):
 )
 def m7_prediction_record(spark, sf_dir):
     model = function_word_scorer()
-    rec = prediction_records(D.predictions(spark, sf_dir, model), model)
+    rec = prediction_records(D.scored_documents(spark, sf_dir, model), model)
     return rec.select("row_id", "sentiment", r6(F.col("confidence")).alias("confidence"), "model", "model_name",
                       "cleaned_text", "band")
 
@@ -132,12 +136,15 @@ def a7_confusion_matrix(spark, sf_dir):
     )
 
 
-@register("j5_label_grid", O.with_(REPORT, "SELECT true_idx, true_label, pred_idx, pred_label FROM grid"))
+@register(
+    "j5_label_grid",
+    O.with_(O.PREPARED, """labs AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS idx FROM (SELECT DISTINCT label FROM w1))
+    SELECT a.idx::INT AS true_idx, a.label AS true_label, b.idx::INT AS pred_idx, b.label AS pred_label FROM labs a, labs b""".replace("labs AS", ", labs AS", 1)),
+)
 def j5_label_grid(spark, sf_dir):
-    model = function_word_scorer()
-    classes = sorted(r[0] for r in D.prepared(spark, sf_dir).select("label").distinct().collect())  # k labels
-    model.classes = classes if set(classes) == set(model.classes) else model.classes
-    return E.label_grid(spark, model.classes).select(
+    """The grid of the labels that the documents have."""
+    labels = D.prepared_table(spark, sf_dir).select("label").distinct().orderBy("label").collect()  # k labels
+    return E.label_grid(spark, [r[0] for r in labels]).select(
         F.col("true_idx").cast("int"), "true_label", F.col("pred_idx").cast("int"), "pred_label"
     )
 

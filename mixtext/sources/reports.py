@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from mixtext.operators import prep
+from mixtext.session import path_exists
 
 # The cleaning steps recorded in the dataset metadata
 CLEANING_STEPS = (
@@ -61,12 +62,9 @@ def write_json_report(df: DataFrame, path: str) -> None:
 
 def read_json_report(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Read a report with a fixed schema; a missing report is an empty table."""
-    try:
-        return spark.read.schema(schema).option("multiLine", False).json(path)
-    except Exception as exc:  # noqa: BLE001 - absent path
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
-            return spark.createDataFrame([], schema)
-        raise
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", False).json(path)
 
 
 def write_error_csv(errors: DataFrame, path: str) -> None:

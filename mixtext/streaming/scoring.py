@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from mixtext.functions import scoring as S
-from mixtext.operators.scoring import score
+from mixtext.operators.scoring import classes_col, score
+
+
+TOP_N = 3  # probabilities in a record, as in the batch records
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -31,12 +34,17 @@ def start_scoring_stream(spark: SparkSession, source_dir: str, schema: StructTyp
         rejects = batch.where(F.col(text_col).isNull() | (F.length(F.col(text_col)) < 1))
         keys = [F.col(c) for c in key_cols]
         records = score(valid, model, text_col).select(
-            *keys, "predicted_label", "confidence", S.confidence_band(F.col("confidence")).alias("band")
+            *keys, "predicted_label", "confidence", S.confidence_band(F.col("confidence")).alias("band"), "cleaned_text",
+            F.lit("transformer" if model.model_type == "transformer" else "baseline").alias("model"),
+            F.lit(model.model_name).alias("model_name"),
+            S.ranked_probabilities(classes_col(model), F.col("probabilities"), TOP_N).alias("top_probabilities"),
         ).persist()  # read by two sinks
-        _write_batch(records, f"{out_dir}/predictions", batch_id)
-        _write_batch(records.where(F.col("band") == "low"), f"{out_dir}/review", batch_id)
-        _write_batch(rejects.select(*keys), f"{out_dir}/rejects", batch_id)
-        records.unpersist()
+        try:
+            _write_batch(records, f"{out_dir}/predictions", batch_id)
+            _write_batch(records.where(F.col("band") == "low"), f"{out_dir}/review", batch_id)
+            _write_batch(rejects.select(*keys), f"{out_dir}/rejects", batch_id)
+        finally:
+            records.unpersist()
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")

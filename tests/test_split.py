@@ -1,6 +1,9 @@
 """Split quotas (golden from the published class sizes), equality with the plain rank,
 disjointness and coverage, independence of partitioning."""
 
+import contextlib
+import io
+
 from pyspark.sql import functions as F
 
 from mixtext.operators import prep
@@ -64,13 +67,13 @@ def test_hot_key_dedupe_and_hot_class_split(spark):
     assert sp.select("row_id", "split").exceptAll(plain).count() == 0
 
 
-def test_boundary_join_without_broadcast(spark, monkeypatch):
-    """Above the size check the boundary assignments are joined by shuffle; same split."""
-    p = D.prepared(spark, SF01).cache()
-    a = prep.stratified_split(p).select("row_id", "split")
-    monkeypatch.setattr(prep, "EDGE_BROADCAST_ROWS", -1)
-    b = prep.stratified_split(p).select("row_id", "split")
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+def test_split_joins_one_row_per_class_only(spark):
+    """No row is looked up by its id: the wide table meets its class's cut-off, nothing else."""
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        prep.stratified_split(D.prepared_table(spark, SF01)).explain("formatted")
+    keys = [line for line in buf.getvalue().splitlines() if "keys" in line.lower() and "row_id" in line]
+    assert not keys
 
 
 def test_prepare_drops_empty_groups_like_a_filter(spark):

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from mixtext.operators.scoring import function_word_scorer, score
 from mixtext.plans import q_io
-from mixtext.session import read_table
 
 from conftest import SF001
 
@@ -13,8 +12,7 @@ from conftest import SF001
 def test_stream_equals_batch(spark):
     out = q_io._conversation_stream(spark, SF001)
     streamed = spark.read.parquet(f"{out}/predictions").select("row_id", "predicted_label", "confidence")
-    conv = read_table(spark, SF001, "conversations").select(
-        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("row_id"), "text").where(F.length("text") >= 1)
+    conv = q_io.stream_rows(spark, SF001).where(F.length("text") >= 1).select("row_id", "text")
     batch = score(conv, function_word_scorer()).select("row_id", "predicted_label", "confidence")
     assert streamed.count() == batch.count()
     assert streamed.exceptAll(batch).count() == 0
