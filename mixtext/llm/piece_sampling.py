@@ -38,7 +38,7 @@ from mixtext.llm.common import per_worker
 SPACE = "▁"
 LETTER, MARK = "[A-Za-z\u00c0-\u024f]", "[.,!?;:#*$%&|]"
 CHUNK = re.compile(f"\n|{SPACE}*{LETTER}+(?={MARK})|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-CACHE_CHUNKS = 250_000  # word lattices that a worker keeps; then it starts anew
+CACHE_CHUNKS = 150_000  # word lattices that a worker keeps; then it starts anew
 GROUP_CHARS = 1_000_000  # characters sampled together
 RANK_OFFSET = 50.0  # a piece of rank r weighs 1 / (r + RANK_OFFSET)
 MANY = 1 << 16  # edge codes from here on stand for several byte pieces
@@ -63,9 +63,10 @@ def _key(*parts) -> np.ndarray:
     return out
 
 
-def _uniform(keys: np.ndarray, step: int = 0) -> np.ndarray:
+def _uniform(keys: np.ndarray, step=0) -> np.ndarray:
+    """Numbers in (0, 1), one for each key and step (a number or an array)."""
     with np.errstate(over="ignore"):
-        h = _mix(keys + np.uint64((step * 0x9E3779B97F4A7C15) & MASK))
+        h = _mix(keys + np.asarray(step).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
 
 
@@ -79,7 +80,7 @@ class Growing:
     def extend(self, values) -> None:
         need = self.n + len(values)
         if need > len(self.data):
-            self.data = np.concatenate([self.data[:self.n], np.zeros(max(need, len(self.data)), self.data.dtype)])
+            self.data = np.concatenate([self.data[:self.n], np.zeros(need - self.n + self.n // 4, self.data.dtype)])
         self.data[self.n:need] = values
         self.n = need
 
@@ -114,13 +115,15 @@ class Lattices:
         self.number: dict[str, int] = {}
         self.canonical: list[bytes] = []
         self.many: list[tuple[int, ...]] = []
-        self.first = Growing(np.int64)  # word -> its first node
-        self.edges = Growing(np.int64)  # node -> its first edge
-        self.origin = Growing(np.int64)  # edge -> the node it leaves
-        self.prob = Growing(np.float64)  # edge -> its probability at that node
-        self.upto = Growing(np.float64)  # the same, summed over the node's edges so far
-        self.to = Growing(np.int64)  # edge -> the node it enters, -1 at the word's end
-        self.code = Growing(np.int64)  # edge -> piece id, or MANY + number of a byte sequence
+        self.fits = Growing(bool)  # whether a word's encoding decodes to the word
+        self.first = Growing(np.int32)  # word -> its first node
+        self.edges = Growing(np.int32)  # node -> its first edge
+        self.origin = Growing(np.int32)  # edge -> the node it leaves
+        self.log = Growing(np.float64)  # edge -> log of its probability at that node
+        self.rest = Growing(np.float64)  # log of the probability of the node's other edges
+        self.upto = Growing(np.float64)  # the probability summed over the node's edges so far
+        self.to = Growing(np.int32)  # edge -> the node it enters, -1 at the word's end
+        self.code = Growing(np.int32)  # edge -> piece id, or MANY + number of a byte sequence
 
     def _index(self) -> None:
         """Hashes of all beginnings of pieces, sorted, with the piece that each one is (or -1)."""
@@ -175,50 +178,56 @@ class Lattices:
             codes.append(ids[0] if len(ids) == 1 else MANY + len(self.many) - 1)
             logs.append(self.byte_log * len(ids))
         found.append((spelt, spelt + 1, np.array(codes, np.int64), np.array(logs)))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        # edges of a node together, long pieces (mostly the likely ones) first
+        src, dst, code, log = (np.concatenate(x) for x in zip(*found[::-1], strict=True))
+        order = np.argsort(src, kind="stable")
+        return src[order], dst[order], code[order], log[order]
 
     def learn(self, chunks: list[str]) -> None:
         """Build the lattices and encodings of new words, all at once."""
         # the model would put a space before a word; behind a line end it does not
+        fits = []
         got = self.model.encode(["\n" + c.replace(SPACE, " ") for c in chunks])
         for c, ids in zip(chunks, got, strict=True):
             self.number[c] = len(self.canonical)
             self.canonical.append(np.array(ids[2:], "<u2").tobytes())
+            fits.append(b"".join([self.surface[i] for i in ids[2:]]) == c.replace(SPACE, " ").encode())
+        self.fits.extend(fits)
         sizes = np.array([len(c) for c in chunks])
         stops = np.cumsum(sizes)
         ends = np.repeat(stops, sizes)
         points = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4")
         src, dst, code, log = self._edges(points, ends)
         # backward sums, all nodes at the same distance from their word's end together
-        order = np.lexsort((src, ends[src] - src))
-        src, dst, code, log = src[order], dst[order], code[order], log[order]
+        inner, distance = dst < ends[src], ends[src] - src
+        order = np.argsort(distance.astype(np.uint16) if sizes.max() < 1 << 16 else distance, kind="stable")
         beta = np.zeros(len(points) + 1)
-        inner = dst < ends[src]
-        distance = ends[src] - src
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(distance)) + 1, [len(src)]]).tolist()
+        near, node_of, into, weight = inner[order], src[order], dst[order], log[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(distance[order])) + 1, [len(src)]]).tolist()
         for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-            score = log[a:z] + np.where(inner[a:z], beta[dst[a:z]], 0.0)
-            node = src[a:z]
+            score = weight[a:z] + np.where(near[a:z], beta[into[a:z]], 0.0)
+            node = node_of[a:z]
             heads = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1])
             top = np.maximum.reduceat(score, heads)
             each = np.repeat(top, np.diff(np.append(heads, z - a)))
             beta[node[heads]] = top + np.log(np.add.reduceat(np.exp(score - each), heads))
         prob = np.exp(log + np.where(inner, beta[dst], 0.0) - beta[src])
-        order = np.lexsort((-prob, src))
-        src, dst, code, prob, inner = src[order], dst[order], code[order], prob[order], inner[order]
         per_node = np.bincount(src, minlength=len(points))
         begin = np.cumsum(per_node) - per_node
         upto = np.cumsum(prob)
         upto -= np.repeat(upto[begin] - prob[begin], per_node)
         upto[begin + per_node - 1] = 1.0
-        nodes, edges = self.edges.n, self.prob.n
+        nodes, edges = self.edges.n, self.log.n
         self.first.extend(nodes + stops - sizes)
         self.edges.extend(edges + begin)
         self.origin.extend(nodes + src)
-        self.prob.extend(prob)
         self.upto.extend(upto)
         self.to.extend(np.where(inner, nodes + dst, -1))
         self.code.extend(code)
+        single = per_node[src] == 1
+        with np.errstate(divide="ignore"):
+            self.log.extend(np.where(single, 0.0, np.log(prob)))
+            self.rest.extend(np.where(single, -np.inf, np.log1p(-np.minimum(prob, 1.0))))
 
     def words(self, text: str) -> list[str]:
         return CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
@@ -270,46 +279,45 @@ class Lattices:
 class Path:
     """One drawn segmentation of a text and the parts of the path space that hang on it."""
 
-    __slots__ = ("edges", "words", "log_prob", "value", "bounds", "used")
+    __slots__ = ("edges", "words", "log_prob", "value", "arrivals", "used")
 
-    def __init__(self, edges, words, log_prob, value, bounds, used):
+    def __init__(self, edges, words, log_prob, value, arrivals, used):
         self.edges, self.words, self.log_prob, self.value = edges, words, log_prob, value
-        self.bounds = bounds  # per edge: the Gumbel value of the paths that part there
+        self.arrivals = arrivals  # per edge: of the paths that part there, see _parts
         self.used = used  # {edge position: edges already taken there}
 
 
-def _parts(lat: Lattices, edges: np.ndarray, offsets: np.ndarray, value: np.ndarray, keys: np.ndarray,
+def _parts(lat: Lattices, edges: np.ndarray, offsets: np.ndarray, keys: np.ndarray,
            begin: np.ndarray, taken: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log-probability of each path, Gumbel value of each part) for paths laid end to end.
+    """(log-probability of each path, -log of each part's unbounded Gumbel arrival) for paths
+    laid end to end. The Gumbel value of a part with arrival t under a parent of value v is
+    -logaddexp(-v, t), so within a path the least arrival is the largest value.
 
     Parts before ``begin`` belong to an earlier path. At ``begin``, ``taken`` is the
     probability of the edges already used and ``left`` tells whether any other is left.
     """
     n = np.diff(offsets)
-    p = lat.prob.data[edges]
-    logs = np.log(p)
+    logs, mass = lat.log.data[edges], lat.rest.data[edges]
     # text by text, so that rounding does not depend on what a text is sampled with
     sums = [np.cumsum(logs[a:z]) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
     before = np.concatenate(sums) - logs if sums else logs
     total = np.array([x[-1] if len(x) else 0.0 for x in sums])
     place = np.arange(len(edges)) - np.repeat(offsets[:-1], n)
-    with np.errstate(divide="ignore"):
-        mass = before + np.log1p(-np.minimum(p, 1.0))
-        mass[place < np.repeat(begin, n)] = -np.inf
-        for d in np.flatnonzero((taken > 0) & (n > 0)):
-            x = offsets[d] + begin[d]
-            mass[x] = before[x] + np.log1p(-min(taken[d], 1.0)) if left[d] else -np.inf
-        noise = -np.log(-np.log(_uniform(_key(np.repeat(keys, n), place))))
-        bound = -np.logaddexp(-np.repeat(value, n), -(mass + noise))
-    bound[~np.isfinite(mass)] = -np.inf
-    return total, bound
+    mass += before
+    for d in np.flatnonzero((taken > 0) & (n > 0)).tolist():
+        x = offsets[d] + begin[d]
+        mass[offsets[d]:x] = -np.inf
+        mass[x] = before[x] + np.log1p(-min(taken[d], 1.0)) if left[d] else -np.inf
+    arrival = np.log(-np.log(_uniform(np.repeat(_key(keys), n), place))) - mass
+    return total, arrival
 
 
 def _best(path: Path) -> tuple[float, int]:
-    if not len(path.bounds):
+    """The largest Gumbel value among a path's parts, and where it parts."""
+    if not len(path.arrivals):
         return -math.inf, -1
-    at = int(np.argmax(path.bounds))
-    return float(path.bounds[at]), at
+    at = int(np.argmin(path.arrivals))
+    return -float(np.logaddexp(-path.value, path.arrivals[at])), at
 
 
 def sample(lat: Lattices, numbers: list[np.ndarray], seeds: np.ndarray, k: int) -> list[tuple[list[Path], float]]:
@@ -331,8 +339,8 @@ def sample(lat: Lattices, numbers: list[np.ndarray], seeds: np.ndarray, k: int)
     edges, words, cut = lay(everyone, heads, [np.arange(len(h)) for h in heads], 0)
     root = -np.log(-np.log(_uniform(_key(seeds, 0, -1 & MASK))))
     none = np.zeros(len(numbers), np.int64)
-    total, bound = _parts(lat, edges, cut, root, _key(seeds, 0, -2 & MASK), none, none.astype(float), none.astype(bool))
-    paths = [[Path(edges[a:z], words[a:z], float(total[d]), float(root[d]), bound[a:z], {})]
+    total, arrival = _parts(lat, edges, cut, _key(seeds, 0, -2 & MASK), none, none.astype(float), none.astype(bool))
+    paths = [[Path(edges[a:z], words[a:z], float(total[d]), float(root[d]), arrival[a:z], {})]
              for d, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
     tops = [[_best(p[0])] for p in paths]
     for j in range(1, k):
@@ -344,12 +352,12 @@ def sample(lat: Lattices, numbers: list[np.ndarray], seeds: np.ndarray, k: int)
                 continue
             parent = paths[d][best]
             used = parent.used.get(t, ()) + (int(parent.edges[t]),) if int(parent.edges[t]) not in parent.used.get(t, ()) else parent.used[t]
-            parent.bounds[t] = -np.inf
+            parent.arrivals[t] = np.inf
             tops[d][best] = _best(parent)
             node = int(lat.origin.data[parent.edges[t]])
-            end = int(lat.edges.data[node + 1]) if node + 1 < lat.edges.n else lat.prob.n
+            end = int(lat.edges.data[node + 1]) if node + 1 < lat.edges.n else lat.log.n
             others = [e for e in range(int(lat.edges.data[node]), end) if e not in used]
-            weights = lat.prob.data[others]
+            weights = np.exp(lat.log.data[others])
             u = float(_uniform(_key(seeds[d], j, -3 & MASK))) * float(weights.sum())
             pick = others[min(int(np.searchsorted(np.cumsum(weights), u)), len(others) - 1)]
             w = int(parent.words[t])
@@ -365,13 +373,12 @@ def sample(lat: Lattices, numbers: list[np.ndarray], seeds: np.ndarray, k: int)
         whole = [(np.concatenate([f[0], edges[a:z]]), np.concatenate([f[1], words[a:z]]))
                  for f, a, z in zip(fronts, cut[:-1], cut[1:], strict=True)]
         offsets = np.concatenate([[0], np.cumsum([len(e) for e, _ in whole])])
-        values = np.array([p[0] for p in plans])
-        taken = np.array([lat.prob.data[list(p[2])].sum() for p in plans])
-        total, bound = _parts(lat, np.concatenate([e for e, _ in whole]), offsets, values, _key(seeds[chosen], j, -2 & MASK),
+        taken = np.array([np.exp(lat.log.data[list(p[2])]).sum() for p in plans])
+        total, arrival = _parts(lat, np.concatenate([e for e, _ in whole]), offsets, _key(seeds[chosen], j, -2 & MASK),
                               np.array([p[1] for p in plans]), taken, np.array([p[3] for p in plans]))
         for x, d in enumerate(chosen):
             value, t, used, _ = plans[x]
-            path = Path(whole[x][0], whole[x][1], float(total[x]), value, bound[offsets[x]:offsets[x + 1]].copy(), {t: used})
+            path = Path(whole[x][0], whole[x][1], float(total[x]), value, arrival[offsets[x]:offsets[x + 1]].copy(), {t: used})
             paths[d].append(path)
             tops[d].append(_best(path))
     return [(paths[d], max(t[0] for t in tops[d])) for d in everyone]
@@ -404,7 +411,7 @@ def encode_group(lat: Lattices, texts: list[str], seeds: np.ndarray, k: int) ->
             packed = lat.pack(p.edges)
             samples.append({"ids": packed, "n_ids": len(packed) // 2, "log_prob": p.log_prob, "perturbed": p.value,
                             "log_inclusion": inclusion(p.log_prob, kappa)})
-        out.append({"ids": ids, "n_ids": len(ids) // 2, "round_trip": lat.decode(np.frombuffer(ids, "<u2")) == text, "samples": samples})
+        out.append({"ids": ids, "n_ids": len(ids) // 2, "round_trip": SPACE not in text and bool(lat.fits.data[number].all()), "samples": samples})
     return out
 
 
