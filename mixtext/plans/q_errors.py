@@ -13,6 +13,7 @@ from mixtext.plans.catalog import register
 from mixtext.plans.documents import r6
 
 PRED = O.SPLIT + ",\n" + O.scorer_ctes(FUNCTION_WORDS)
+ALL = O.PREPARED + ",\n" + O.scorer_ctes(FUNCTION_WORDS, source="w1", where="true")
 REPORT = PRED + ",\n" + O.report_ctes()
 ERR = PRED + """,
 err AS (SELECT row_id AS row_index, original_text, cleaned_text, label AS true_label, predicted_label, confidence
@@ -45,23 +46,28 @@ def p4_drilldown(spark, sf_dir):
     )
 
 
-@register("p5_existing_columns")
+@register(
+    "p5_existing_columns",
+    O.with_(ERR, "SELECT original_text, true_label, predicted_label, round(confidence, 6) AS confidence FROM err"),
+)
 def p5_existing_columns(spark, sf_dir):
-    return ER.existing_columns(_errors(spark, sf_dir), ("original_text", "true_label", "predicted_label",
+    """The asked-for columns that exist; the last does not and is left out."""
+    kept = ER.existing_columns(_errors(spark, sf_dir), ("original_text", "true_label", "predicted_label",
                                                         "confidence", "not_a_column"))
+    return kept.withColumn("confidence", r6(F.col("confidence")))
 
 
 @register(
     "p6_confidence_band",
     O.with_(
-        PRED,
+        ALL,
         """SELECT row_id, round(confidence, 6) AS confidence,
                   CASE WHEN confidence >= 0.70 THEN 'high' WHEN confidence >= 0.55 THEN 'medium' ELSE 'low' END AS band,
                   confidence < 0.55 AS needs_review FROM pred""",
     ),
 )
 def p6_confidence_band(spark, sf_dir):
-    b = ER.with_band(D.predictions(spark, sf_dir))
+    b = ER.with_band(D.scored_documents(spark, sf_dir))
     return b.select("row_id", r6(F.col("confidence")).alias("confidence"), "band", "needs_review")
 
 

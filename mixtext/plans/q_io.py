@@ -147,7 +147,8 @@ def r1_normalize_name(spark, sf_dir):
     return read_table(spark, sf_dir, "pages").select("page_id", T.normalize_name(F.col("url")).alias("name"))
 
 
-@register("r2_r3_resolve_roles")
+@register("r2_r3_resolve_roles", """SELECT 'text' AS text_column, 'Label ' AS label_column, 'lang' AS by_position,
+    count(*) AS rows FROM documents""")
 def r2_r3_resolve_roles(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     t, lab = PR.named_roles(docs.withColumnRenamed("lang", "Label "))
