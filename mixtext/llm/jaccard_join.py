@@ -9,7 +9,8 @@ Two documents link when the Jaccard similarity of their sets of distinct word 3-
    hash). Linked sets share an element among their first n - ceil(0.9 n) + 1. An index list
    per element holds (size, position, sketch) of the sets that have it there. Inside a list
    blocks are skipped by size, then by position: a position bounds the overlap that is still
-   possible. A 16-byte count sketch bounds the symmetric difference from below.
+   possible. A 16-byte count sketch bounds the symmetric difference from below; groups are
+   then compared by sketches of 256 bytes before any text moves.
 3. A list names a group by its smallest member: every candidate pair meets in a group, and
    rows stay linear in the lists. In a group sets are answered in order of size; a set's
    overlaps with all others are derived from those of a highly similar set by the few elements
@@ -41,6 +42,8 @@ HOT_IN_CHUNK = 4  # documents of a chunk that make an element a candidate
 HOT_MOST = 200_000  # most frequent elements ordered last; the order never changes results
 WIDE = 256  # longer lists are cut into size classes instead of compared pair by pair
 GROUP_BLOCK = 2048  # sets of a group in one tile
+FILTER_BITS = 1 << 23  # of the bit set that keeps other documents' texts out of the shuffle
+WIDE_SKETCH = 8  # bits of the sketch that groups are compared with: 256 bytes
 CACHE_WORDS = 500_000
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -74,9 +77,10 @@ class Shingler:
         return np.unique(s)
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """How many elements fall in each of 16 hash ranges, modulo 256."""
-    return np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=16).astype(np.uint8).tobytes()
+def sketch(s: np.ndarray, bits: int = 4) -> bytes:
+    """How many elements fall in each of 2**bits hash ranges, modulo 256. The counts of two
+    sets differ by at most the elements in which the sets differ."""
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8).tobytes()
 
 
 def digest(s: np.ndarray) -> int:
@@ -167,9 +171,9 @@ def links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _first_pass(docs: DataFrame) -> DataFrame:
-    """kind 0: (id, n, d, sk) of each document; kind 1: (d = element, n = count) of elements
+    """kind 0: (id, n, d, sk, wide) of each document; kind 1: (d = element, n = count) of elements
     that are frequent in a part of the table."""
-    schema = "kind int, id long, n int, d long, sk binary"
+    schema = "kind int, id long, n int, d long, sk binary, wide binary"
 
     def hot(parts: list[np.ndarray]) -> pa.RecordBatch | None:
         element, count = np.unique(np.concatenate(parts), return_counts=True)
@@ -177,19 +181,20 @@ def _first_pass(docs: DataFrame) -> DataFrame:
         k = int(keep.sum())
         return pa.RecordBatch.from_pydict({
             "kind": pa.array(np.ones(k, np.int32)), "id": pa.nulls(k, pa.int64()), "n": pa.array(count[keep].astype(np.int32)),
-            "d": pa.array(element[keep].view(np.int64)), "sk": pa.nulls(k, pa.binary())}) if k else None
+            "d": pa.array(element[keep].view(np.int64)), "sk": pa.nulls(k, pa.binary()), "wide": pa.nulls(k, pa.binary())}) if k else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = per_worker("shingler:1", Shingler)
         seen: set[int] = set()
         held, size = [], 0
         for b in batches:
-            n, d, sk = [], [], []
+            n, d, sk, wide = [], [], [], []
             for t in raw_texts(b.column(1)):
                 s = shingler.of(t)
                 n.append(len(s))
                 d.append(digest(s))
                 sk.append(sketch(s))
+                wide.append(sketch(s, WIDE_SKETCH))
                 if d[-1] not in seen:  # copies say nothing about an element's spread
                     seen.add(d[-1])
                     held.append(s)
@@ -200,7 +205,7 @@ def _first_pass(docs: DataFrame) -> DataFrame:
                         held, size = [], 0
             yield pa.RecordBatch.from_pydict({
                 "kind": pa.array(np.zeros(len(n), np.int32)), "id": b.column(0), "n": pa.array(n, pa.int32()),
-                "d": pa.array(d, pa.int64()), "sk": pa.array(sk, pa.binary())})
+                "d": pa.array(d, pa.int64()), "sk": pa.array(sk, pa.binary()), "wide": pa.array(wide, pa.binary())})
         if held and (out := hot(held)) is not None:
             yield out
 
@@ -252,6 +257,20 @@ def _entries(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     return docs.mapInArrow(run, "e long, d long, sk binary, n int, p int")
 
 
+def _clusters(ok: np.ndarray) -> list[np.ndarray]:
+    """Sets that may link, directly or not, as arrays of row numbers; lone sets are left out."""
+    np.fill_diagonal(ok, False)
+    left = np.flatnonzero(ok.any(axis=1))
+    if not len(left):
+        return []
+    ok, label = ok[np.ix_(left, left)], np.arange(len(left))
+    while True:
+        new = np.minimum(label, np.where(ok, label[None, :], len(left)).min(axis=1))
+        if (new == label).all():
+            return [left[label == g] for g in np.unique(label).tolist()]
+        label = new
+
+
 def _meetings(e: np.ndarray, d: np.ndarray, sk: np.ndarray, n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(group, member) as row numbers, from index lists laid end to end (sorted by element,
     size, position). The smallest digest of a group names it."""
@@ -278,19 +297,8 @@ def _meetings(e: np.ndarray, d: np.ndarray, sk: np.ndarray, n: np.ndarray, p: np
         x = rows[cut[k]:cut[k + 1]]
         if len(x) <= WIDE:
             ok = may_link(n[x][:, None], p[x][:, None], sk[x][:, None, :], n[x][None, :], p[x][None, :], sk[x][None, :, :])
-            np.fill_diagonal(ok, False)
-            left = ok.any(axis=1)
-            if not left.any():
-                continue
-            x, ok = x[left], ok[left][:, left]
-            label = np.arange(len(x))
-            while True:  # sets that may link, directly or not, make one group
-                new = np.minimum(label, np.where(ok, label[None, :], len(x)).min(axis=1))
-                if (new == label).all():
-                    break
-                label = new
-            for g in np.unique(label).tolist():
-                meet(x[label == g])
+            for some in _clusters(ok):
+                meet(x[some])
         else:  # sets of adjacent size classes; sizes that link are at most one class apart
             klass = np.floor(np.log(n[x]) / (np.log(DEN / NUM) * 1.0001)).astype(np.int64)
             for c in np.unique(klass).tolist():
@@ -342,6 +350,51 @@ def _groups(entries: DataFrame, partitions: int) -> DataFrame:
     return dealt.mapInArrow(run, "g long, gs binary, d long, sk binary").distinct()
 
 
+def _narrowed(groups: DataFrame, candidates: DataFrame, partitions: int) -> DataFrame:
+    """Groups without the members whose wide sketch rules out every other member, parted where
+    no sketch allows a link. Groups beyond GROUP_BLOCK members stay as they are."""
+    members = groups.join(candidates.select("d", "sk", "n", "wide"), ["d", "sk"])
+    dealt = members.repartition(partitions, "g", "gs").sortWithinPartitions("g", "gs", "d", "sk").select("g", "gs", "d", "sk", "n", "wide")
+    kind = pa.schema([("g", pa.int64()), ("gs", pa.binary()), ("d", pa.int64()), ("sk", pa.binary())])
+
+    def part(rows: list[tuple]) -> list[tuple]:
+        if len(rows) < 2:
+            return []
+        if len(rows) > GROUP_BLOCK:
+            return [r[:4] for r in rows]
+        n = np.array([r[4] for r in rows], np.int64)
+        wide = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
+        ok = np.array([may_link(n, 0, wide, n[i], 0, wide[i]) for i in range(len(rows))])
+        return [(rows[c[0]][2], rows[c[0]][3], *rows[i][2:4]) for c in _clusters(ok) for i in c.tolist()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            out = []
+            for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if row[:2] != now:
+                    out += part(held)
+                    now, held = row[:2], []
+                held.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(kind)], schema=kind)
+        if out := part(held):
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(kind)], schema=kind)
+
+    return dealt.mapInArrow(run, "g long, gs binary, d long, sk binary").distinct()
+
+
+def _filtered(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id may be among ``ids`` (a hash of it is): the bit set is a table of at most
+    FILTER_BITS / 64 words however many ids there are, so it can always be broadcast. More ids
+    only let more rows through; the join that follows decides."""
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) % 64 as int))")
+    words = ids.select(F.floor(place / 64).alias("__w"), bit.alias("b")).groupBy("__w").agg(F.bit_or("b").alias("__bits"))
+    return rows.join(F.broadcast(words), F.floor(place / 64) == F.col("__w")) \
+        .where(F.col("__bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def _verified(groups: DataFrame, candidates: DataFrame, rows: DataFrame, partitions: int) -> DataFrame:
     """Distinct (a, b): a spanning forest of the links of each group, as document ids.
 
@@ -352,7 +405,7 @@ def _verified(groups: DataFrame, candidates: DataFrame, rows: DataFrame, partiti
         .withColumn("nb", tiles).withColumn("b", F.pmod(F.xxhash64("d"), F.col("nb")).cast("int")) \
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))) \
         .select("id", "d", "g", "gs", F.least("b", "o").alias("t1"), F.greatest("b", "o").alias("t2"))
-    with_text = rows.join(candidates.select("id").distinct(), "id", "left_semi").join(members, "id")
+    with_text = _filtered(rows, candidates.select("id")).join(members, "id")
     key = ["g", "gs", "t1", "t2"]
     dealt = with_text.repartition(partitions, *key).sortWithinPartitions(*key, "id")
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -426,10 +479,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     element = often["d"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(element)
     hot = (element[order], often["n"].to_numpy()[order])
-    reps = sets.where("n > 0 AND id IS NOT NULL").groupBy("d", "sk").agg(F.min("id").alias("id"))
+    named = first.where("kind = 0 AND n > 0 AND id IS NOT NULL")
+    reps = named.groupBy("d", "sk").agg(F.min("id").alias("id"))
     groups = materialize(_groups(_entries(rows.select("t"), hot), partitions), "jaccard-groups")
-    wanted = groups.select("d", "sk").distinct()
-    candidates = materialize(reps.join(wanted, ["d", "sk"]), "jaccard-candidates")
+    candidates = materialize(named.join(groups.select("d", "sk").distinct(), ["d", "sk"], "left_semi").groupBy("d", "sk")
+                             .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("wide").alias("wide")), "jaccard-candidates")
+    groups = materialize(_narrowed(groups, candidates, partitions), "jaccard-narrowed")
+    candidates = materialize(candidates.select("d", "sk", "id").join(groups.select("d", "sk").distinct(), ["d", "sk"], "left_semi"), "jaccard-members")
     found = _verified(groups, candidates, rows.where("id IS NOT NULL"), partitions)
     # documents with equal sets hang together through the representative
     same = sets.where("n > 0 AND id IS NOT NULL").select("id", "d", "sk")

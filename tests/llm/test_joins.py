@@ -104,7 +104,7 @@ def test_components_match_brute_force(spark, monkeypatch):
     want = brute_components(rows)
     assert sorted((tuple(r) for r in J.jaccard_components(df).collect()), key=str) == want
     monkeypatch.setattr(J, "WIDE", 3)  # size classes, and tiles of small groups
-    monkeypatch.setattr(J, "GROUP_BLOCK", 16)
+    monkeypatch.setattr(J, "GROUP_BLOCK", 40)
     assert sorted((tuple(r) for r in J.jaccard_components(df).collect()), key=str) == want
 
 
