@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mixtext.llm import language_id
 from mixtext.llm.common import read, tokenizer_file
-from mixtext.llm.jaccard_join import jaccard_components
+from mixtext.llm.jaccard_join import CONTRACT, Rule, jaccard_components
 from mixtext.llm.mixing import mixed
 from mixtext.llm.piece_sampling import pieces
 from mixtext.llm.queries import piece_digest
@@ -19,6 +19,7 @@ from mixtext.llm.secret_scan import masked, secrets
 from mixtext.session import materialize
 
 PIECES = "piece_bpe_32k.model"
+NEAR = Rule(shingle=5, num=80)  # near copies of the stage; op10 keeps its contract
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,14 +28,19 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str, rule: Rule = CONTRACT) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays, once.
     Documents without an id link with nothing and stay."""
-    keep = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    keep = jaccard_components(docs, rule=rule).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``deduplicate`` by the stage's rule: five words and 80 %."""
+    return deduplicate(spark, docs, sf_dir, NEAR)
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret in a text becomes ``<secret>``; n_chars follows; no document goes."""
     found = secrets(docs)
@@ -59,7 +65,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", identify),
-    ("jaccard_join", deduplicate),
+    ("jaccard_join", near_copies),
     ("secret_scan", mask_secrets),
     ("source_mix", mix_sources),
     ("pieces", encode),

@@ -1,12 +1,12 @@
 """N-gram Jaccard join by set-relation skipping, and the components of its links.
 
-Two documents link when the Jaccard similarity of their sets of distinct word 3-grams reaches
-90 %. The join is exact and works on relations between sets instead of single pairs:
+Two documents link when the Jaccard similarity of their sets of distinct word n-grams reaches
+a threshold: 3-grams and 90 % unless the caller names another ``Rule``. The join is exact and works on relations between sets instead of single pairs:
 
 1. Equal sets are one set: documents are grouped by a digest of their set, and only the
    distinct sets are joined.
 2. All sets' elements are put in one global order (frequent elements last, otherwise by
-   hash). Linked sets share an element among their first n - ceil(0.9 n) + 1. An index list
+   hash). Linked sets share an element among their first n - ceil(0.9 n) + 1 (at 90 %). An index list
    per element holds (size, position, sketch) of the sets that have it there. Inside a list
    blocks are skipped by size, then by position: a position bounds the overlap that is still
    possible. A 16-byte count sketch bounds the symmetric difference from below; groups are
@@ -18,13 +18,14 @@ Two documents link when the Jaccard similarity of their sets of distinct word 3-
 4. A group returns a spanning forest of its links (never all pairs); components of the
    forests are found by alternating star contractions on written tables.
 
-Words are runs of anything but space and \\t..\\r; A-Z are lower-cased. Sets with fewer than
-three words hold the whole sequence; texts without words link with nothing.
+Words are runs of anything but space and \\t..\\r; A-Z are lower-cased. Texts of fewer words
+than an n-gram has hold the whole sequence; texts without words link with nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,6 @@ from pyspark.sql import functions as F
 from mixtext.llm.common import per_worker, raw_texts
 from mixtext.session import materialize
 
-NUM, DEN = 90, 100  # link: DEN * overlap >= NUM * union
-SHINGLE = 3
 HOT_CHUNK = 2_000_000  # elements counted together when looking for frequent ones
 HOT_IN_CHUNK = 4  # documents of a chunk that make an element a candidate
 HOT_MOST = 200_000  # most frequent elements ordered last; the order never changes results
@@ -48,18 +47,49 @@ CACHE_WORDS = 500_000
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
+@dataclass(frozen=True)
+class Rule:
+    """Documents link when ``den * overlap >= num * union`` of their word n-grams."""
+
+    shingle: int = 3
+    num: int = 90
+    den: int = 100
+
+    def needed(self, total: np.ndarray) -> np.ndarray:
+        """Least overlap with which two sets of ``total`` elements together link."""
+        return -(-self.num * total // (self.num + self.den))
+
+    def prefix(self, n: int) -> int:
+        """Elements of a set of n among which it shares one with every set it links with."""
+        return n + self.num * -n // self.den + 1
+
+    def linked(self, overlap, total):
+        return (self.den * overlap >= self.num * (total - overlap)) & (overlap > 0)
+
+    def size_class(self, n: np.ndarray) -> np.ndarray:
+        """Sizes that link are at most one class apart."""
+        return np.floor(np.log(n) / (np.log(self.den / self.num) * 1.0001)).astype(np.int64)
+
+    def shingler(self) -> Shingler:
+        return per_worker(f"shingler:{self.shingle}", lambda: Shingler(self.shingle))
+
+
+CONTRACT = Rule()  # of the op10 query
+
+
 class Shingler:
     """Texts to sorted arrays of 64-bit element hashes. (Two different elements of a pair of
     documents share a hash with probability below 1e-12.)"""
 
-    def __init__(self):
+    def __init__(self, shingle: int = CONTRACT.shingle):
+        self.shingle = shingle
         self.known: dict[bytes, int] = {}
 
     def of(self, text: bytes) -> np.ndarray:
         words = text.lower().split()  # bytes.lower: A-Z only; bytes.split: space and \t..\r
         if not words:
             return np.empty(0, np.uint64)
-        if len(words) < SHINGLE:
+        if len(words) < self.shingle:
             return np.array([xxhash.xxh3_64_intdigest(b"\0".join(words), seed=len(words))], np.uint64)
         if len(self.known) > CACHE_WORDS:
             self.known = {}
@@ -68,10 +98,12 @@ class Shingler:
             known[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         with np.errstate(over="ignore"):
-            s = h[:-2] * P1
-            s = (s ^ (s >> np.uint64(29))) + h[1:-1]
-            s = s * P2
-            s = (s ^ (s >> np.uint64(32))) + h[2:]
+            last = len(h) - self.shingle + 1
+            s = h[:last]
+            for i in range(1, self.shingle):
+                by, shift = ((P1, 29), (P2, 32))[(i - 1) % 2]
+                s = s * by
+                s = (s ^ (s >> np.uint64(shift))) + h[i:last + i]
             s = s * P3
             s ^= s >> np.uint64(31)
         return np.unique(s)
@@ -87,19 +119,14 @@ def digest(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def needed(total: np.ndarray) -> np.ndarray:
-    """Least overlap with which two sets of ``total`` elements together link."""
-    return -(-NUM * total // (NUM + DEN))
-
-
-def may_link(n1, p1, s1, n2, p2, s2) -> np.ndarray:
+def may_link(n1, p1, s1, n2, p2, s2, rule: Rule = CONTRACT) -> np.ndarray:
     """Whether sets (size, position of a shared element, sketch) can reach the overlap."""
     low, high = np.minimum(n1, n2), np.maximum(n1, n2)
-    need = needed(n1 + n2)
+    need = rule.needed(n1 + n2)
     most = np.minimum(p1, p2) + 1 + np.minimum(n1 - p1, n2 - p2) - 1
     gap = (s1 - s2).astype(np.int64)
     apart = np.minimum(gap, 256 - gap).sum(axis=-1)
-    return (DEN * low >= NUM * high) & (most >= need) & (apart <= n1 + n2 - 2 * need)
+    return (rule.den * low >= rule.num * high) & (most >= need) & (apart <= n1 + n2 - 2 * need)
 
 
 class Forest:
@@ -124,7 +151,7 @@ class Forest:
         return True
 
 
-def links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def links(sets: list[np.ndarray], rule: Rule = CONTRACT) -> list[tuple[int, int]]:
     """A spanning forest of the links among a group's sets.
 
     Sets are answered in order of size. The overlaps of a set with all sets of the group come
@@ -136,7 +163,7 @@ def links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     out = []
     if n == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if DEN * both >= NUM * (int(sizes.sum()) - both) and both else []
+        return [(0, 1)] if rule.linked(both, int(sizes.sum())) else []
     forest = Forest(n)
     element, local = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(n), sizes)
@@ -161,7 +188,7 @@ def links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         else:
             overlap = tally(own[y])
         recent = [*recent[-3:], (y, overlap)]
-        linked = np.flatnonzero((DEN * overlap >= NUM * (sizes + sizes[y] - overlap)) & (overlap > 0))
+        linked = np.flatnonzero(rule.linked(overlap, sizes + sizes[y]))
         for z in linked.tolist():
             if z != y and forest.join(y, z):
                 out.append((y, z))
@@ -170,7 +197,7 @@ def links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def _first_pass(docs: DataFrame) -> DataFrame:
+def _first_pass(docs: DataFrame, rule: Rule) -> DataFrame:
     """kind 0: (id, n, d, sk, wide) of each document; kind 1: (d = element, n = count) of elements
     that are frequent in a part of the table."""
     schema = "kind int, id long, n int, d long, sk binary, wide binary"
@@ -184,7 +211,7 @@ def _first_pass(docs: DataFrame) -> DataFrame:
             "d": pa.array(element[keep].view(np.int64)), "sk": pa.nulls(k, pa.binary()), "wide": pa.nulls(k, pa.binary())}) if k else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = per_worker("shingler:1", Shingler)
+        shingler = rule.shingler()
         seen: set[int] = set()
         held, size = [], 0
         for b in batches:
@@ -212,13 +239,13 @@ def _first_pass(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _entries(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _entries(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], rule: Rule) -> DataFrame:
     """(e, d, sk, n, p): each distinct set's first elements in the global order."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     kind = pa.schema([("e", pa.int64()), ("d", pa.int64()), ("sk", pa.binary()), ("n", pa.int32()), ("p", pa.int32())])
 
     def prefix(s: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        keep = len(s) - -(-NUM * len(s) // DEN) + 1
+        keep = rule.prefix(len(s))
         if len(often):
             at = np.minimum(np.searchsorted(often, s), len(often) - 1)
             late = often[at] == s
@@ -227,7 +254,7 @@ def _entries(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         return s[:keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = per_worker("shingler:1", Shingler)
+        shingler = rule.shingler()
         often, rank = shared.value
         seen: set[tuple[int, bytes]] = set()
         for b in batches:
@@ -271,7 +298,7 @@ def _clusters(ok: np.ndarray) -> list[np.ndarray]:
         label = new
 
 
-def _meetings(e: np.ndarray, d: np.ndarray, sk: np.ndarray, n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _meetings(e: np.ndarray, d: np.ndarray, sk: np.ndarray, n: np.ndarray, p: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """(group, member) as row numbers, from index lists laid end to end (sorted by element,
     size, position). The smallest digest of a group names it."""
     if len(e) < 2:
@@ -288,7 +315,7 @@ def _meetings(e: np.ndarray, d: np.ndarray, sk: np.ndarray, n: np.ndarray, p: np
 
     twos = cut[:-1][size == 2]
     a, b = rows[twos], rows[twos + 1]
-    ok = may_link(n[a], p[a], sk[a], n[b], p[b], sk[b])
+    ok = may_link(n[a], p[a], sk[a], n[b], p[b], sk[b], rule)
     a, b = a[ok], b[ok]
     least = np.where(d[a] <= d[b], a, b)
     group += [least, least]
@@ -296,11 +323,11 @@ def _meetings(e: np.ndarray, d: np.ndarray, sk: np.ndarray, n: np.ndarray, p: np
     for k in np.flatnonzero(size > 2).tolist():
         x = rows[cut[k]:cut[k + 1]]
         if len(x) <= WIDE:
-            ok = may_link(n[x][:, None], p[x][:, None], sk[x][:, None, :], n[x][None, :], p[x][None, :], sk[x][None, :, :])
+            ok = may_link(n[x][:, None], p[x][:, None], sk[x][:, None, :], n[x][None, :], p[x][None, :], sk[x][None, :, :], rule)
             for some in _clusters(ok):
                 meet(x[some])
         else:  # sets of adjacent size classes; sizes that link are at most one class apart
-            klass = np.floor(np.log(n[x]) / (np.log(DEN / NUM) * 1.0001)).astype(np.int64)
+            klass = rule.size_class(n[x])
             for c in np.unique(klass).tolist():
                 some = x[(klass == c) | (klass == c + 1)]
                 if len(some) > 1:
@@ -308,7 +335,7 @@ def _meetings(e: np.ndarray, d: np.ndarray, sk: np.ndarray, n: np.ndarray, p: np
     return np.concatenate(group).astype(np.int64), np.concatenate(member).astype(np.int64)
 
 
-def _groups(entries: DataFrame, partitions: int) -> DataFrame:
+def _groups(entries: DataFrame, partitions: int, rule: Rule) -> DataFrame:
     """Distinct (g, gs, d, sk): members of candidate groups, named by a member's digest and sketch."""
     dealt = entries.repartition(partitions, "e").sortWithinPartitions("e", "n", "p", "d")
     kind = pa.schema([("g", pa.int64()), ("gs", pa.binary()), ("d", pa.int64()), ("sk", pa.binary())])
@@ -319,7 +346,7 @@ def _groups(entries: DataFrame, partitions: int) -> DataFrame:
         return [b.column(0).to_numpy(), b.column(1).to_numpy(), flat, b.column(3).to_numpy().astype(np.int64), b.column(4).to_numpy().astype(np.int64)]
 
     def emit(part: list[np.ndarray], seen: set) -> pa.RecordBatch | None:
-        group, member = _meetings(*part)
+        group, member = _meetings(*part, rule)
         d, sk = part[1], part[2]
         new = []
         for g, m in dict.fromkeys(zip(group.tolist(), member.tolist(), strict=True)):
@@ -350,7 +377,7 @@ def _groups(entries: DataFrame, partitions: int) -> DataFrame:
     return dealt.mapInArrow(run, "g long, gs binary, d long, sk binary").distinct()
 
 
-def _narrowed(groups: DataFrame, candidates: DataFrame, partitions: int) -> DataFrame:
+def _narrowed(groups: DataFrame, candidates: DataFrame, partitions: int, rule: Rule) -> DataFrame:
     """Groups without the members whose wide sketch rules out every other member, parted where
     no sketch allows a link. Groups beyond GROUP_BLOCK members stay as they are."""
     members = groups.join(candidates.select("d", "sk", "n", "wide"), ["d", "sk"])
@@ -364,7 +391,7 @@ def _narrowed(groups: DataFrame, candidates: DataFrame, partitions: int) -> Data
             return [r[:4] for r in rows]
         n = np.array([r[4] for r in rows], np.int64)
         wide = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
-        ok = np.array([may_link(n, 0, wide, n[i], 0, wide[i]) for i in range(len(rows))])
+        ok = np.array([may_link(n, 0, wide, n[i], 0, wide[i], rule) for i in range(len(rows))])
         return [(rows[c[0]][2], rows[c[0]][3], *rows[i][2:4]) for c in _clusters(ok) for i in c.tolist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,7 +422,7 @@ def _filtered(rows: DataFrame, ids: DataFrame) -> DataFrame:
         .where(F.col("__bits").bitwiseAND(bit) != 0).select(*rows.columns)
 
 
-def _verified(groups: DataFrame, candidates: DataFrame, rows: DataFrame, partitions: int) -> DataFrame:
+def _verified(groups: DataFrame, candidates: DataFrame, rows: DataFrame, partitions: int, rule: Rule) -> DataFrame:
     """Distinct (a, b): a spanning forest of the links of each group, as document ids.
 
     ``candidates``: (d, sk, id) of the sets in groups; ``rows``: (id, t) of all documents."""
@@ -411,13 +438,13 @@ def _verified(groups: DataFrame, candidates: DataFrame, rows: DataFrame, partiti
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def answer(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch | None:
-        found = links(sets) if len(sets) > 1 else []
+        found = links(sets, rule) if len(sets) > 1 else []
         if not found:
             return None
         return pa.RecordBatch.from_arrays([pa.array([ids[x] for x, _ in found], pa.int64()), pa.array([ids[y] for _, y in found], pa.int64())], schema=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = per_worker("shingler:1", Shingler)
+        shingler = rule.shingler()
         now, ids, sets = None, [], []
         for b in batches:
             keys = zip(*(b.column(k).to_pylist() for k in key), strict=True)
@@ -462,7 +489,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("v"), F.col("v").alias("c")).unionByName(now.select("v", F.col("v").alias("c"))).distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = CONTRACT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) per document.
 
     Null and empty texts have no set and are their own component. Rows with a null id link
@@ -473,7 +500,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    first = materialize(_first_pass(rows), "jaccard-sets")
+    first = materialize(_first_pass(rows, rule), "jaccard-sets")
     sets = first.where("kind = 0").select("id", "n", "d", "sk")
     often = first.where("kind = 1").groupBy("d").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d").limit(HOT_MOST).toPandas()
     element = often["d"].to_numpy(dtype=np.int64).view(np.uint64)
@@ -481,12 +508,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hot = (element[order], often["n"].to_numpy()[order])
     named = first.where("kind = 0 AND n > 0 AND id IS NOT NULL")
     reps = named.groupBy("d", "sk").agg(F.min("id").alias("id"))
-    groups = materialize(_groups(_entries(rows.select("t"), hot), partitions), "jaccard-groups")
+    groups = materialize(_groups(_entries(rows.select("t"), hot, rule), partitions, rule), "jaccard-groups")
     candidates = materialize(named.join(groups.select("d", "sk").distinct(), ["d", "sk"], "left_semi").groupBy("d", "sk")
                              .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("wide").alias("wide")), "jaccard-candidates")
-    groups = materialize(_narrowed(groups, candidates, partitions), "jaccard-narrowed")
+    groups = materialize(_narrowed(groups, candidates, partitions, rule), "jaccard-narrowed")
     candidates = materialize(candidates.select("d", "sk", "id").join(groups.select("d", "sk").distinct(), ["d", "sk"], "left_semi"), "jaccard-members")
-    found = _verified(groups, candidates, rows.where("id IS NOT NULL"), partitions)
+    found = _verified(groups, candidates, rows.where("id IS NOT NULL"), partitions, rule)
     # documents with equal sets hang together through the representative
     same = sets.where("n > 0 AND id IS NOT NULL").select("id", "d", "sk")
     repeated = same.groupBy("id").agg(F.count_distinct("d", "sk").alias("k")).where("k > 1").select("id")

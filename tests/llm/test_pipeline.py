@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import numpy as np
@@ -9,10 +10,11 @@ import numpy as np
 import __spark_entry__ as entry
 import corpus_pipeline as C
 from mixtext.llm.common import read
+from mixtext.llm.jaccard_join import Forest, Rule, jaccard_components
 from mixtext.session import materialize
 SF001 = "/root/testdata/sf0.001"
 from tests.llm import odd
-from tests.llm.test_joins import brute_components
+from tests.llm.test_joins import brute_components, near_copies
 from tests.llm.test_text_files import base_secrets
 
 
@@ -66,3 +68,27 @@ def test_registry():
     assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 11))
     assert "pipeline" in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
     assert np.isin(["op1_pii", "op2_nearest", "op5_quality_rules", "op6_source_mix", "op10_jaccard_join"], list(entry.oracle_sql())).all()
+
+
+def test_stage_links_at_five_words_and_four_fifths(spark):
+    rule = Rule(shingle=5, num=80)
+    rng = random.Random(11)
+    w = [f"w{i}" for i in range(100)]
+    texts = [" ".join(w), " ".join([*w[:30], "x", *w[31:60], "y", *w[61:]])]  # 86/106 on five words, 92/104 on three
+    texts += near_copies(rng, 60, 150, 6) + near_copies(rng, 30, 400, 20) + near_copies(rng, 20, 12, 1)
+    texts += ["a b c d", "A b  c d", "a b c", "d c b a", "a b c d e", "a b c d e f", ""]
+    for n in (24, 44, 64):  # at and around the threshold
+        t = [f"t{n}x{i}" for i in range(n)]
+        texts += [" ".join(t), " ".join(t[:-n // 5]), " ".join(t[:-4]), " ".join(t[:-5]), " ".join(t[3:] + ["q", "r"])]
+    rows = list(enumerate(texts))
+    sets = [{tuple(x)} if 0 < len(x) < 5 else {tuple(x[i:i + 5]) for i in range(len(x) - 4)} for x in (t.lower().split() for t in texts)]
+    forest = Forest(len(sets))
+    for a, s in enumerate(sets):
+        for b, t in enumerate(sets[:a]):
+            if s & t and 100 * len(s & t) >= 80 * len(s | t):
+                forest.join(a, b)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs, rule=rule).collect())
+    assert got == [(i, len(s), forest.find(i)) for i, s in enumerate(sets)]
+    kept = {r.doc_id for r in dict(C.STAGES)["jaccard_join"](spark, docs, SF001).collect()}
+    assert kept == {i for i in range(len(sets)) if forest.find(i) == i} and 1 not in kept
