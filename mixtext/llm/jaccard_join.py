@@ -14,7 +14,10 @@ a threshold: 3-grams and 90 % unless the caller names another ``Rule``. The join
 3. A list names a group by its smallest member: every candidate pair meets in a group, and
    rows stay linear in the lists. In a group sets are answered in order of size; a set's
    overlaps with all others are derived from those of a highly similar set by the few elements
-   in which the two differ. Groups beyond GROUP_BLOCK sets are dealt out in tiles.
+   in which the two differ.
+   No task holds a list or group of any size: lists beyond LIST_BLOCK rows are parted by size
+   class and dealt out in tiles of hash blocks before their rows come together, and groups
+   beyond GROUP_BLOCK sets or GROUP_ELEMENTS elements likewise. Every pair meets in a tile.
 4. A group returns a spanning forest of its links (never all pairs); components of the
    forests are found by alternating star contractions on written tables.
 
@@ -24,13 +27,14 @@ than an n-gram has hold the whole sequence; texts without words link with nothin
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixtext.llm.common import per_worker, raw_texts
@@ -40,7 +44,10 @@ HOT_CHUNK = 2_000_000  # elements counted together when looking for frequent one
 HOT_IN_CHUNK = 4  # documents of a chunk that make an element a candidate
 HOT_MOST = 200_000  # most frequent elements ordered last; the order never changes results
 WIDE = 256  # longer lists are cut into size classes instead of compared pair by pair
-GROUP_BLOCK = 2048  # sets of a group in one tile
+LIST_BLOCK = 1 << 16  # rows of an index list in one hash block
+GROUP_BLOCK = 2048  # sets of a group in one hash block
+GROUP_ELEMENTS = 2_000_000  # elements of a group in one hash block
+PLACES = 1 << 17  # hash places by which long lists and large groups are told from the rest
 FILTER_BITS = 1 << 23  # of the bit set that keeps other documents' texts out of the shuffle
 WIDE_SKETCH = 8  # bits of the sketch that groups are compared with: 256 bytes
 CACHE_WORDS = 500_000
@@ -335,64 +342,114 @@ def _meetings(e: np.ndarray, d: np.ndarray, sk: np.ndarray, n: np.ndarray, p: np
     return np.concatenate(group).astype(np.int64), np.concatenate(member).astype(np.int64)
 
 
+def _place(*cols: str):
+    return F.pmod(F.xxhash64(*cols), F.lit(PLACES))
+
+
+def _parted(rows: DataFrame, keys: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key may be among ``keys``, and the rest. At most PLACES places are broadcast
+    however many keys there are; a key that shares a place with one of them counts as one."""
+    places = F.broadcast(keys.select(_place(*cols).alias("__place")).distinct())
+    same = _place(*cols) == F.col("__place")
+    return rows.join(places, same, "left_semi"), rows.join(places, same, "left_anti")
+
+
+def _blocks(rows: DataFrame, nb: Column, by: str) -> DataFrame:
+    """Rows in the tiles (t1, t2) of ``nb`` hash blocks: any two rows meet in a tile."""
+    return rows.withColumn("__b", F.pmod(F.xxhash64(by), nb).cast("int")) \
+        .withColumn("__o", F.explode(F.sequence(F.lit(0), nb - 1))) \
+        .withColumn("t1", F.least("__b", "__o")).withColumn("t2", F.greatest("__b", "__o")).drop("__b", "__o")
+
+
+def _tiled(entries: DataFrame, rule: Rule) -> DataFrame:
+    """``entries`` plus ``tile``: 0, or for lists beyond LIST_BLOCK rows the pair of adjacent size
+    classes and of hash blocks. ``e`` then names the tile of the list."""
+    # sums over places bound the lists' sizes; only lists in heavy places are counted one by one
+    heavy = entries.groupBy(_place("e").alias("__at")).count().where(F.col("count") > LIST_BLOCK).select("__at")
+    heavy = materialize(heavy, "jaccard-places")
+    if heavy.isEmpty():
+        return entries.withColumn("tile", F.lit(0).cast("long"))
+    long = entries.join(F.broadcast(heavy), _place("e") == F.col("__at"), "left_semi") \
+        .groupBy("e").count().where(F.col("count") > LIST_BLOCK).select("e")
+    some, rest = _parted(entries, materialize(long, "jaccard-lists"), ["e"])
+    klass = F.floor(F.log("n") / F.lit(math.log(rule.den / rule.num) * 1.0001))
+    some = some.withColumn("k", F.explode(F.array(klass - 1, klass)))  # with the class above and the one below
+    sized = some.groupBy("e", "k").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("nb")).where("nb > 1")
+    some = some.join(sized, ["e", "k"], "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+    some = _blocks(some, F.col("nb"), "d").withColumn("tile", F.xxhash64("k", "nb", "t1", "t2")) \
+        .withColumn("e", F.xxhash64("e", "tile")).select(*entries.columns, "tile")
+    return rest.withColumn("tile", F.lit(0).cast("long")).unionByName(some)
+
+
 def _groups(entries: DataFrame, partitions: int, rule: Rule) -> DataFrame:
-    """Distinct (g, gs, d, sk): members of candidate groups, named by a member's digest and sketch."""
-    dealt = entries.repartition(partitions, "e").sortWithinPartitions("e", "n", "p", "d")
+    """Distinct (g, gs, d, sk): members of candidate groups, named by a member's digest and sketch
+    (and the tile of a long list)."""
+    dealt = _tiled(entries, rule).repartition(partitions, "e", "tile").sortWithinPartitions("e", "tile", "n", "p", "d")
     kind = pa.schema([("g", pa.int64()), ("gs", pa.binary()), ("d", pa.int64()), ("sk", pa.binary())])
 
     def columns(b: pa.RecordBatch) -> list[np.ndarray]:
         sk = b.column(2)
         flat = np.frombuffer(b"".join(sk.to_pylist()), np.uint8).reshape(-1, 16)
-        return [b.column(0).to_numpy(), b.column(1).to_numpy(), flat, b.column(3).to_numpy().astype(np.int64), b.column(4).to_numpy().astype(np.int64)]
+        return [b.column(0).to_numpy(), b.column(1).to_numpy(), flat, b.column(3).to_numpy().astype(np.int64), b.column(4).to_numpy().astype(np.int64),
+                b.column(5).to_numpy()]
 
     def emit(part: list[np.ndarray], seen: set) -> pa.RecordBatch | None:
+        *part, tile = part
         group, member = _meetings(*part, rule)
         d, sk = part[1], part[2]
         new = []
         for g, m in dict.fromkeys(zip(group.tolist(), member.tolist(), strict=True)):
-            key = (int(d[g]), sk[g].tobytes(), int(d[m]), sk[m].tobytes())
+            label = tile[g].tobytes() if tile[g] else b""
+            key = (int(d[g]), sk[g].tobytes() + label, int(d[m]), sk[m].tobytes())
             if key not in seen:
                 seen.add(key)
                 new.append(key)
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in new], f.type) for i, f in enumerate(kind)], schema=kind) if new else None
 
+    def joined(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*held, strict=True)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
-        held: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []  # parts of the last list, which may go on in the next batch
         for b in batches:
             if not b.num_rows:
                 continue
             now = columns(b)
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            last = int(np.searchsorted(now[0], now[0][-1]))  # the last list may go on in the next batch
+            if held and now[0][-1] == held[0][0][0]:
+                held.append(now)
+                continue
+            now = joined([*held, now])
+            last = int(np.searchsorted(now[0], now[0][-1]))
             if last and (out := emit([x[:last] for x in now], seen)) is not None:
                 yield out
-            held = [x[last:] for x in now]
+            held = [[x[last:] for x in now]]
             if len(seen) > 200_000:
                 seen = set()
-        if held is not None and (out := emit(held, seen)) is not None:
+        if held and (out := emit(joined(held), seen)) is not None:
             yield out
 
     return dealt.mapInArrow(run, "g long, gs binary, d long, sk binary").distinct()
 
 
 def _narrowed(groups: DataFrame, candidates: DataFrame, partitions: int, rule: Rule) -> DataFrame:
-    """Groups without the members whose wide sketch rules out every other member, parted where
-    no sketch allows a link. Groups beyond GROUP_BLOCK members stay as they are."""
-    members = groups.join(candidates.select("d", "sk", "n", "wide"), ["d", "sk"])
+    """(g, gs, d, sk, n): groups without the members whose wide sketch rules out every other
+    member, parted where no sketch allows a link. Groups beyond GROUP_BLOCK members stay as they
+    are and never come together here."""
+    large = materialize(groups.groupBy("g", "gs").count().where(F.col("count") > GROUP_BLOCK).select("g", "gs"), "jaccard-large")
+    asis, small = _parted(groups, large, ["g", "gs"])
+    asis = asis.join(candidates.select("d", "sk", "n"), ["d", "sk"]).select("g", "gs", "d", "sk", "n")
+    members = small.join(candidates.select("d", "sk", "n", "wide"), ["d", "sk"])
     dealt = members.repartition(partitions, "g", "gs").sortWithinPartitions("g", "gs", "d", "sk").select("g", "gs", "d", "sk", "n", "wide")
-    kind = pa.schema([("g", pa.int64()), ("gs", pa.binary()), ("d", pa.int64()), ("sk", pa.binary())])
+    kind = pa.schema([("g", pa.int64()), ("gs", pa.binary()), ("d", pa.int64()), ("sk", pa.binary()), ("n", pa.int32())])
 
     def part(rows: list[tuple]) -> list[tuple]:
         if len(rows) < 2:
             return []
-        if len(rows) > GROUP_BLOCK:
-            return [r[:4] for r in rows]
         n = np.array([r[4] for r in rows], np.int64)
         wide = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
         ok = np.array([may_link(n, 0, wide, n[i], 0, wide[i], rule) for i in range(len(rows))])
-        return [(rows[c[0]][2], rows[c[0]][3], *rows[i][2:4]) for c in _clusters(ok) for i in c.tolist()]
+        return [(rows[c[0]][2], rows[c[0]][3], *rows[i][2:5]) for c in _clusters(ok) for i in c.tolist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -408,7 +465,7 @@ def _narrowed(groups: DataFrame, candidates: DataFrame, partitions: int, rule: R
         if out := part(held):
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(kind)], schema=kind)
 
-    return dealt.mapInArrow(run, "g long, gs binary, d long, sk binary").distinct()
+    return dealt.mapInArrow(run, "g long, gs binary, d long, sk binary, n int").distinct().unionByName(asis)
 
 
 def _filtered(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -426,12 +483,10 @@ def _verified(groups: DataFrame, candidates: DataFrame, rows: DataFrame, partiti
     """Distinct (a, b): a spanning forest of the links of each group, as document ids.
 
     ``candidates``: (d, sk, id) of the sets in groups; ``rows``: (id, t) of all documents."""
-    sized = groups.groupBy("g", "gs").agg(F.count("*").alias("m"))
-    tiles = F.ceil(F.col("m") / GROUP_BLOCK).cast("int")
-    members = groups.join(sized.where("m > 1"), ["g", "gs"]).join(candidates, ["d", "sk"]) \
-        .withColumn("nb", tiles).withColumn("b", F.pmod(F.xxhash64("d"), F.col("nb")).cast("int")) \
-        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))) \
-        .select("id", "d", "g", "gs", F.least("b", "o").alias("t1"), F.greatest("b", "o").alias("t2"))
+    tiles = F.greatest(F.ceil(F.count("*") / GROUP_BLOCK), F.ceil(F.sum("n") / GROUP_ELEMENTS)).cast("int")
+    sized = groups.groupBy("g", "gs").agg(tiles.alias("nb")).where("nb > 1")
+    members = groups.join(sized, ["g", "gs"], "left").withColumn("nb", F.coalesce("nb", F.lit(1))).join(candidates, ["d", "sk"])
+    members = _blocks(members, F.col("nb"), "d").select("id", "d", "g", "gs", "t1", "t2")
     with_text = _filtered(rows, candidates.select("id")).join(members, "id")
     key = ["g", "gs", "t1", "t2"]
     dealt = with_text.repartition(partitions, *key).sortWithinPartitions(*key, "id")
@@ -508,7 +563,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hot = (element[order], often["n"].to_numpy()[order])
     named = first.where("kind = 0 AND n > 0 AND id IS NOT NULL")
     reps = named.groupBy("d", "sk").agg(F.min("id").alias("id"))
-    groups = materialize(_groups(_entries(rows.select("t"), hot, rule), partitions, rule), "jaccard-groups")
+    entries = materialize(_entries(rows.select("t"), hot, rule), "jaccard-entries")
+    groups = materialize(_groups(entries, partitions, rule), "jaccard-groups")
     candidates = materialize(named.join(groups.select("d", "sk").distinct(), ["d", "sk"], "left_semi").groupBy("d", "sk")
                              .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("wide").alias("wide")), "jaccard-candidates")
     groups = materialize(_narrowed(groups, candidates, partitions, rule), "jaccard-narrowed")

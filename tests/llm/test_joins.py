@@ -108,6 +108,36 @@ def test_components_match_brute_force(spark, monkeypatch):
     assert sorted((tuple(r) for r in J.jaccard_components(df).collect()), key=str) == want
 
 
+def test_lists_and_groups_are_bounded_before_they_come_together(spark, monkeypatch):
+    rng = random.Random(13)
+    texts = near_copies(rng, 150, 60, 1) + near_copies(rng, 40, 200, 8) + near_copies(rng, 20, 600, 20)
+    texts += [" ".join([*(f"same{i}" for i in range(40)), f"word{i}"]) for i in range(150)]  # one template, a changing word
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for name, bound in (("LIST_BLOCK", 32), ("GROUP_BLOCK", 24), ("GROUP_ELEMENTS", 3000)):
+        monkeypatch.setattr(J, name, bound)
+    most = {"list": 0, "group": 0, "elements": 0}
+    tiled, blocks = J._tiled, J._blocks
+
+    def lists(entries, rule):
+        out = tiled(entries, rule).cache()
+        most["list"] = out.groupBy("e", "tile").count().agg(F.max("count")).first()[0]
+        return out
+
+    def tiles(rows, nb, by):
+        out = blocks(rows, nb, by)
+        if "gs" in rows.columns:
+            out = out.cache()
+            found = out.groupBy("g", "gs", "t1", "t2").agg(F.count("*").alias("m"), F.sum("n").alias("n")).agg(F.max("m"), F.max("n")).first()
+            most["group"], most["elements"] = found
+        return out
+
+    monkeypatch.setattr(J, "_tiled", lists)
+    monkeypatch.setattr(J, "_blocks", tiles)
+    assert sorted((tuple(r) for r in J.jaccard_components(df).collect()), key=str) == brute_components(rows)
+    assert 0 < most["list"] <= 4 * 32 and 0 < most["group"] <= 4 * 24 and 0 < most["elements"] <= 4 * 3000, most
+
+
 def test_components_odd_rows(spark):
     got = sorted((tuple(r) for r in J.jaccard_components(odd.frame(spark)).collect()), key=str)
     assert got == brute_components([(r[0], r[1]) for r in odd.rows()])
