@@ -3,7 +3,10 @@
 Fixed patterns give the base spans. Beyond them, a string that stands in a sensitive context
 is a secret when it is new: compressed after its surroundings, with a dictionary of code and
 identifiers, it costs about as many bytes as random characters would. Names, paths and
-repeated values cost next to nothing there and are left alone.
+repeated values cost next to nothing there and are left alone. A candidate runs to the end of
+its characters, and the context goes on over the lines that directly follow it, or to the END
+line of a private key; their pieces are compared with what surrounds the whole block, because
+random lines make each other cheap.
 """
 
 from __future__ import annotations
@@ -29,7 +32,15 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")  # one stands in
 # words that make their surroundings sensitive, and what may be a secret near them
 SENSITIVE = re.compile(r"(?i:key|secret|token|passw|credential|bearer|private|signature)", re.ASCII)
 SENSITIVE_WORDS = ("key", "secret", "token", "passw", "credential", "bearer", "private", "signature")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,512}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16}")  # how a candidate starts; RUN takes it to its end
+RUN = re.compile(r"[A-Za-z0-9+/_=-]*")
+RUNS = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LINE = r"[\x20\t]*(?:\r?\n|(?:\\r)?\\n)[\x20\t]*"  # a line break, as such or escaped
+NEXT = re.compile(rf"{LINE}([A-Za-z0-9+/_=-]{{16,}})")
+LAST = re.compile(rf"{LINE}([A-Za-z0-9+/_=]{{1,15}})(?={LINE}-----END )")
+ARMOUR = re.compile(r"-----(BEGIN|END) ([A-Z0-9\x20]*PRIVATE\x20KEY[A-Z\x20]*)-----")
+HEAD = 512  # characters of a candidate measured at once, among its own surroundings
+PIECE = 256  # characters of longer ones and of following lines measured at once
 MIN_PART = 12  # characters between separators, digits and letters among them
 REACH = 48  # a candidate starts within so many characters after a sensitive word
 CONTEXT = 256  # characters on either side that the candidate is compared with
@@ -69,9 +80,11 @@ class Novelty:
         primed = zstandard.ZstdCompressionDict(dictionary.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.pack = zstandard.ZstdCompressor(level=19, dict_data=primed, write_content_size=False, write_checksum=False).compress
 
-    def ratio(self, text: str, start: int, end: int) -> float:
-        """Bytes that the candidate adds behind its surroundings, for each of its bytes."""
-        around = (text[max(0, start - CONTEXT):start] + "\n" + text[end:end + CONTEXT] + "\n").encode("utf-8", "replace")
+    def ratio(self, text: str, start: int, end: int, first: int | None = None, last: int | None = None) -> float:
+        """Bytes that the candidate adds behind its surroundings (those of the block from
+        ``first`` to ``last``, where given), for each of its bytes."""
+        first, last = start if first is None else first, end if last is None else last
+        around = (text[max(0, first - CONTEXT):first] + "\n" + text[last:last + CONTEXT] + "\n").encode("utf-8", "replace")
         word = text[start:end].encode()
         return (len(self.pack(around + word)) - len(self.pack(around))) / len(word)
 
@@ -86,30 +99,86 @@ def base_spans(text: str, lower: str) -> list[Span]:
     return out + [Span("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+def named(value: str) -> bool:
+    """Whether it consists of short parts, or of one kind of characters, as names and paths do."""
+    longest = max(re.split(r"[/_=-]", value), key=len)
+    return len(longest) < MIN_PART or not (any(x.isdigit() for x in longest) and any(x.isalpha() for x in longest))
+
+
+def least_ratio(value: str) -> float:
+    return NOVELTY_HEX if all(x in "0123456789abcdefABCDEF-" for x in value) else NOVELTY
+
+
+def block_spans(text: str, runs: list[tuple[int, int]], novelty: Novelty) -> list[Span]:
+    """Runs of one block from their first new piece on."""
+    out = []
+    for start, end in runs:
+        for at in range(start, end, PIECE):
+            piece = text[at:min(end, at + PIECE)]
+            if named(piece):
+                continue
+            ratio = novelty.ratio(text, at, at + len(piece), runs[0][0], runs[-1][1])
+            if ratio >= least_ratio(piece):
+                out.append(Span("novel", at, end, ratio))
+                break
+    return out
+
+
+def with_last(text: str, spans: list[Span]) -> list[Span]:
+    """Spans plus the short line between the last of them and the END line."""
+    if spans and (m := LAST.match(text, spans[-1].end)):
+        return [*spans, Span("novel", m.start(1), m.end(1), spans[-1].novelty)]
+    return spans
+
+
 def novel_spans(text: str, lower: str, base: list[Span], novelty: Novelty) -> list[Span]:
-    """Candidates behind a sensitive word that no base span touches and that do not compress."""
+    """Candidates behind a sensitive word that do not compress, and those in the lines that
+    follow them or up to the END line of a private key; none that a base span touches at its
+    head, or that a base span covers."""
     if not any(w in lower for w in SENSITIVE_WORDS):
         return []
-    out: list[Span] = []
+    out: dict[tuple[int, int], Span] = {}
     taken = sorted((s.start, s.end) for s in base)
-    tested = -1
+
+    def add(spans: list[Span]) -> None:
+        for s in spans:
+            if not any(a <= s.start and s.end <= z for a, z in taken):
+                out.setdefault((s.start, s.end), s)
+
+    begun = None
+    for m in ARMOUR.finditer(text):
+        if m.group(1) == "BEGIN":
+            begun = m
+        elif begun is not None and m.group(2) == begun.group(2):
+            runs = [c.span() for c in RUNS.finditer(text, begun.end(), m.start())]
+            add(with_last(text, block_spans(text, runs, novelty)))
+            begun = None
+    tested, run_end, walked = -1, -1, -1
     for m in SENSITIVE.finditer(text):
-        for c in CANDIDATE.finditer(text, m.end(), min(len(text), m.end() + REACH + 512)):
-            if c.start() > m.end() + REACH:
-                break
-            if c.start() <= tested:
+        at, limit = m.end(), min(len(text), m.end() + REACH + 16)
+        while c := CANDIDATE.search(text, at, limit):
+            start = c.start()
+            if start >= run_end:
+                run_end = RUN.match(text, start).end()
+            at = end = run_end
+            if start <= tested:
                 continue
-            tested = c.start()
-            value = c.group()
-            if any(a < c.end() and c.start() < z for a, z in taken):
+            tested = start
+            head = text[start:min(end, start + HEAD)]
+            touched = any(a < start + len(head) and start < z for a, z in taken)
+            if not touched and not named(head):
+                ratio = novelty.ratio(text, start, start + len(head))
+                if ratio >= least_ratio(head):
+                    add([Span("novel", start, end, ratio)])
+            if end <= walked:
                 continue
-            longest = max(re.split(r"[/_=-]", value), key=len)  # names and paths are short parts
-            if len(longest) < MIN_PART or not (any(x.isdigit() for x in longest) and any(x.isalpha() for x in longest)):
-                continue
-            ratio = novelty.ratio(text, c.start(), c.end())
-            if ratio >= (NOVELTY_HEX if all(x in "0123456789abcdefABCDEF-" for x in value) else NOVELTY):
-                out.append(Span("novel", c.start(), c.end(), ratio))
-    return out
+            runs = [(start, end)]
+            while follows := NEXT.match(text, runs[-1][1]):
+                runs.append(follows.span(1))
+            walked = runs[-1][1]
+            if len(runs) > 1 or end - start > HEAD:
+                add(with_last(text, block_spans(text, runs[1:] if touched else runs, novelty)))
+    return list(out.values())
 
 
 def scan(text: str | None, novelty: Novelty) -> list[Span]:

@@ -54,6 +54,28 @@ def test_novelty_reports_random_strings_in_context_only():
         assert scan(clean, novelty) == [], clean
 
 
+def test_novelty_reaches_the_end_of_long_secrets(spark):
+    rng, novelty = random.Random(4), Novelty()
+    code = string.ascii_letters + string.digits + "+/"
+    lines = ["".join(rng.choices(code, k=64)) for _ in range(25)] + ["".join(rng.choices(code, k=6)) + "=="]
+    value = "".join(rng.choices(string.ascii_letters + string.digits, k=2000))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [f"see below\n{begin}\n" + "\n".join(lines) + f"\n{end}\nthe text goes on",
+             f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,00\n\n" + "\r\n".join(lines) + f"\r\n{end}",
+             f'{{"private_key": "{begin}\\n' + "\\n".join(lines) + f'\\n{end}\\n"}}',
+             "the private key\n" + "\n".join(lines[:-1]) + "\nwithout an end",
+             f"the signature {value} of it", f"private_key = {value}"]
+    df = secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = [r.text for r in df.withColumn("text", masked(F.col("text"), F.col("secrets"))).orderBy("doc_id").collect()]
+    for i, text in enumerate(got):
+        assert not any(x[k:k + 8] in text for x in [*lines, value] for k in range(0, len(x) - 7)), (i, text[:300])
+    assert "the text goes on" in got[0] and "without an end" in got[3] and got[4] == "the signature <secret> of it"
+    names = "\n".join(f"src/main/java/com/example/Service{i}/configuration_settings" for i in range(30))
+    for clean in (f"credential paths\n{names}\nend", "the key\n" + "word " * 400, f"values\n{lines[0]}\n{lines[1]}"):
+        assert scan(clean, novelty) == [], clean[:80]
+    repeated = "keyabcdefgh12345" * 3000 + "\n"  # linear in the text
+    scan(repeated, novelty)
+
 def test_masking(spark):
     df = secrets(spark.createDataFrame([(1, 'é token = "abcdefgh12345" end'), (2, None), (3, "no")], "doc_id long, text string"))
     got = df.withColumn("text", masked(F.col("text"), F.col("secrets"))).orderBy("doc_id").collect()
