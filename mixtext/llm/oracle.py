@@ -110,4 +110,54 @@ reach(v, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT ends.y, reach.c FROM r
 SELECT s.doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(c) FROM reach WHERE v = s.doc_id) AS component_id FROM s
 """
 
-ORACLE = {"op10_jaccard_join": OP10, "op2_nearest": OP2, "op1_pii": OP1, "op5_quality_rules": OP5, "op6_source_mix": OP6}
+_WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _apart(x: str, y: str) -> str:
+    """Squared distance of two whole-number lists."""
+    return f"list_sum(list_transform(list_zip({x}, {y}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+
+def _op12(rounds: int) -> str:
+    sql = f"""WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE {_WHOLE} AND len(embedding) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v AS m FROM v ORDER BY sha256('1:' || vec_id), v LIMIT 16)"""
+    for i in range(rounds + 1):
+        sql += f""",
+a{i} AS (SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, arg_min(c, d * 16 + c)::INT AS cluster, min(d)::BIGINT AS distance
+  FROM (SELECT r, vec_id, v, c, {_apart("v", "m")} AS d FROM v CROSS JOIN c{i}) GROUP BY r)"""
+        if i < rounds:
+            sql += f""",
+m{i} AS (SELECT cluster, list(s ORDER BY d) AS m FROM (SELECT cluster, d, floor(sum(x)::HUGEINT / count(*))::BIGINT AS s
+  FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS d FROM a{i}) GROUP BY cluster, d) GROUP BY cluster),
+c{i + 1} AS (SELECT c, coalesce(m{i}.m, c{i}.m) AS m FROM c{i} LEFT JOIN m{i} ON c = cluster)"""
+    return sql + f"""
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+    (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON cluster = c"""
+
+
+def _op13(rounds: int) -> str:
+    sql = f"""WITH v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE {_WHOLE}),
+p AS (SELECT r, unnest(range(16)) AS p, unnest(list_transform(range(16), lambda i: v[i * (len(v) // 16) + 1 : (i + 1) * (len(v) // 16)])) AS x FROM v),
+f AS (SELECT r, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM v ORDER BY vec_id, v LIMIT 64),
+b0 AS (SELECT p, e, x AS m FROM p JOIN f USING (r))"""
+    for i in range(rounds + 1):
+        sql += f""",
+a{i} AS (SELECT r, p, any_value(x) AS x, arg_min(e, d * 64 + e) AS e, min(d)::BIGINT AS d
+  FROM (SELECT r, p.p, x, e, {_apart("x", "m")} AS d FROM p JOIN b{i} ON p.p = b{i}.p) GROUP BY r, p)"""
+        if i < rounds:
+            sql += f""",
+m{i} AS (SELECT p, e, list(s ORDER BY k) AS m FROM (SELECT p, e, k, floor(sum(y)::HUGEINT / count(*))::BIGINT AS s
+  FROM (SELECT p, e, unnest(x) AS y, unnest(range(len(x))) AS k FROM a{i}) GROUP BY p, e, k) GROUP BY p, e),
+b{i + 1} AS (SELECT b{i}.p, b{i}.e, coalesce(m{i}.m, b{i}.m) AS m FROM b{i} LEFT JOIN m{i} ON b{i}.p = m{i}.p AND b{i}.e = m{i}.e)"""
+    return sql + f""",
+o AS (SELECT r, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(m, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN o USING (r), h"""
+
+
+OP12, OP13 = _op12(3), _op13(2)
+
+ORACLE = {"op12_centroids": OP12, "op13_codebooks": OP13, "op10_jaccard_join": OP10, "op2_nearest": OP2, "op1_pii": OP1, "op5_quality_rules": OP5, "op6_source_mix": OP6}

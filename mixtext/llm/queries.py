@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixtext.llm import language_id, toxicity
+from mixtext.llm.centroids import cluster, with_inertia
+from mixtext.llm.codebooks import compress, with_group_sum
 from mixtext.llm.common import held_out, read, tokenizer_file
 from mixtext.llm.jaccard_join import jaccard_components
+from mixtext.llm.licenses import licenses
 from mixtext.llm.mixing import mix
 from mixtext.llm.neighbours import nearest
 from mixtext.llm.oracle import ORACLE as ORACLE
@@ -87,6 +90,34 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    places = F.col("licenses.places")
+    base = F.filter(places, lambda p: p["base"])
+
+    def names(of):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(of, lambda p: p["label"]))), ",")
+
+    return found.select(
+        "doc_id", F.col("licenses.n_words").alias("n_words"), F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda p: p["start"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda p: p["start"])).alias("last_word"),
+        names(base).alias("base_labels"), names(places).alias("labels"),
+        F.coalesce(F.array_max(F.transform(places, lambda p: p["score"])), F.lit(0.0)).alias("score"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_inertia(cluster(read(spark, sf_dir, "embeddings")))
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compress(read(spark, sf_dir, "embeddings"))
+    return with_group_sum(found.rows, "label", "error", "label_error") \
+        .select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(found.sha256()).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_nearest, op3_toxicity, op4_language_id, op5_quality_rules, op6_source_mix, op7_secrets, op8_pieces, op9_token_files, op10_jaccard_join)
+    f.__name__: f for f in (op1_pii, op2_nearest, op3_toxicity, op4_language_id, op5_quality_rules, op6_source_mix, op7_secrets, op8_pieces, op9_token_files, op10_jaccard_join,
+                             op11_licenses, op12_centroids, op13_codebooks)
 }
