@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
+import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +49,50 @@ def raw_texts(array: pa.Array) -> Iterator[bytes]:
             yield value if value is not None else b""
 
 
+def utf8(array: pa.Array) -> pa.Array:
+    """The array with every value valid UTF-8 (Spark's strings need not be)."""
+    try:
+        array.validate(full=True)
+    except pa.ArrowInvalid:
+        return pa.array([None if v is None else v.decode("utf-8", "replace") for v in array.cast(pa.binary()).to_pylist()], pa.string())
+    return array
+
+
+def strings(array: pa.Array, mark: str) -> list[str]:
+    """The values of a large_string array that hold no ``mark`` (much faster than to_pylist)."""
+    if not len(array):
+        return []
+    whole = pa.LargeListArray.from_arrays(pa.array([0, len(array)], pa.int64()), array)
+    return pc.binary_join(whole, pa.scalar(mark, pa.large_string()))[0].as_py().split(mark)
+
+
+def portions(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to at most ``most``; a larger row is alone."""
+    begin, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > begin and held + size > most:
+            yield begin, i
+            begin, held = i, 0
+        held += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+class Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.data = np.zeros(1024, kind)
+        self.n = 0
+
+    def extend(self, values) -> None:
+        need = self.n + len(values)
+        if need > len(self.data):
+            self.data = np.concatenate([self.data[:self.n], np.zeros(need - self.n + self.n // 5, self.data.dtype)])
+        self.data[self.n:need] = values
+        self.n = need
+
+
 def tokenizer_file(name: str) -> str:
     """Path of a public vocabulary file; ``MIXTEXT_TOKENIZERS`` overrides the folder."""
     folder = os.environ.get("MIXTEXT_TOKENIZERS")
@@ -56,10 +106,22 @@ def tokenizer_file(name: str) -> str:
 _HELD: dict[str, object] = {}
 
 
+def hand_back() -> None:
+    """Return freed memory to the system: Python's, Arrow's and the C allocator's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(AttributeError, OSError):  # allocators other than glibc's have no malloc_trim
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def per_worker(key: str, make):
     """``make()`` once per worker process and key. Workers outlive queries and stages, so a
-    process holds one such object at a time: the next operator's takes its place."""
+    process holds one such object at a time: the next operator's takes its place, and what
+    the last one used is handed back first."""
     if key not in _HELD:
-        _HELD.clear()
+        if _HELD:
+            _HELD.clear()
+            hand_back()
         _HELD[key] = make()
     return _HELD[key]

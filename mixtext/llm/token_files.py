@@ -13,27 +13,40 @@ base is the prefix sum of the id counts before it: no partition waits for anothe
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mixtext.llm.common import per_worker, raw_texts
+from mixtext.llm.common import Growing, per_worker, portions, strings, utf8
 from mixtext.session import scratch_path
 
-CACHE_WORDS = 400_000  # distinct words whose ids a worker keeps; then that cache starts anew
-CACHE_RUNS = 600_000  # likewise for letter runs
+CACHE_WORDS = 400_000  # distinct runs and words whose ids a worker keeps; then the cache starts anew
+CACHE_IDS = 4_000_000  # likewise for their ids
+ENCODE_BYTES = 4 << 20  # of texts encoded together
 READ_DOCS = 8192  # documents per batch when reading back
 
+# The rules under which words are encoded on their own.
+PARTING = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
 MANIFEST = T.StructType([
     T.StructField("part", T.IntegerType()),
     T.StructField("file", T.StringType()),
@@ -45,17 +58,17 @@ MANIFEST = T.StructType([
 
 
 class WordEncoder:
-    """Whole texts to ids through a word cache.
-
-    The tokenizer's normaliser and pre-tokeniser never look across ASCII white space, so the
-    ids of a text are the ids of its white-space separated words, one after the other. Most
-    words are a run of Latin letters with closing marks; the pre-tokeniser parts the two, the
-    letters' ids do not depend on their case, and many letter runs are encoded in one call:
-    every run's last id, and no other, is a word-end token. All other words are encoded one
-    by one.
+    """Texts to ids, word by word where the tokenizer's rules allow it, whole otherwise.
+
+    By the rules PARTING the ids of a text are the ids of its white-space separated words, one
+    after the other; a run of Latin letters is parted from the marks behind it, and its ids do
+    not depend on its case. Words are split and made distinct in Arrow, so that Python sees
+    each distinct word of a batch once; many new letter runs are encoded in one call: every
+    run's last id, and no other, is a word-end token. Other words are encoded one by one.
+    A tokenizer with other rules encodes whole texts.
     """
 
-    MARKS = b".,!?;:#*$%&|"
+    MARKS = ".,!?;:#*$%&|"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,70 +80,82 @@ class WordEncoder:
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.ends = np.zeros(size, dtype=bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.runs: dict[bytes, bytes] = {}
-
-    def _run(self, letters: bytes) -> bytes | None:
-        """The lower-case form of a run of Latin letters, None for anything else."""
-        if letters.isalpha():
-            return letters.lower()
-        text = letters.decode("utf-8", "replace")
-        if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
-            return text.lower().encode()
-        return None
-
-    def _one_by_one(self, words: list[bytes]) -> list[bytes]:
-        out = []
+        self.parting = self._parts(json.loads(self.tokenizer.to_str()))
+        self.reset()
+
+    @staticmethod
+    def _parts(rules: dict) -> bool:
+        """Whether words can be encoded on their own, by the tokenizer's stated rules."""
+        added = [t["content"] for t in rules["added_tokens"]]
+        return rules["normalizer"] == PARTING["normalizer"] and rules["pre_tokenizer"] == PARTING["pre_tokenizer"] \
+            and rules["post_processor"] is None and rules["model"]["end_of_word_suffix"] == "</w>" \
+            and not any(t.rstrip(WordEncoder.MARKS) != t or t.isalpha() or any(c.isspace() for c in t) for t in added)
+
+    def reset(self) -> None:
+        self.number: dict[str, int] = {"": 0}  # letter runs, marks and other words met so far
+        self.ids = Growing(self.dtype)
+        self.stop = Growing(np.int64)
+        self.stop.extend([0, 0])
+
+    def _add(self, words: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.stop.extend(self.ids.n + np.cumsum(lens))
+        self.ids.extend(ids)
+
+    def _one_by_one(self, words: list[str]) -> None:
         for start in range(0, len(words), 4096):
-            got = self.batch([w.decode("utf-8", "replace") for w in words[start:start + 4096]], add_special_tokens=False)
-            out += [np.array(e.ids, dtype=self.dtype).tobytes() for e in got]
-        return out
+            some = words[start:start + 4096]
+            got = [e.ids for e in self.batch(some, add_special_tokens=False)]
+            lens = np.fromiter(map(len, got), np.int64, len(got))
+            self._add(some, np.fromiter(chain.from_iterable(got), np.int64, int(lens.sum())), lens)
 
-    def _learn_runs(self, runs: list[bytes]) -> None:
+    def _learn_runs(self, runs: list[str]) -> None:
         for start in range(0, len(runs), 4096):
             some = runs[start:start + 4096]
-            ids = np.array(self.batch([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            stops = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
-            packed = ids.tobytes()
-            if len(stops) != len(some) or stops[-1] != len(packed):
-                self.runs.update(zip(some, self._one_by_one(some), strict=True))
-                continue
-            at = 0
-            for run, stop in zip(some, stops.tolist(), strict=True):
-                self.runs[run] = packed[at:stop]
-                at = stop
-
-    def _learn(self, words: set[bytes]) -> None:
-        parted, whole = [], []
-        for w in words:
-            letters = w.rstrip(self.MARKS)
-            run = self._run(letters)
-            if run is None:
-                whole.append(w)
+            ids = np.array(self.batch([" ".join(some)], add_special_tokens=False)[0].ids)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(some) or stops[-1] != len(ids):
+                self._one_by_one(some)
             else:
-                parted.append((w, run, w[len(letters):]))
-        marks = {m for _, _, m in parted if m}.difference(self.runs)
-        self.runs.update(zip(marks, self._one_by_one(list(marks)), strict=True))
-        self._learn_runs(list({r for _, r, _ in parted}.difference(self.runs)))
-        self.runs[b""] = b""
-        for w, run, mark in parted:
-            self.known[w] = self.runs[run] + self.runs[mark]
-        self.known.update(zip(whole, self._one_by_one(whole), strict=True))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Packed ids of each text."""
-        split = [t.split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        if len(self.runs) > CACHE_RUNS:
-            self.runs = {}
-        new: set[bytes] = set()
-        for w in split:
-            new.update(set(w).difference(self.known))
-        if new:
-            self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in split]
+                self._add(some, ids, np.diff(stops, prepend=0))
+
+    def _numbers(self, words: list[str], learn) -> np.ndarray:
+        learn(list(dict.fromkeys(w for w in words if w not in self.number)))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def _words(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the letter run, or of the whole word, and of the marks of each word."""
+        letters = pc.ascii_rtrim(distinct, characters=self.MARKS)
+        is_run = pc.and_(pc.utf8_is_alpha(letters), pc.invert(pc.match_substring_regex(letters, "[^\\x00-\u024f]|\u0130"))).to_numpy(zero_copy_only=False)
+        first, second = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        runs = pc.utf8_lower(letters.filter(pa.array(is_run))).dictionary_encode()
+        first[is_run] = self._numbers(strings(runs.dictionary, " "), self._learn_runs)[runs.indices.to_numpy(zero_copy_only=False)]
+        cut = pc.binary_length(letters).to_numpy(zero_copy_only=False)
+        marked = is_run & (pc.binary_length(distinct).to_numpy(zero_copy_only=False) > cut)
+        tails = [w.encode()[n:].decode() for w, n in zip(strings(distinct.filter(pa.array(marked)), " "), cut[marked].tolist(), strict=True)]
+        second[marked] = self._numbers(tails, self._one_by_one)
+        first[~is_run] = self._numbers(strings(distinct.filter(pa.array(~is_run)), " "), self._one_by_one)
+        return first, second
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (null: none) one after another, and how many each has."""
+        if not self.parting:
+            got = [e.ids for e in self.batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            lens = np.fromiter(map(len, got), np.int64, len(got))
+            return np.fromiter(chain.from_iterable(got), self.dtype, int(lens.sum())), lens
+        if self.ids.n > CACHE_IDS or len(self.number) > CACHE_WORDS:
+            self.reset()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        flat = pc.cast(split.flatten(), pa.large_string()).dictionary_encode()
+        index = flat.indices.to_numpy(zero_copy_only=False)
+        first, second = self._words(flat.dictionary)
+        number = np.stack([first[index], second[index]], axis=1).ravel()
+        begin = self.stop.data[number]
+        size = self.stop.data[number + 1] - begin
+        upto = np.cumsum(size)
+        ids = self.ids.data[np.repeat(begin - upto + size, size) + np.arange(int(size.sum()))]
+        ends = np.concatenate([[0], upto])[2 * (split.offsets.to_numpy() - split.offsets[0].as_py())]
+        return ids, np.diff(ends)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -168,7 +193,6 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
         if first is None:
             return
         enc = encoder(tokenizer)
-        end = np.array([end_id], dtype=enc.dtype).tobytes()
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         fs_, root = _store(out_dir)
@@ -178,13 +202,17 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
                 fs_.open_output_stream(f"{root}/{name}.key") as keys:
             idx.write(np.zeros(1, dtype="<i8").tobytes())
 
-            def flush(some: list[bytes]) -> None:
+            def flush(some: pa.Array) -> None:
                 nonlocal n_ids, n_docs
-                packed = [p + end for p in enc.encode(some)]
-                ends = n_ids + np.cumsum([len(p) // enc.dtype.itemsize for p in packed], dtype="<i8")
-                ids.write(b"".join(packed))
-                idx.write(ends.tobytes())
-                n_ids, n_docs = int(ends[-1]), n_docs + len(packed)
+                got, lens = enc.encode(some)
+                ends = np.cumsum(lens + 1)
+                whole = np.full(int(ends[-1]), end_id, enc.dtype)
+                is_id = np.ones(len(whole), bool)
+                is_id[ends - 1] = False
+                whole[is_id] = got
+                ids.write(whole.tobytes())
+                idx.write((n_ids + ends).astype("<i8").tobytes())
+                n_ids, n_docs = n_ids + len(whole), n_docs + len(some)
 
             def all_batches():
                 yield first
@@ -195,15 +223,10 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
                     continue
                 n_null += b.column(0).null_count
                 keys.write(np.asarray(b.column(0).fill_null(0).to_numpy(zero_copy_only=False), dtype="<i8").tobytes())
-                some, size = [], 0
-                for t in raw_texts(b.column(1)):
-                    some.append(t)
-                    size += len(t)
-                    if size > 1 << 20:
-                        flush(some)
-                        some, size = [], 0
-                if some:
-                    flush(some)
+                t = utf8(b.column(1))
+                sizes = pc.fill_null(pc.binary_length(t), 0).to_numpy(zero_copy_only=False)
+                for x, y in portions(sizes, ENCODE_BYTES):
+                    flush(t[x:y])
         yield pa.RecordBatch.from_pydict({
             "part": pa.array([part], pa.int32()), "file": [name], "dtype": [enc.dtype.str],
             "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64()),

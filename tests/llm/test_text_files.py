@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mixtext.llm.common import read, tokenizer_file
 from mixtext.llm.secret_scan import Novelty, masked, scan, secrets
-from mixtext.llm.token_files import read_token_files, token_files, with_bases, write_token_files
+from mixtext.llm.token_files import WordEncoder, read_token_files, token_files, with_bases, write_token_files
 from mixtext.session import scratch_path
 SF001 = "/root/testdata/sf0.001"
 from tests.llm import odd
@@ -89,10 +89,10 @@ def tokenizer():
     return Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
 
 
-def plain_tokens(tokenizer, rows):
+def plain_tokens(tokenizer, rows, end_id=1):
     at, out = 0, []
     for i, text in rows:
-        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [end_id]
         out.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     return out
@@ -121,3 +121,14 @@ def test_token_files_odd_rows(spark, tokenizer):
         assert (start, n, ids, crc) == (at, len(want), want, zlib.crc32(np.array(want, "<u4").tobytes()))
         at += n
     assert token_files(odd.empty(spark), path).count() == 0
+
+
+def test_tokenizers_with_other_rules_encode_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    rows = [(i, t) for i, t in enumerate(odd.TEXTS + ["Keeps Case, and  spaces.\n", "<|endoftext|> x"]) if len(t or "") < 10_000]
+    got = token_files(spark.createDataFrame(rows, "doc_id long, text string"), path, end_id=50256).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == plain_tokens(plain, rows, 50256)
+    assert WordEncoder(tokenizer_file("word_bpe_49k.json")).parting and not WordEncoder(path).parting
