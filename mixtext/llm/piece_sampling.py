@@ -27,19 +27,24 @@ from __future__ import annotations
 import math
 import re
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixtext.llm.common import per_worker
+from mixtext.llm.common import Growing, per_worker, portions, strings
 
 SPACE = "▁"
 LETTER, MARK = "[A-Za-z\u00c0-\u024f]", "[.,!?;:#*$%&|]"
 CHUNK = re.compile(f"\n|{SPACE}*{LETTER}+(?={MARK})|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-CACHE_CHUNKS = 150_000  # word lattices that a worker keeps; then it starts anew
-GROUP_CHARS = 1_000_000  # characters sampled together
+TWO_WORDS = f"^{SPACE}*{LETTER}+{MARK}"  # a cut at spaces and line ends that is not one word
+CACHE_EDGES = 4_000_000  # edges (20 bytes each) of the word lattices a worker keeps; then it starts anew
+LEARN_WORDS = 6000  # new words whose lattices are built together
+CUT_BYTES = 4_000_000  # of texts cut into words together
+GROUP_BYTES = 500_000  # of texts sampled together
 RANK_OFFSET = 50.0  # a piece of rank r weighs 1 / (r + RANK_OFFSET)
 MANY = 1 << 16  # edge codes from here on stand for several byte pieces
 MASK = (1 << 64) - 1
@@ -70,21 +75,6 @@ def _uniform(keys: np.ndarray, step=0) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
 
 
-class Growing:
-    """An array that grows at its end."""
-
-    def __init__(self, kind):
-        self.data = np.zeros(1024, kind)
-        self.n = 0
-
-    def extend(self, values) -> None:
-        need = self.n + len(values)
-        if need > len(self.data):
-            self.data = np.concatenate([self.data[:self.n], np.zeros(need - self.n + self.n // 4, self.data.dtype)])
-        self.data[self.n:need] = values
-        self.n = need
-
-
 class Lattices:
     """The model's pieces and the lattices of the words met so far."""
 
@@ -108,20 +98,21 @@ class Lattices:
             self.surface[i] = p.replace(SPACE, " ").encode()
         for b, i in self.byte.items():
             self.surface[i] = bytes([b])
+        self.width = np.array([len(x) for x in self.surface], np.int64)
         self._index()
         self.reset()
 
     def reset(self) -> None:
         self.number: dict[str, int] = {}
-        self.canonical: list[bytes] = []
+        self.pieces = Growing("<u2")  # encodings of the words, one after another
+        self.stop = Growing(np.int64)  # where they end
+        self.stop.extend([0])
         self.many: list[tuple[int, ...]] = []
         self.fits = Growing(bool)  # whether a word's encoding decodes to the word
         self.first = Growing(np.int32)  # word -> its first node
         self.edges = Growing(np.int32)  # node -> its first edge
-        self.origin = Growing(np.int32)  # edge -> the node it leaves
-        self.log = Growing(np.float64)  # edge -> log of its probability at that node
-        self.rest = Growing(np.float64)  # log of the probability of the node's other edges
-        self.upto = Growing(np.float64)  # the probability summed over the node's edges so far
+        self.log = Growing(np.float64)  # edge -> log of its probability at the node it leaves
+        self.upto = Growing(np.float32)  # the probability summed over the node's edges so far
         self.to = Growing(np.int32)  # edge -> the node it enters, -1 at the word's end
         self.code = Growing(np.int32)  # edge -> piece id, or MANY + number of a byte sequence
 
@@ -180,20 +171,14 @@ class Lattices:
         found.append((spelt, spelt + 1, np.array(codes, np.int64), np.array(logs)))
         # edges of a node together, long pieces (mostly the likely ones) first
         src, dst, code, log = (np.concatenate(x) for x in zip(*found[::-1], strict=True))
-        order = np.argsort(src, kind="stable")
+        order = np.argsort(src.astype(np.uint16) if len(points) < 1 << 16 else src, kind="stable")  # 16 bits: radix sort
         return src[order], dst[order], code[order], log[order]
 
     def learn(self, chunks: list[str]) -> None:
         """Build the lattices and encodings of new words, all at once."""
-        # the model would put a space before a word; behind a line end it does not
-        fits = []
-        got = self.model.encode(["\n" + c.replace(SPACE, " ") for c in chunks])
-        for c, ids in zip(chunks, got, strict=True):
-            self.number[c] = len(self.canonical)
-            self.canonical.append(np.array(ids[2:], "<u2").tobytes())
-            fits.append(b"".join([self.surface[i] for i in ids[2:]]) == c.replace(SPACE, " ").encode())
-        self.fits.extend(fits)
-        sizes = np.array([len(c) for c in chunks])
+        self.number.update(zip(chunks, range(len(self.number), len(self.number) + len(chunks)), strict=True))
+        self._encode(chunks)
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         stops = np.cumsum(sizes)
         ends = np.repeat(stops, sizes)
         points = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4")
@@ -220,26 +205,77 @@ class Lattices:
         nodes, edges = self.edges.n, self.log.n
         self.first.extend(nodes + stops - sizes)
         self.edges.extend(edges + begin)
-        self.origin.extend(nodes + src)
         self.upto.extend(upto)
         self.to.extend(np.where(inner, nodes + dst, -1))
         self.code.extend(code)
         single = per_node[src] == 1
         with np.errstate(divide="ignore"):
             self.log.extend(np.where(single, 0.0, np.log(prob)))
-            self.rest.extend(np.where(single, -np.inf, np.log1p(-np.minimum(prob, 1.0))))
 
-    def words(self, text: str) -> list[str]:
-        return CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    def origin(self, edge: int) -> int:
+        """The node an edge leaves."""
+        return int(np.searchsorted(self.edges.data[:self.edges.n], np.int32(edge), "right")) - 1
+
+    def _encode(self, chunks: list[str]) -> None:
+        """The model's encodings of new words, and whether they decode to the words."""
+        # the model would put a space before a word; behind a line end it does not
+        shown = "\n".join(chunks).replace(SPACE, " ").split("\n") if "\n" not in chunks else [c.replace(SPACE, " ") for c in chunks]
+        got = self.model.encode(["\n" + c for c in shown])
+        lens = np.fromiter(map(len, got), np.int64, len(got))
+        ids = np.fromiter(chain.from_iterable(got), np.int64, int(lens.sum()))
+        begin = np.cumsum(lens) - lens
+        keep = np.ones(len(ids), bool)
+        keep[begin] = keep[begin + 1] = False  # the line end and the space before it
+        ids, lens = ids[keep], lens - 2
+        self.pieces.extend(ids)
+        self.stop.extend(self.stop.data[self.stop.n - 1] + np.cumsum(lens))
+        # equal bytes word by word: equal lengths, and equal when laid end to end
+        want = [c.encode() for c in shown]
+        sizes = np.concatenate([[0], np.cumsum(self.width[ids])])
+        spelt = sizes[np.cumsum(lens)] - sizes[np.cumsum(lens) - lens]
+        fits = spelt == np.fromiter(map(len, want), np.int64, len(want))
+        if not fits.all() or b"".join(map(self.surface.__getitem__, ids.tolist())) != b"".join(want):
+            fits = [b"".join([self.surface[i] for i in x[2:]]) == w for x, w in zip(got, want, strict=True)]
+        self.fits.extend(fits)
 
-    def numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """The word numbers of each text; new words are learnt together."""
-        new: set[str] = set()
-        for words in texts:
-            new.update(set(words).difference(self.number))
-        if new:
-            self.learn(sorted(new))
-        return [np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)) for words in texts]
+    def encoded(self, numbers: np.ndarray) -> np.ndarray:
+        """The encodings of words, one after another."""
+        last = self.stop.data[numbers + 1]
+        first = self.stop.data[numbers]
+        lens = (last - first).astype(np.int64)
+        offset = np.cumsum(lens) - lens
+        return self.pieces.data[np.repeat(first - offset, lens) + np.arange(int(lens.sum()))]
+
+    def numbers(self, texts: pa.Array) -> list[np.ndarray]:
+        """The word numbers of each text. Texts are cut at spaces and line ends and their cuts
+        encoded as a dictionary in Arrow, so that Python sees each distinct cut once."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        mark = next(c for c in map(chr, range(0xD800)) if c not in (" ", "\n", SPACE) and not pc.any(pc.match_substring(texts, c)).as_py())
+        none, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+        shown = pc.if_else(pc.equal(pc.binary_length(texts), 0), none, pc.binary_join_element_wise(space, texts, none))
+        shown = pc.replace_substring(pc.replace_substring(shown, " ", SPACE), "\n", f"{mark}\n{mark}")
+        shown = pc.replace_substring(shown, SPACE, mark + SPACE)
+        while pc.any(pc.match_substring(shown, SPACE + mark + SPACE)).as_py():  # runs of spaces stay together
+            shown = pc.replace_substring(shown, SPACE + mark + SPACE, SPACE + SPACE)
+        cuts = pc.split_pattern(shown, mark)
+        flat = pc.cast(cuts.flatten(), pa.large_string()).dictionary_encode()
+        index = flat.indices.to_numpy(zero_copy_only=False)
+        distinct = strings(flat.dictionary, mark)
+        # the words of each distinct cut: most are one word, the empty one none
+        words = [(x,) if x else () for x in distinct]
+        for i in np.flatnonzero(pc.match_substring_regex(flat.dictionary, TWO_WORDS).to_numpy(zero_copy_only=False)).tolist():
+            words[i] = CHUNK.findall(distinct[i])
+        some = list(set(chain.from_iterable(words)).difference(self.number))
+        for a in range(0, len(some), LEARN_WORDS):  # a slice's working arrays take some 20 MB
+            self.learn(some[a:a + LEARN_WORDS])
+        each = np.fromiter(map(len, words), np.int64, len(words))
+        known = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(each.sum()))
+        first = np.cumsum(each) - each
+        sizes = each[index]
+        upto = np.cumsum(sizes)
+        out = known[np.repeat(first[index] - upto + sizes, sizes) + np.arange(int(sizes.sum()))]
+        ends = np.concatenate([[0], upto])[cuts.offsets.to_numpy()[1:] - cuts.offsets[0].as_py()]
+        return np.split(out, ends[:-1]) if len(ends) else []
 
     def walk(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draw a path from each node to its word's end: (edges per path, all edges in order)."""
@@ -297,7 +333,9 @@ def _parts(lat: Lattices, edges: np.ndarray, offsets: np.ndarray, keys: np.ndarr
     probability of the edges already used and ``left`` tells whether any other is left.
     """
     n = np.diff(offsets)
-    logs, mass = lat.log.data[edges], lat.rest.data[edges]
+    logs = lat.log.data[edges]
+    with np.errstate(divide="ignore"):
+        mass = np.log1p(-np.minimum(np.exp(logs), 1.0))  # of the node's other edges
     # text by text, so that rounding does not depend on what a text is sampled with
     sums = [np.cumsum(logs[a:z]) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
     before = np.concatenate(sums) - logs if sums else logs
@@ -354,7 +392,7 @@ def sample(lat: Lattices, numbers: list[np.ndarray], seeds: np.ndarray, k: int)
             used = parent.used.get(t, ()) + (int(parent.edges[t]),) if int(parent.edges[t]) not in parent.used.get(t, ()) else parent.used[t]
             parent.arrivals[t] = np.inf
             tops[d][best] = _best(parent)
-            node = int(lat.origin.data[parent.edges[t]])
+            node = lat.origin(int(parent.edges[t]))
             end = int(lat.edges.data[node + 1]) if node + 1 < lat.edges.n else lat.log.n
             others = [e for e in range(int(lat.edges.data[node]), end) if e not in used]
             weights = np.exp(lat.log.data[others])
@@ -399,13 +437,12 @@ _SAMPLE = pa.struct([("ids", pa.binary()), ("n_ids", pa.int32()), ("log_prob", p
 _ROW = pa.struct([("ids", pa.binary()), ("n_ids", pa.int32()), ("round_trip", pa.bool_()), ("samples", pa.list_(_SAMPLE))])
 
 
-def encode_group(lat: Lattices, texts: list[str], seeds: np.ndarray, k: int) -> list[dict]:
-    if len(lat.number) > CACHE_CHUNKS:
-        lat.reset()
+def encode_group(lat: Lattices, texts: list[str], seeds: np.ndarray, k: int, numbers: list[np.ndarray] | None = None) -> list[dict]:
+    """The rows of texts, sampled together; ``numbers``: their word numbers, where known."""
     out = []
-    numbers = lat.numbers([lat.words(t) for t in texts])
+    numbers = lat.numbers(pa.array(texts, pa.string())) if numbers is None else numbers
     for text, number, (paths, kappa) in zip(texts, numbers, sample(lat, numbers, seeds, k), strict=True):
-        ids = b"".join([lat.canonical[i] for i in number.tolist()])
+        ids = lat.encoded(number).tobytes()
         samples = []
         for p in paths:
             packed = lat.pack(p.edges)
@@ -429,17 +466,14 @@ def pieces(docs: DataFrame, model: str, k: int = 2, id_col: str = "doc_id", text
         lat = per_worker(f"lattices:{model}", partial(Lattices, model))
         rows: list[pa.Array] = []
         seeds = key.to_numpy(zero_copy_only=False).astype(np.uint64)
-        group: list[str] = []
-        size = begin = 0
-        for i in range(len(text)):
-            t = text[i].as_py() or ""
-            if group and size + len(t) > GROUP_CHARS:
-                rows.append(pa.array(encode_group(lat, group, seeds[begin:i], k), _ROW))
-                group, size, begin = [], 0, i
-            group.append(t)
-            size += len(t)
-        if group:
-            rows.append(pa.array(encode_group(lat, group, seeds[begin:], k), _ROW))
+        sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+        for a, z in portions(sizes, CUT_BYTES):
+            if lat.log.n > CACHE_EDGES:
+                lat.reset()
+            numbers = lat.numbers(text[a:z])
+            for b, y in portions(sizes[a:z], GROUP_BYTES):
+                group = [t or "" for t in text[a + b:a + y].to_pylist()]
+                rows.append(pa.array(encode_group(lat, group, seeds[a + b:a + y], k, numbers[b:y]), _ROW))
         return pa.concat_arrays(rows) if rows else pa.array([], _ROW)
 
     run.__annotations__ = {"text": pa.Array, "key": pa.Array, "return": pa.Array}
