@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import binascii
+import math
+import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -46,6 +49,56 @@ def test_language_backs_off_to_the_longest_known_gram(spark):
     assert scorer.predict("zabcd")[0] == "a" and scorer.predict("hij")[0] == "b"
 
 
+def test_language_scores_match_a_plain_scorer(spark):
+    given = read(spark, SF01, "documents").limit(300).select("doc_id", "text", "lang").collect()
+    model = language_id.fit(spark.createDataFrame(given))
+    learnt = [r for r in given if binascii.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None]
+    counts: dict = {"word": {}, "gram": {}}
+    for r in learnt:
+        for w in re.findall(r"[^\W\d_]+", (r.text or "").lower()):
+            marked = f"^{w}$"
+            counts["word"].setdefault(w, Counter())[r.lang] += 1
+            for k in range(1, 6):
+                for i in range(max(len(marked) - k + 1, 1)):
+                    counts["gram"].setdefault(marked[i:i + k], Counter())[r.lang] += 1
+    logs = {}
+    for kind, seen in counts.items():
+        seen = {key: {x: n for x, n in c.items() if n >= 2} for key, c in seen.items()}
+        seen = {key: c for key, c in seen.items() if c}
+        total = {x: sum(c.get(x, 0) for c in seen.values()) + 0.5 * len(seen) for x in model.langs}
+        logs[kind] = {key: np.array([math.log((c.get(x, 0) + 0.5) / total[x]) for x in model.langs]) for key, c in seen.items()}
+        logs[kind, None] = np.array([math.log(0.5 / total[x]) for x in model.langs])
+    assert set(model.word.keys) == set(logs["word"]) and set(model.grams) == set(logs["gram"])
+
+    def plain(word):
+        if word in logs["word"]:
+            return logs["word"][word]
+        for k in range(5, 0, -1):
+            found = [logs["gram"][g] for g in (f"^{word}$"[i:i + k] for i in range(len(word) + 3 - k)) if g in logs["gram"]]
+            if found:
+                return np.mean(found, axis=0)
+        return logs["gram", None]
+
+    scorer = language_id.Scorer(model)
+    for r in given[:60]:
+        words = re.findall(r"[^\W\d_]+", (r.text or "").lower())
+        if words:
+            total = np.sum([plain(w) for w in words], axis=0)
+            best = int(total.argmax())
+            share = 1 / np.exp((total - total[best]) / math.sqrt(len(words))).sum()
+            got = scorer.predict(r.text)
+            assert got[0] == model.langs[best] and abs(got[1] - share) < 1e-4
+
+
+def test_every_language_is_learnt(spark):
+    rows = [(1000 * x + i, f"qw{x}a er{x}b ty{x}c", f"l{x:03d}") for x in range(260) for i in range(3 if x else 900)]
+    docs = spark.createDataFrame([(i, re.sub(r"\d", lambda m: "abcdefghij"[int(m[0])], t), x) for i, t, x in rows], "doc_id long, text string, lang string")
+    model = language_id.fit(docs, rows_per_lang=20, min_count=1)
+    got = language_id.language(docs, model).where("lang = lang_pred").select("lang").distinct().count()
+    learnt = docs.where(~held_out(F.col("doc_id"))).select("lang").distinct().count()
+    assert len(model.langs) == learnt == got > 200
+
+
 def test_toxicity_held_out_and_odd_rows(spark):
     docs, labels = read(spark, "/root/testdata/sf0.1", "documents"), read(spark, "/root/testdata/sf0.1", "labels")
     model = toxicity.fit(docs, labels)
