@@ -103,6 +103,14 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def taken(shared):
+    """The value of a broadcast, which the worker then does not keep beside what is made of
+    it (a worker would hold the values of all earlier queries until the driver drops them)."""
+    value = shared.value
+    shared.__dict__.pop("_value", None)  # read again from its file if another object is made
+    return value
+
+
 _HELD: dict[str, object] = {}
 
 

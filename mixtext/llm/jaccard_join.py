@@ -50,7 +50,7 @@ GROUP_ELEMENTS = 2_000_000  # elements of a group in one hash block
 PLACES = 1 << 17  # hash places by which long lists and large groups are told from the rest
 FILTER_BITS = 1 << 23  # of the bit set that keeps other documents' texts out of the shuffle
 WIDE_SKETCH = 8  # bits of the sketch that groups are compared with: 256 bytes
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000  # some 30 MB
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mixtext.llm.common import Growing, held_out, per_worker, texts
+from mixtext.llm.common import Growing, held_out, per_worker, taken, texts
 from mixtext.session import materialize
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -190,7 +190,7 @@ def predicted(spark: SparkSession, model: LanguageModel, text: Column) -> Column
     key = f"language:{uuid.uuid4().hex}"
 
     def predict(column: pa.Array) -> pa.Array:
-        scorer = per_worker(key, lambda: Scorer(shared.value))
+        scorer = per_worker(key, lambda: Scorer(taken(shared)))
         found = [scorer.predict(t) for t in texts(column)]
         return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
                                           names=["lang_pred", "score"])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixtext.llm.common import per_worker, raw_texts
+from mixtext.llm.common import per_worker, raw_texts, taken
 
 # Words of UTF-8 bytes after A-Z are lower-cased: digits, letters and everything beyond ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -345,7 +345,7 @@ def licenses(docs: DataFrame, index: Index | None = None, text_col: str = "text"
     place = pa.struct([("label", pa.string()), ("base", pa.bool_()), ("start", pa.int64()), ("n", pa.int64()), ("score", pa.float64())])
 
     def find(column: pa.Array) -> pa.Array:
-        scan = per_worker(key, lambda: shared.value).scan
+        scan = per_worker(key, lambda: taken(shared)).scan
         found = [scan(t) for t in raw_texts(column)]
         return pa.StructArray.from_arrays([
             pa.array([n for n, _ in found], pa.int64()),

@@ -41,10 +41,10 @@ SPACE = "▁"
 LETTER, MARK = "[A-Za-z\u00c0-\u024f]", "[.,!?;:#*$%&|]"
 CHUNK = re.compile(f"\n|{SPACE}*{LETTER}+(?={MARK})|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 TWO_WORDS = f"^{SPACE}*{LETTER}+{MARK}"  # a cut at spaces and line ends that is not one word
-CACHE_EDGES = 4_000_000  # edges (20 bytes each) of the word lattices a worker keeps; then it starts anew
-LEARN_WORDS = 6000  # new words whose lattices are built together
-CUT_BYTES = 4_000_000  # of texts cut into words together
-GROUP_BYTES = 500_000  # of texts sampled together
+CACHE_EDGES = 2_000_000  # edges (20 bytes each) of the word lattices a worker keeps; then it starts anew
+LEARN_WORDS = 4000  # new words whose lattices are built together
+CUT_BYTES = 2_000_000  # of texts cut into words together
+GROUP_BYTES = 250_000  # of texts sampled together
 RANK_OFFSET = 50.0  # a piece of rank r weighs 1 / (r + RANK_OFFSET)
 MANY = 1 << 16  # edge codes from here on stand for several byte pieces
 MASK = (1 << 64) - 1
@@ -266,7 +266,7 @@ class Lattices:
         for i in np.flatnonzero(pc.match_substring_regex(flat.dictionary, TWO_WORDS).to_numpy(zero_copy_only=False)).tolist():
             words[i] = CHUNK.findall(distinct[i])
         some = list(set(chain.from_iterable(words)).difference(self.number))
-        for a in range(0, len(some), LEARN_WORDS):  # a slice's working arrays take some 20 MB
+        for a in range(0, len(some), LEARN_WORDS):  # a slice's working arrays take some 15 MB
             self.learn(some[a:a + LEARN_WORDS])
         each = np.fromiter(map(len, words), np.int64, len(words))
         known = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(each.sum()))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixtext.llm.common import held_out, per_worker, texts
+from mixtext.llm.common import held_out, per_worker, taken, texts
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
@@ -277,7 +277,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> D
     key = f"toxicity:{uuid.uuid4().hex}"
 
     def score(column: pa.Array) -> pa.Array:
-        scorer = per_worker(key, lambda: Scorer(shared.value))
+        scorer = per_worker(key, lambda: Scorer(taken(shared)))
         return pa.array([scorer.score(t) for t in texts(column)], pa.float64())
 
     score.__annotations__ = {"column": pa.Array, "return": pa.Array}
