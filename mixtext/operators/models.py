@@ -26,7 +26,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -34,7 +34,8 @@ from mixtext.functions import scoring as S
 from mixtext.functions import text as T
 from mixtext.operators import evaluate as E
 from mixtext.operators import features as FE
-from mixtext.session import materialize
+from mixtext.operators import termfit as TF
+from mixtext.session import materialize, path_exists
 
 # Champion selection order and experiment naming of the reference
 SELECTION_METRIC_ORDER = ("macro_f1", "weighted_f1", "accuracy")
@@ -48,6 +49,9 @@ EVERY_TERM = (1 << 31) - 1
 # Labelled rows that a model is fitted on at most (those with the smallest hash of row_id).
 MAX_FIT_ROWS = 2_000_000
 
+# Coefficient tables of at most so many terms (some 10 MB) are broadcast when scoring.
+BROADCAST_TERMS = 100_000
+
 # A fit ends when no entry of the gradient of the mean loss exceeds this, the reference's kind
 # of test; Spark's own test looks at the relative change of the loss.
 GRADIENT_TOL = 1e-4
@@ -92,12 +96,22 @@ def _training_partitions(matrix: DataFrame) -> DataFrame:
 
 
 def fit_rows(train: DataFrame, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
-    """The rows a model is fitted on: all, or the ``max_rows`` with the smallest row_id hash."""
+    """The rows a model is fitted on: all, or at most ``max_rows``: those whose 20-bit hash of
+    row_id lies below a cut-off found by two histograms of 1024 counts each."""
     if "row_id" not in train.columns:
         return train
-    order = F.xxhash64("row_id")
-    cut = train.select(order.alias("h")).orderBy("h").offset(max_rows).limit(1).first()  # at most one number
-    return train if cut is None else train.where(order < cut["h"])
+    place = F.shiftrightunsigned(F.xxhash64("row_id"), 44)
+    counts = {r["b"]: r["count"] for r in train.groupBy(F.shiftright(place, 10).alias("b")).count().collect()}
+    if sum(counts.values()) <= max_rows:
+        return train
+    left, edge = max_rows, 0
+    while counts.get(edge, 0) <= left:
+        left, edge = left - counts.get(edge, 0), edge + 1
+    fine = {r["p"]: r["count"] for r in train.where(F.shiftright(place, 10) == edge).groupBy(place.alias("p")).count().collect()}
+    cut = edge << 10
+    while fine.get(cut, 0) <= left:
+        left, cut = left - fine.get(cut, 0), cut + 1
+    return train.where(place < cut)
 
 
 def gradient_peak(classifier: PipelineModel, data: DataFrame, n_train: int) -> float:
@@ -151,12 +165,16 @@ class TfidfModel:
     model_type = "baseline"
     kind = "tfidf"
 
-    def __init__(self, features: PipelineModel, classifier: PipelineModel, classes: list[str],
-                 model_name: str = BASELINE_NAME):
-        self.features = features
-        self.classifier = classifier
+    def __init__(self, table: DataFrame, intercept: list[float], classes: list[str], model_name: str = BASELINE_NAME,
+                 n_rows: int = 0, peak: float = 0.0, steps: int = 0):
+        self.table = table  # (term, idf, w): one row per term
+        self.n_terms = table.count()
+        self.intercept = intercept
         self.classes = classes
         self.model_name = model_name
+        self.n_rows = n_rows
+        self.peak = peak
+        self.steps = steps
 
     @staticmethod
     def feature_pipeline(text_col: str) -> Pipeline:
@@ -183,31 +201,71 @@ class TfidfModel:
     @classmethod
     def fit(cls, train: DataFrame, text_col: str = "text", label: str = "label", max_iter: int = 2000,
             tol: float = GRADIENT_TOL, max_rows: int = MAX_FIT_ROWS, model_name: str = BASELINE_NAME) -> TfidfModel:
+        """Fit on the rows of ``fit_rows``: TF-IDF in long form, then Newton steps over its cells
+        until no gradient entry of the mean loss exceeds ``tol`` (at most ``max_iter`` steps).
+        The driver holds labels, weights and margins of these rows; terms stay distributed."""
         weighted, n_train, classes = _weighted(fit_rows(train, max_rows), label)
-        features = cls.fit_features(weighted, text_col)
-        # the feature matrix is written once (in parallel) and re-read by the indexer,
-        # the summarizer and L-BFGS, instead of re-tokenising in the coalesced tasks
-        matrix = materialize(features.transform(weighted).select("features", label, "weight"), "train_matrix")
-        classifier = fit_to_tolerance(_training_partitions(matrix), label, n_train, len(classes), max_iter, tol)
-        return cls(features, classifier, list(classifier.stages[0].labels), model_name)
+        if not n_train:
+            raise ValueError("no labelled rows to fit on")
+        y = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)).cast("int") - 1
+        rows = TF.number_rows(weighted.select(F.col(text_col).alias("text"), y.alias("y"), "weight"))
+        told = rows.select("i", "y", "weight").toPandas().sort_values("i")  # at most max_rows rows
+        tf = materialize(FE.term_counts(rows, "text", "i"), "fit-term-counts")
+        entries = FE.tfidf(tf, FE.smoothed_idf(tf, n_train), "i")
+        cells = TF.build_cells(entries, tf.count())
+        data = TF.RowTable(told["y"].to_numpy(), told["weight"].to_numpy(), len(classes))
+        gram = TF.Gram(cells, n_train)
+        fitted = TF.newton(gram, data, max_iter, tol)
+        table = TF.coefficients(cells, fitted, n_train)
+        return cls(table, fitted.intercept.tolist(), classes, model_name, n_train, fitted.peak, fitted.steps)
 
     def with_probabilities(self, df: DataFrame, text_col: str) -> DataFrame:
-        feats = self.features.stages[0].getInputCol()
-        src = df.withColumn(feats, F.col(text_col)) if feats != text_col else df
-        out = self.classifier.stages[-1].transform(self.features.transform(src))
-        drop = [c for c in ("_tok", "_bi", "_terms", "_tf", "_tfidf", "features", "rawPrediction", "prediction")
-                if c in out.columns]
-        return out.withColumn("probabilities", vector_to_array(F.col("probability"))).drop(*drop, "probability")
+        """Margins by a join of the rows' terms with the coefficients; terms not seen in
+        training drop out before the norm. Rows get a written key, so equal rows stay apart."""
+        held = materialize(df.withColumn("__k", F.monotonically_increasing_id()), "scoring-rows")
+        known = self.table if self.n_terms > BROADCAST_TERMS else F.broadcast(self.table)
+        hits = FE.term_counts(held, text_col, "__k").join(known.hint("shuffle_hash") if self.n_terms > BROADCAST_TERMS else known, "term")
+        x = F.col("tf") * F.col("idf")
+        sums = hits.groupBy("__k").agg(F.sqrt(F.sum(x * x)).alias("__norm"),
+                                       *[F.sum(x * F.col("w")[c]).alias(f"__w{c}") for c in range(len(self.classes))])
+        logits = F.array(*[F.lit(float(b)) + F.coalesce(F.col(f"__w{c}") / F.col("__norm"), F.lit(0.0)) for c, b in enumerate(self.intercept)])
+        out = held.join(sums, "__k", "left").withColumn("__logits", logits).withColumn("__exp", S.softmax_exp(F.col("__logits")))
+        return out.withColumn("probabilities", S.normalise(F.col("__exp"))).select(*df.columns, "probabilities")
+
+    def gradient_peak(self, train: DataFrame, text_col: str = "text", label: str = "label") -> float:
+        """The largest gradient entry of the mean weighted loss plus penalty over the rows the
+        model was fitted on, worked out anew from the long table and the coefficients."""
+        weighted, n, classes = _weighted(train, label)
+        rows = TF.number_rows(weighted.select(F.col(text_col).alias("text"), F.col(label).alias("label"), "weight"))
+        entries = materialize(FE.tfidf_from_docs(rows, "text", "i", table=materialize), "gradient-entries")
+        k = range(len(classes))
+        told = entries.join(self.table.hint("shuffle_hash"), "term")
+        margins = told.groupBy("i").agg(*[F.sum(F.col("weight") * F.col("w")[c]).alias(f"m{c}") for c in k])
+        z = F.array(*[F.lit(float(self.intercept[c])) + F.coalesce(F.col(f"m{c}"), F.lit(0.0)) for c in k])
+        p = rows.join(margins, "i", "left").withColumn("z", z).withColumn("e", S.softmax_exp(F.col("z"))).withColumn("p", S.normalise(F.col("e")))
+        miss = materialize(p.select("i", *[(F.col("weight") * (F.col("p")[c] - (F.col("label") == classes[c]).cast("double")) / n).alias(f"r{c}") for c in k]), "residuals")
+        sums = entries.join(miss, "i").groupBy("term").agg(*[F.sum(F.col("weight") * F.col(f"r{c}")).alias(f"g{c}") for c in k])
+        penalty = 2.0 if len(classes) == 2 else 1.0
+        slopes = sums.join(self.table, "term").select(F.greatest(*[F.abs(F.col(f"g{c}") + penalty * F.col("w")[c] / n) for c in k], F.lit(0.0)).alias("s"))
+        bias = miss.agg(*[F.abs(F.sum(f"r{c}")).alias(f"b{c}") for c in k]).first()
+        return float(max(slopes.agg(F.max("s")).first()[0] or 0.0, *bias))
 
     def save(self, path: str) -> None:
-        self.features.write().overwrite().save(f"{path}/features")
-        self.classifier.write().overwrite().save(f"{path}/classifier")
+        spark = self.table.sparkSession
+        self.table.write.mode("overwrite").parquet(f"{path}/terms")
+        row = (self.model_name, self.classes, self.intercept, self.n_rows, self.peak, self.steps)
+        spark.createDataFrame([row], "model_name string, classes array<string>, intercept array<double>, n_rows long, peak double, steps int") \
+            .coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
 
     @classmethod
-    def load(cls, path: str, model_name: str = BASELINE_NAME) -> TfidfModel:
-        features = PipelineModel.load(f"{path}/features")
-        classifier = PipelineModel.load(f"{path}/classifier")
-        return cls(features, classifier, list(classifier.stages[0].labels), model_name)
+    def load(cls, path: str, model_name: str | None = None) -> TfidfModel:
+        """The saved model, under its own name unless another is given."""
+        spark = SparkSession.active()
+        if not path_exists(spark, f"{path}/model"):
+            raise FileNotFoundError(f"no saved model at {path}")
+        m = spark.read.parquet(f"{path}/model").first()
+        return cls(spark.read.parquet(f"{path}/terms"), list(m["intercept"]), list(m["classes"]), model_name or m["model_name"],
+                   m["n_rows"], m["peak"], m["steps"])
 
 
 class EmbeddingModel:
