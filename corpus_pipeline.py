@@ -24,16 +24,24 @@ NEAR = Rule(shingle=5, num=80)  # near copies of the stage; op10 keeps its contr
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is undetermined (no letters) go."""
-    found = language_id.language(docs.withColumn("__text", F.col("text")), language_id.fit(docs), "__text")
-    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+    found = docs.withColumn("__language", language_id.predicted(spark, language_id.fit(docs), F.col("text")))
+    return found.where(F.col("__language.lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str, rule: Rule = CONTRACT) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays, once.
-    Documents without an id link with nothing and stay."""
-    keep = jaccard_components(docs, rule=rule).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Of each group of near copies the row with the smallest doc_id (null ids last) stays, then
+    that with the smallest hash of its text, then of its other columns; of equal rows, one.
+
+    Rows are told apart by id and text, so a repeated id joins no groups and texts without an
+    id meet their copies too.
+    """
+    told = docs.withColumns({"__row": F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"),
+                             "__all": F.xxhash64(*[F.col(c).isNull() for c in docs.columns], *docs.columns)})
+    classes = jaccard_components(told.select("__row", "text"), "__row", rule=rule).select(F.col("doc_id").alias("__row"), "component_id").distinct()
+    keys = told.select("__row", "__all", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("t"), "__all").alias("first"))
+    best = keys.join(classes, "__row").groupBy("component_id").agg(F.min(F.struct("first", "__row", "__all")).alias("m"))
+    kept = told.join(best.select("m.__row", "m.__all"), ["__row", "__all"], "left_semi").dropDuplicates(["__row", "__all"])
+    return kept.select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
