@@ -94,8 +94,9 @@ def choose_separator(spark: SparkSession, path: str, header: bool) -> tuple[str,
 
 
 def _fields(record, sep: str):
-    """Number of fields of a raw record: separators outside quoted parts, plus one."""
-    bare = F.regexp_replace(record, '"([^"]|"")*"', "")
+    """Number of fields of a raw record: separators outside quoted parts, plus one (a part
+    still open at the end of a line counts up to there)."""
+    bare = F.regexp_replace(record, '"[^"]*("|$)', "")
     return F.size(F.split(bare, re.escape(sep), -1))
 
 

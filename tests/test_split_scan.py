@@ -74,6 +74,7 @@ def test_separator_is_decided_by_all_lines_of_each_file(spark, tmp_path):
     (tmp_path / "b.csv").write_text("a,b;c,d\n" + "a,b,c\n" * 200, encoding="utf-8")
     (tmp_path / "c.csv").write_text("a:b\nc:d\n", encoding="utf-8")
     (tmp_path / "d.csv").write_text("just text\n", encoding="utf-8")
+    (tmp_path / "e.csv").write_text('"1";"en";"x, y, z, and\nmore, of it"\n"2";"fr";"u"\n', encoding="utf-8")
     lines = DL._lines(spark, str(tmp_path))
     got = {r.file.rsplit("/", 1)[1]: r.sep for r in DL.separators(lines).collect()}
-    assert got == {"a.csv": ",", "b.csv": ",", "c.csv": ":", "d.csv": "\t"}
+    assert got == {"a.csv": ",", "b.csv": ",", "c.csv": ":", "d.csv": "\t", "e.csv": ";"}
