@@ -85,7 +85,7 @@ def confidence_histogram(errors: DataFrame, bins: int = HIST_BINS) -> DataFrame:
     )
 
 
-def label_choices(errors: DataFrame) -> DataFrame:  # A16: sorted distinct choices, 'All' first
+def label_choices(errors: DataFrame) -> DataFrame:  # A16: distinct choices of each filter field
     t = errors.select(F.lit("true").alias("field"), F.col("true_label").alias("choice"))
     p = errors.select(F.lit("predicted").alias("field"), F.col("predicted_label").alias("choice"))
     return t.unionByName(p).where(F.col("choice").isNotNull()).distinct()

@@ -307,6 +307,23 @@ class EmbeddingModel:
         drop = [c for c in ("features", "rawPrediction", "prediction") if c in out.columns]
         return out.withColumn("probabilities", vector_to_array(F.col("probability"))).drop(*drop, "probability")
 
+    def save(self, path: str) -> None:
+        self.classifier.write().overwrite().save(f"{path}/classifier")
+        spark = SparkSession.active()
+        spark.createDataFrame([(self.model_name, self.vector_col, self.batch_size)], "model_name string, vector_col string, batch_size int") \
+            .coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+
+    @classmethod
+    def load(cls, path: str, encoder: Callable | None = None, model_name: str | None = None) -> EmbeddingModel:
+        """The saved model under its own name unless another is given; the encoder is code, so
+        the caller names it again."""
+        spark = SparkSession.active()
+        if not path_exists(spark, f"{path}/model"):
+            raise FileNotFoundError(f"no saved model at {path}")
+        m = spark.read.parquet(f"{path}/model").first()
+        classifier = PipelineModel.load(f"{path}/classifier")
+        return cls(classifier, list(classifier.stages[0].labels), m["vector_col"], encoder, m["batch_size"], model_name or m["model_name"])
+
 
 def score_vectors(df: DataFrame, model: EmbeddingModel) -> DataFrame:
     """Score rows that already hold a vector (no text cleaning): probabilities, label, confidence."""

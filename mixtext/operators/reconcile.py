@@ -57,28 +57,13 @@ def _rule(name, ok, expected=None, actual=None, expected_name=None, actual_name=
     )
 
 
-def reconcile(shown: DataFrame, test_split: DataFrame | None, error_summary: DataFrame | None,
-              registry: DataFrame | None, transformer_metrics_present: bool) -> DataFrame:
-    """V1-V10 over one-row inputs (joined side by side, never a cross join)."""
-    stats = E.matrix_stats(shown, keep=["model_name", "accuracy", "mode", "baseline_only"])
-    frames = [stats]
-    if test_split is not None:
-        frames.append(test_split.agg(F.count(F.lit(1)).alias("test_rows")))
-    if error_summary is not None:
-        frames.append(error_summary.select(F.col("model_name").alias("err_model"),
-                                           F.col("total_examples").alias("err_total"),
-                                           F.col("total_wrong").alias("err_wrong"), F.lit(True).alias("has_err")))
-    if registry is not None:
-        frames.append(registry.where("champion").agg(F.max_by("model_name", "registered_at").alias("saved_model")))
-    row = side_by_side(*frames)
-    for c, t in (("test_rows", "long"), ("err_model", "string"), ("err_total", "long"), ("err_wrong", "long"),
-                 ("has_err", "boolean"), ("saved_model", "string")):
-        if c not in row.columns:
-            row = row.withColumn(c, F.lit(None).cast(t))
+def _rules(transformer) -> list:
+    """V1-V9 over a row that holds what each artifact says; ``transformer``: whether metrics of
+    an embedding model are there."""
     has_test = F.col("test_rows").isNotNull()
     has_err = F.coalesce(F.col("has_err"), F.lit(False))
     baseline_only = F.coalesce(F.col("baseline_only"), F.lit(False)) | (F.col("mode") == "baseline_only")
-    rules = [
+    return [
         _rule("V1_test_split_present", has_test),
         _rule("V2_matrix_total_eq_test_rows",
               ~has_test | F.col("total").isNull() | (F.col("total") == F.col("test_rows")),
@@ -99,8 +84,66 @@ def reconcile(shown: DataFrame, test_split: DataFrame | None, error_summary: Dat
         _rule("V8_saved_champion_matches",
               F.col("saved_model").isNotNull() & (F.col("saved_model") == F.col("model_name")),
               expected_name=F.col("model_name"), actual_name=F.col("saved_model")),
-        _rule("V9_baseline_only_consistent", ~(baseline_only & F.lit(bool(transformer_metrics_present)))),
+        _rule("V9_baseline_only_consistent", ~(baseline_only & F.coalesce(transformer, F.lit(False)))),
     ]
+
+
+# What each kind of artifact row of a run says, by the names the rules use.
+ARTIFACTS = {
+    "shown": {"model_name": "model_name", "accuracy": "accuracy", "total": "total", "wrong": "wrong", "baseline_only": "flag"},
+    "test_split": {"test_rows": "total"},
+    "error_summary": {"err_model": "model_name", "err_total": "total", "err_wrong": "wrong"},
+    "registry": {"saved_model": "model_name"},
+    "transformer_metrics": {"transformer": "flag"},
+}
+ARTIFACT_SCHEMA = "run string, artifact string, model_name string, accuracy double, total long, wrong long, flag boolean"
+
+
+def reconcile_runs(artifacts: DataFrame) -> DataFrame:
+    """V1-V10 for every run at once: (run, rule, ok, expected, actual, expected_name,
+    actual_name, message).
+
+    ``artifacts`` has the columns of ARTIFACT_SCHEMA, one row for each artifact that a run has
+    (of several the largest value of each field counts). One aggregate grouped by run brings
+    them together; a run without any artifact has no rows. V10 sums up its run.
+    """
+    facts = [F.max(F.when(F.col("artifact") == kind, F.col(column))).alias(name)
+             for kind, fields in ARTIFACTS.items() for name, column in fields.items()]
+    row = artifacts.groupBy("run").agg(*facts, F.bool_or(F.col("artifact") == "error_summary").alias("has_err"))
+    derived = F.when(F.col("total") > 0, (F.col("total") - F.col("wrong")) / F.col("total"))
+    row = row.withColumns({"derived_accuracy": derived, "mode": F.lit(None).cast("string")})
+    rules = row.select("run", F.array(*_rules(F.col("transformer"))).alias("rules"))
+    broken = F.size(F.filter("rules", lambda r: ~r["ok"]))
+    verdict = _rule("V10_verdict", broken == 0, F.lit(0.0), broken)
+    out = rules.select("run", F.explode(F.concat("rules", F.array(verdict))).alias("r")).select("run", "r.*")
+
+    def said(number, name):
+        return F.coalesce(F.col(name), F.col(number).cast("string"), F.lit("nothing"))
+
+    message = F.when(F.col("ok"), F.concat("rule", F.lit(": ok"))).otherwise(
+        F.concat("rule", F.lit(": expected "), said("expected", "expected_name"), F.lit(", found "), said("actual", "actual_name")))
+    return out.withColumn("message", message)
+
+
+def reconcile(shown: DataFrame, test_split: DataFrame | None, error_summary: DataFrame | None,
+              registry: DataFrame | None, transformer_metrics_present: bool) -> DataFrame:
+    """V1-V10 over one-row inputs (joined side by side, never a cross join)."""
+    stats = E.matrix_stats(shown, keep=["model_name", "accuracy", "mode", "baseline_only"])
+    frames = [stats]
+    if test_split is not None:
+        frames.append(test_split.agg(F.count(F.lit(1)).alias("test_rows")))
+    if error_summary is not None:
+        frames.append(error_summary.select(F.col("model_name").alias("err_model"),
+                                           F.col("total_examples").alias("err_total"),
+                                           F.col("total_wrong").alias("err_wrong"), F.lit(True).alias("has_err")))
+    if registry is not None:
+        frames.append(registry.where("champion").agg(F.max_by("model_name", "registered_at").alias("saved_model")))
+    row = side_by_side(*frames)
+    for c, t in (("test_rows", "long"), ("err_model", "string"), ("err_total", "long"), ("err_wrong", "long"),
+                 ("has_err", "boolean"), ("saved_model", "string")):
+        if c not in row.columns:
+            row = row.withColumn(c, F.lit(None).cast(t))
+    rules = _rules(F.lit(bool(transformer_metrics_present)))
     out = row.select(F.explode(F.array(*rules)).alias("r")).select("r.*")
     verdict = out.agg(
         F.bool_and("ok").alias("ok"),

@@ -4,7 +4,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from mixtext.functions import scoring as S
 from mixtext.operators import features as FE
@@ -87,17 +86,6 @@ def x4_l2_normalize(spark, sf_dir):
     )
 
 
-_VEC_SUMMARY = StructType([StructField("n", LongType()), StructField("s", DoubleType()), StructField("m", DoubleType())])
-
-
-@F.udf(_VEC_SUMMARY)
-def _vector_summary(v):
-    """(non-zeros, sum, max) of one ML vector; O(non-zeros) per row (vectors have no SQL accessors)."""
-    vals = v.toArray() if not hasattr(v, "indices") else v.values
-    nz = vals[vals != 0]
-    return (int(nz.size), float(nz.sum()), float(nz.max()) if nz.size else 0.0)
-
-
 @register(
     "m1_tfidf_pipeline_features",
     O.with_(TRAIN, """SELECT tr.row_id, count(t.term) AS n_terms, round(coalesce(sum(t.weight), 0.0), 6) AS sum_weight,
@@ -108,6 +96,7 @@ def m1_tfidf_pipeline_features(spark, sf_dir):
     """M1's Spark ML feature stages (tokenizer, 2-grams, CountVectorizer, smoothed IDF, L2)
     fitted on the training split; each row's vector must equal the relational TF-IDF."""
     train = D.train_rows(spark, sf_dir)
-    vec = M.TfidfModel.fit_features(train).transform(train).select("row_id", _vector_summary("features").alias("v"))
-    return vec.select("row_id", F.col("v.n").alias("n_terms"), r6(F.col("v.s")).alias("sum_weight"),
-                      r6(F.col("v.m")).alias("max_weight"))
+    vec = M.TfidfModel.fit_features(train).transform(train).select("row_id", F.unwrap_udt("features").alias("f"))
+    vec = vec.select("row_id", F.filter("f.values", lambda x: x != 0).alias("v"))
+    return vec.select("row_id", F.size("v").cast("long").alias("n_terms"), r6(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("sum_weight"),
+                      r6(F.coalesce(F.array_max("v"), F.lit(0.0))).alias("max_weight"))

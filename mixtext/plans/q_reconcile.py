@@ -118,3 +118,57 @@ def j7_metrics_errors_split_join(spark, sf_dir):
             .select(F.lit(name).alias("artifacts"), "model_name", "total", "err_total", "test_rows", "err_wrong", "wrong")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+BROKEN = {  # what is changed in the run's artifacts so that the rule of that number fails
+    1: "the test split is missing", 2: "the matrix counts one row more", 3: "the error summary counts one row more",
+    4: "it counts one error more", 5: "the stated accuracy is 0.01 higher", 6: "it names another model", 7: "it is missing",
+    8: "the registry names another model", 9: "a baseline-only comparison stands beside embedding metrics",
+}
+
+
+@register(
+    "v_rules_over_runs",
+    O.with_(CANDS + """,
+base AS (SELECT label, count(*) AS n, count(*) FILTER (WHERE label <> predicted_label) AS e FROM a_pred GROUP BY label),
+r AS (SELECT label || '/' || k AS run, k, CASE WHEN k <> 1 THEN n END AS test_rows, n + (k = 2)::INT AS total, e AS wrong,
+    (n - e) / n + CASE WHEN k = 5 THEN 0.01 ELSE 0 END AS accuracy, CASE WHEN k <> 7 THEN n + (k = 3)::INT END AS err_total,
+    CASE WHEN k <> 7 THEN e + (k = 4)::INT END AS err_wrong, CASE WHEN k = 6 THEN 'other' WHEN k <> 7 THEN 'function_words' END AS err_model,
+    CASE WHEN k = 8 THEN 'other' ELSE 'function_words' END AS saved FROM base, (SELECT unnest(range(0, 10)) AS k)),
+v AS (SELECT run, 'V1_test_split_present' AS rule, test_rows IS NOT NULL AS ok, NULL::DOUBLE AS expected, NULL::DOUBLE AS actual, NULL AS expected_name, NULL AS actual_name FROM r
+UNION ALL SELECT run, 'V2_matrix_total_eq_test_rows', test_rows IS NULL OR total = test_rows, test_rows, total, NULL, NULL FROM r
+UNION ALL SELECT run, 'V3_error_total_eq_test_rows', err_total IS NULL OR test_rows IS NULL OR err_total = test_rows, test_rows, err_total, NULL, NULL FROM r
+UNION ALL SELECT run, 'V4_error_wrong_eq_matrix_wrong', err_total IS NULL OR err_wrong = wrong, wrong, err_wrong, NULL, NULL FROM r
+UNION ALL SELECT run, 'V5_accuracy_eq_derived', err_total IS NULL OR abs((total - wrong) / total - accuracy) <= 1e-8,
+    round((total - wrong) / total, 6), round(accuracy, 6), NULL, NULL FROM r
+UNION ALL SELECT run, 'V6_error_model_eq_champion', err_model IS NULL OR err_model = 'function_words', NULL, NULL, 'function_words', err_model FROM r
+UNION ALL SELECT run, 'V7_error_summary_present', err_total IS NOT NULL, NULL, NULL, NULL, NULL FROM r
+UNION ALL SELECT run, 'V8_saved_champion_matches', saved = 'function_words', NULL, NULL, 'function_words', saved FROM r
+UNION ALL SELECT run, 'V9_baseline_only_consistent', k <> 9, NULL, NULL, NULL, NULL FROM r),
+w AS (SELECT * FROM v UNION ALL SELECT run, 'V10_verdict', bool_and(ok), 0.0, count(*) FILTER (WHERE NOT ok), NULL, NULL FROM v GROUP BY run)""", """SELECT *, rule || CASE WHEN ok THEN ': ok' ELSE ': expected ' || coalesce(expected_name, expected::VARCHAR, 'nothing')
+    || ', found ' || coalesce(actual_name, actual::VARCHAR, 'nothing') END AS message FROM w"""),
+)
+def v_rules_over_runs(spark, sf_dir):
+    """V1-V10 over many runs at once: one run for each label of the test split and each entry of
+    BROKEN (0: intact), all checked by one grouped aggregate; every rule fails somewhere."""
+    preds = D.predictions(spark, sf_dir, function_word_scorer())
+    base = preds.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("predicted_label")).alias("e"))
+    runs = base.select("*", F.explode(F.array(*[F.lit(k) for k in (0, *BROKEN)])).alias("k")) \
+        .withColumn("run", F.concat_ws("/", "label", F.col("k").cast("string")))
+    k = F.col("k")
+
+    def artifact(kind, when=None, name=None, accuracy=None, total=None, wrong=None, flag=None):
+        values = ((name, "model_name", "string"), (accuracy, "accuracy", "double"), (total, "total", "long"), (wrong, "wrong", "long"), (flag, "flag", "boolean"))
+        s = F.struct(F.lit(kind).alias("artifact"), *[(F.lit(None) if v is None else v).cast(t).alias(c) for v, c, t in values])
+        return s if when is None else F.when(when, s)
+
+    model, other = F.lit("function_words"), F.lit("other")
+    rows = F.array_compact(F.array(
+        artifact("shown", name=model, accuracy=(F.col("n") - F.col("e")) / F.col("n") + F.when(k == 5, 0.01).otherwise(0.0),
+                 total=F.col("n") + (k == 2).cast("int"), wrong=F.col("e"), flag=k == 9),
+        artifact("test_split", when=k != 1, total=F.col("n")),
+        artifact("error_summary", when=k != 7, name=F.when(k == 6, other).otherwise(model), total=F.col("n") + (k == 3).cast("int"),
+                 wrong=F.col("e") + (k == 4).cast("int")),
+        artifact("registry", name=F.when(k == 8, other).otherwise(model)),
+        artifact("transformer_metrics", when=k == 9, flag=F.lit(True))))
+    return RC.reconcile_runs(runs.select("run", F.explode(rows).alias("a")).select("run", "a.*"))

@@ -2,6 +2,7 @@
 TF-IDF pipeline scores, save / load round-trips, champion choice."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from mixtext.operators import models as M
@@ -69,3 +70,17 @@ def test_encoder_udf_unit_vectors(spark):
     enc = M.encoder_udf(M.hashing_encoder(16), batch_size=1)
     rows = df.select(enc(F.col("text")).alias("v")).collect()
     assert abs(np.linalg.norm(rows[0].v) - 1) < 1e-5 and np.linalg.norm(rows[1].v) == 0
+
+
+def test_embedding_model_round_trips_under_its_name(spark):
+    rows = [(i, [float(i % 3), 1.0, float(i % 2)], str(i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, embedding array<double>, label string")
+    model = M.EmbeddingModel.fit(df, model_name="mine")
+    path = scratch_path(spark, "m")
+    model.save(path)
+    loaded = M.EmbeddingModel.load(path)
+    assert (loaded.model_name, loaded.classes, loaded.vector_col) == ("mine", model.classes, "embedding")
+    a, b = ({r.row_id: r.probabilities for r in M.score_vectors(df, m).collect()} for m in (model, loaded))
+    assert a == b
+    with pytest.raises(FileNotFoundError):
+        M.EmbeddingModel.load(path + "-none")

@@ -66,3 +66,30 @@ def test_display_priority(spark):
     assert r.model_name == "champ" and r.mode == "champion_metrics_only"
     r = RC.display_metrics(None, None, base).first()
     assert r.model_name == "base" and r.mode == "baseline_only"
+
+
+def test_every_rule_fails_in_some_run_and_says_why(spark):
+    from mixtext.plans.q_reconcile import BROKEN, v_rules_over_runs
+
+    rows = v_rules_over_runs(spark, "/root/testdata/sf0.001").collect()
+    runs: dict = {}
+    for r in rows:
+        runs.setdefault(r.run, {})[int(r.rule[1:].split("_")[0])] = r
+    assert all(len(rules) == 10 for rules in runs.values())
+    for run, rules in runs.items():
+        k = int(run.rsplit("/", 1)[1])
+        if k == 0:
+            assert all(r.ok and r.message.endswith(": ok") for r in rules.values())
+        else:
+            assert k in BROKEN and not rules[k].ok and not rules[10].ok and "expected" in rules[k].message
+            assert rules[10].actual == sum(not r.ok for n, r in rules.items() if n < 10)
+
+
+def test_runs_without_some_artifacts_and_no_runs(spark):
+    from mixtext.operators import reconcile as RC
+
+    empty = spark.createDataFrame([], RC.ARTIFACT_SCHEMA)
+    assert RC.reconcile_runs(empty).count() == 0
+    only = spark.createDataFrame([("r", "shown", "m", 0.5, 4, 2, None), ("r", "shown", "m", 0.5, 4, 2, None)], RC.ARTIFACT_SCHEMA)
+    ok = {r.rule.split("_")[0]: r.ok for r in RC.reconcile_runs(only).collect()}
+    assert not ok["V1"] and not ok["V7"] and not ok["V8"] and not ok["V10"] and ok["V2"] and ok["V5"] and ok["V9"]
