@@ -16,6 +16,7 @@ from mixtext.plans import documents as D
 from mixtext.plans import oracle as O
 from mixtext.plans.catalog import register
 from mixtext.plans.documents import r6
+from mixtext.plans.q_errors import ERR
 from mixtext.session import read_table, scratch_path
 from mixtext.sources import delimited as DL
 from mixtext.sources import files as FI
@@ -118,13 +119,18 @@ def s8_s9_json_report(spark, sf_dir):
     return RP.read_json_report(spark, path, comp.schema)
 
 
-@register("s10_error_csv")
+@register(
+    "s10_error_csv",
+    O.with_(ERR, "SELECT row_index, original_text, true_label, predicted_label, round(confidence, 6) AS confidence FROM hard"),
+)
 def s10_error_csv(spark, sf_dir):
     model = function_word_scorer()
     hardest = ER.hardest(ER.error_rows(D.predictions(spark, sf_dir, model), model), 20)
     path = scratch_path(spark, "errors_csv")
     RP.write_error_csv(hardest, path)
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return back.select(F.col("row_index").cast("long"), "original_text", "true_label", "predicted_label",
+                       r6(F.col("confidence").cast("double")).alias("confidence"))
 
 
 @register("s13_file_inventory")
