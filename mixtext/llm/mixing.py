@@ -18,9 +18,11 @@ from mixtext.session import materialize
 MAX_COPIES = 3
 
 
-def _buckets(id_col: str) -> list[Column]:
-    """The two bucket numbers of a document: 16 bits each of a hash of its id."""
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+def _buckets(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """The two bucket numbers of a document: 16 bits each of a hash of its id, text and source,
+    so that documents which share an id are still taken one by one."""
+    parts = [F.coalesce(F.col(id_col).cast("string"), F.lit(""))] + [F.coalesce(F.md5(F.col(c)), F.lit("")) for c in (text_col, source_col)]
+    digest = F.md5(F.concat_ws("|", *parts))
 
     def bits(start: int) -> Column:
         return F.conv(F.substring(digest, start, 4), 16, 10).cast("int")
@@ -31,7 +33,7 @@ def _buckets(id_col: str) -> list[Column]:
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size (words) and the two bucket numbers of each document's hash."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                       F.size(words(F.col(text_col))).cast("long").alias("size"), *_buckets(id_col))
+                       F.size(words(F.col(text_col))).cast("long").alias("size"), *_buckets(id_col, text_col, source_col))
 
 
 def targets(per_source: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -60,12 +62,8 @@ def targets(per_source: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> Data
         .select("source", "source_size", "target")
 
 
-def boundary(histogram: DataFrame, bucket: str) -> DataFrame:
-    """The bucket of each source in which its budget runs out, and what is left for it.
-
-    ``histogram``: source, budget, <bucket>, words. Buckets before the boundary are taken
-    whole. The window holds at most one row per source and bucket.
-    """
+def _edge(histogram: DataFrame, bucket: str) -> DataFrame:
+    """Where the running sum of words first passes a source's budget, and what is left there."""
     order = Window.partitionBy("source").orderBy(bucket)
     upto = F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     h = histogram.withColumn("upto", upto).withColumn("left", F.col("budget") - (F.col("upto") - F.col("words")))
@@ -74,6 +72,19 @@ def boundary(histogram: DataFrame, bucket: str) -> DataFrame:
             .select("source", f"b.{bucket}", F.col("b.left").alias("left"), F.col("b.words").alias("words")))
 
 
+def boundary(histogram: DataFrame, bucket: str) -> DataFrame:
+    """The bucket of each source in which its budget runs out, and what is left for it.
+
+    ``histogram``: source, budget, <bucket> (16 bits), words; written, as it is read twice.
+    Buckets before the boundary are taken whole. Blocks of 256 buckets are summed first and
+    only the boundary block is opened, so a window holds at most 256 rows of a source.
+    """
+    block = F.shiftright(bucket, 8)
+    blocks = _edge(histogram.groupBy("source", "budget", block.alias("block")).agg(F.sum("words").alias("words")), "block")
+    opened = _with_plan(histogram.drop("budget"), blocks.select("source", F.col("block").alias("__block"), F.col("left").alias("budget")))
+    return _edge(opened.where(block == F.col("__block")).drop("__block"), bucket)
+
+
 def _with_plan(df: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows with their source's row of a table that has one row per source (null included)."""
     plan = plan.withColumnRenamed("source", "__source")
@@ -91,7 +102,7 @@ def cuts(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     first = boundary(_with_plan(coarse, plan.select("source", "budget")), "coarse").drop("words")
     first = materialize(first.withColumnsRenamed({"coarse": "__coarse", "left": "budget"}), "mix-boundary")
     inside = _with_plan(docs, first).where(F.col("coarse") == F.col("__coarse"))
-    second = boundary(inside.groupBy("source", "budget", "fine").agg(F.sum("size").alias("words")), "fine")
+    second = boundary(materialize(inside.groupBy("source", "budget", "fine").agg(F.sum("size").alias("words")), "mix-fine"), "fine")
     # the boundary cell (about 2^-32 of a source) goes in if that ends nearer to the budget
     second = second.select("source", (F.col("fine") + F.when(F.col("left") * 2 > F.col("words"), 1).otherwise(0)).alias("__fine"))
     cut = _with_plan(plan, first.select("source", "__coarse")
@@ -114,7 +125,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), id_col: str = "do
 
     Null text has size 0; a null source is a source of its own; an empty table gives no rows;
     sources without words have target 0 and take none of their (empty) documents; rows with
-    the same id hash alike and are taken together. The same input gives the same mix.
+    a common id are told apart by their texts and sources, and only rows equal in all three
+    are taken together. The same input gives the same mix.
     """
     narrow = materialize(sizes(docs, id_col, text_col, source_col), "mix-sizes")
     out = _with_plan(narrow, cuts(narrow, weights)).withColumn("copies", copies())
@@ -126,6 +138,6 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), id_col: str = "
     """The rows of ``docs`` as often as the mix takes them, with their own columns only. The
     texts are not shuffled: each row meets the cut of its source, one row per source."""
     narrow = materialize(sizes(docs, id_col, text_col, source_col), "mix-sizes")
-    held = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *_buckets(id_col), F.col(source_col).alias("source"))
+    held = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *_buckets(id_col, text_col, source_col), F.col(source_col).alias("source"))
     taken = _with_plan(held, cuts(narrow, weights)).withColumn("copies", copies()).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -31,7 +31,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 OP6 = rf"""
 WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT AS h FROM documents),
+    ('0x' || substr(md5(concat_ws('|', coalesce(doc_id::VARCHAR, ''), coalesce(md5(text), ''), coalesce(md5(source), ''))), 1, 8))::UBIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source),
 u AS (SELECT *, 3.0::DOUBLE * source_size AS full_size, (3.0::DOUBLE * source_size) / weight AS stop FROM s),
 lv AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(full_size) OVER before, 0)) / sum(weight) OVER rest AS level FROM u

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mixtext.llm.common import read
-from mixtext.llm.mixing import mix, mixed
+from mixtext.llm.mixing import boundary, mix, mixed
 from mixtext.llm.pii import BASE, personal_data, redact
 from mixtext.llm.quality_rules import quality
 SF001 = "/root/testdata/sf0.001"
@@ -121,6 +121,31 @@ def test_mix_hits_its_targets(spark, spread):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mix(df).collect()), key=str)
 
 
+def test_mix_tells_rows_of_one_id_apart(spark):
+    rows = [(7, f"w{j} and more", "one") for j in range(300)] + [(1000 + j, "a b c", "two") for j in range(100)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows)
+    for source in ("one", "two"):
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 3  # one document
+
+
+def test_boundary_equals_a_running_sum(spark):
+    cells = [(s, b * step, 1 + (b * 7) % 5) for s, step in ((None, 1), ("x", 97), ("y", 255)) for b in range(300)]
+    budgets = {None: 411.0, "x": 0.0, "y": 10_000.0}
+    df = spark.createDataFrame([(s, budgets[s], b, w) for s, b, w in cells], "source string, budget double, coarse int, words long")
+    got = {r.source: (r.coarse, r.left, r.words) for r in boundary(df, "coarse").collect()}
+    want = {}
+    for s, budget in budgets.items():
+        left = budget
+        for b, w in sorted((b, w) for t, b, w in cells if t == s):
+            if w > left:
+                want[s] = (b, left, w)
+                break
+            left -= w
+    assert got == want and set(want) == {None, "x"}
+
+
 def test_mix_odd_rows(spark):
     got = mix(odd.frame(spark)).collect()
     assert len(got) == len(odd.rows()) and all(r.taken <= 3 * r.size for r in got)
