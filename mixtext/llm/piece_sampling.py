@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from functools import partial
 from itertools import chain
 
@@ -462,21 +463,21 @@ def pieces(docs: DataFrame, model: str, k: int = 2, id_col: str = "doc_id", text
     space mark U+2581 itself decodes to spaces, so its round_trip is false. A column of
     ``docs`` named ``pieces`` is replaced.
     """
-    def run(text: pa.Array, key: pa.Array) -> pa.Array:
-        lat = per_worker(f"lattices:{model}", partial(Lattices, model))
-        rows: list[pa.Array] = []
-        seeds = key.to_numpy(zero_copy_only=False).astype(np.uint64)
-        sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
-        for a, z in portions(sizes, CUT_BYTES):
-            if lat.log.n > CACHE_EDGES:
-                lat.reset()
-            numbers = lat.numbers(text[a:z])
-            for b, y in portions(sizes[a:z], GROUP_BYTES):
-                group = [t or "" for t in text[a + b:a + y].to_pylist()]
-                rows.append(pa.array(encode_group(lat, group, seeds[a + b:a + y], k, numbers[b:y]), _ROW))
-        return pa.concat_arrays(rows) if rows else pa.array([], _ROW)
-
-    run.__annotations__ = {"text": pa.Array, "key": pa.Array, "return": pa.Array}
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for text, key in batches:
+            lat = per_worker(f"lattices:{model}", partial(Lattices, model))
+            seeds = key.to_numpy(zero_copy_only=False).astype(np.uint64)
+            sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+            for a, z in portions(sizes, CUT_BYTES):
+                if lat.log.n > CACHE_EDGES:
+                    lat.reset()
+                numbers = lat.numbers(text[a:z])
+                for b, y in portions(sizes[a:z], GROUP_BYTES):
+                    group = [t or "" for t in text[a + b:a + y].to_pylist()]
+                    # handed on at once: a batch's samples outweigh its texts
+                    yield pa.array(encode_group(lat, group, seeds[a + b:a + y], k, numbers[b:y]), _ROW)
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     udf = F.arrow_udf(run, SAMPLED).asNondeterministic()
     return docs.withColumn("pieces", udf(F.col(text_col), F.xxhash64(F.col(id_col))))
 
