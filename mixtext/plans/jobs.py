@@ -13,6 +13,7 @@ from mixtext.operators import errors as ER
 from mixtext.operators import models as M
 from mixtext.operators import prep
 from mixtext.operators import reconcile as RC
+from mixtext.operators.observe import materialize_observed, raw_metrics
 from mixtext.operators.scoring import score
 from mixtext.session import materialize, path_exists
 from mixtext.sources import delimited as DL
@@ -32,7 +33,7 @@ def preprocess(spark: SparkSession, input_path: str, output_dir: str, text_col=N
     if first_only:  # S2: the reference reads only the first file by name
         input_path = DL.list_inputs(spark, input_path)[0]
     raw, t, lab = DL.load_dataset(spark, input_path, text_col, label_col)
-    raw = materialize(raw, "raw")
+    raw, counts = materialize_observed(raw, "raw", raw_metrics())
     prepared = materialize(prep.prepare(raw, t, lab), "prepared")
     smallest = prep.min_class(prepared).first()  # one row
     if smallest["min_class_count"] is None:
@@ -40,9 +41,9 @@ def preprocess(spark: SparkSession, input_path: str, output_dir: str, text_col=N
     stratified = bool(smallest["stratified"])
     split = prep.stratified_split(prepared, test_size, random_state, stratify=stratified)
     split_path = f"{output_dir}/split"
-    RP.write_split(split, split_path)
+    counts |= RP.write_split_counted(split, split_path)
     meta = RP.dataset_metadata(raw, spark.read.parquet(split_path), input_path, t, lab, test_size, random_state,
-                               stratified)
+                               stratified, counts)
     meta_path = f"{output_dir}/dataset_metadata"
     RP.write_json_report(meta, meta_path)
     return {"split": split_path, "metadata": meta_path}

@@ -7,10 +7,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mixtext.functions import text as T
+from mixtext.operators import observe as OB
 from mixtext.operators import prep
 from mixtext.plans import documents as D
 from mixtext.plans import oracle as O
-from mixtext.plans.catalog import register
+from mixtext.plans.catalog import ORACLE, register
 from mixtext.session import materialize, read_table
 
 
@@ -129,6 +130,14 @@ def a3_row_counts(spark, sf_dir):
     return prep.row_counts(D.raw_documents(spark, sf_dir), D.split(spark, sf_dir))
 
 
+@register("a3_counts_in_flight", ORACLE["a3_row_counts"])
+def a3_counts_in_flight(spark, sf_dir):
+    """A3 taken while the raw and the split table are written."""
+    _, counts = OB.materialize_observed(D.raw_documents(spark, sf_dir), "raw", OB.raw_metrics())
+    split, more = OB.materialize_observed(D.split(spark, sf_dir), "split", OB.split_metrics())
+    return OB.counts_row(split, counts | more)
+
+
 @register("w2_stratified_split", O.with_(O.SPLIT, "SELECT row_id, label, split FROM split"))
 def w2_stratified_split(spark, sf_dir):
     return D.split(spark, sf_dir).select("row_id", "label", "split")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from mixtext.operators import prep
+from mixtext.operators.observe import counts_row, split_metrics, write_observed
 from mixtext.session import path_exists
 
 # The cleaning steps recorded in the dataset metadata
@@ -28,6 +29,11 @@ def write_split(split: DataFrame, path: str, csv: bool = False) -> None:
         writer.parquet(path)
 
 
+def write_split_counted(split: DataFrame, path: str) -> dict:
+    """S5 as parquet with A3's counts of the split taken while it is written."""
+    return write_observed(split, path, split_metrics(), ("split",))[1]
+
+
 def load_split(spark: SparkSession, path: str, part: str = "train") -> DataFrame:
     """One side of the split (only its partition directory is read); error if missing."""
     df = spark.read.parquet(path)
@@ -40,9 +46,9 @@ def load_split(spark: SparkSession, path: str, part: str = "train") -> DataFrame
 
 
 def dataset_metadata(raw: DataFrame, split: DataFrame, source: str, text_col: str, label_col: str,
-                     test_size: float, seed: int, stratified: bool) -> DataFrame:
-    """The one-row metadata record (counts computed by A1 / A3 aggregates)."""
-    counts = prep.row_counts(raw, split)
+                     test_size: float, seed: int, stratified: bool, counts: dict | None = None) -> DataFrame:
+    """The one-row metadata record (counts by A1 / A3 aggregates, or A3's taken in flight)."""
+    counts = prep.row_counts(raw, split) if counts is None else counts_row(split, counts)
     dist = prep.label_distribution_map(split)
     from mixtext.operators.util import side_by_side
 
