@@ -6,13 +6,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mixtext.functions import scoring as S
+from mixtext.operators import dictionary as DI
 from mixtext.operators import features as FE
 from mixtext.operators import models as M
 from mixtext.plans import documents as D
 from mixtext.plans import oracle as O
 from mixtext.plans.catalog import register
 from mixtext.plans.documents import r6
-from mixtext.session import materialize, read_table
+from mixtext.session import materialize, read_table, scratch_path
 
 TRAIN = O.SPLIT + f""",
 tr AS (SELECT row_id, text, label FROM split WHERE split = 'train'),
@@ -100,3 +101,50 @@ def m1_tfidf_pipeline_features(spark, sf_dir):
     vec = vec.select("row_id", F.filter("f.values", lambda x: x != 0).alias("v"))
     return vec.select("row_id", F.size("v").cast("long").alias("n_terms"), r6(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("sum_weight"),
                       r6(F.coalesce(F.array_max("v"), F.lit(0.0))).alias("max_weight"))
+
+
+# a term's place in the dictionary's order
+PLACE = "substr(md5(term), 1, 3), term"
+DICT = TRAIN + f""",
+dict AS (SELECT term, row_number() OVER (ORDER BY {PLACE}) - 1 AS term_id, df FROM dfq)"""
+
+
+def _train_dictionary(spark, sf_dir):
+    train = D.train_rows(spark, sf_dir)
+    tf = DI.keyed_counts(train)
+    return train, tf, materialize(DI.build(tf), "dictionary")
+
+
+@register("a5_term_dictionary", O.with_(DICT, "SELECT term, term_id, df FROM dict"))
+def a5_term_dictionary(spark, sf_dir):
+    return _train_dictionary(spark, sf_dir)[2].select("term", "term_id", "df")
+
+
+@register(
+    "a5_dictionary_versions",
+    O.with_(O.SPLIT + f""",
+tk AS (SELECT row_id, split, {O.tokens('text')} AS tk FROM split),
+ng AS (SELECT row_id, split, unnest(list_concat(tk, list_transform(range(1, len(tk)), lambda i: tk[i] || ' ' || tk[i + 1])))
+         AS term FROM tk),
+dv AS (SELECT term, CASE WHEN bool_or(split = 'train') THEN 1 ELSE 2 END AS since, count(DISTINCT row_id) AS df FROM ng GROUP BY term)""",
+            f"SELECT term, row_number() OVER (ORDER BY since, {PLACE}) - 1 AS term_id, df, since FROM dv"),
+)
+def a5_dictionary_versions(spark, sf_dir):
+    """Version 1 holds the training rows' terms; version 2 counts the test rows in."""
+    path = scratch_path(spark, "dictionary-versions")
+    for rows in (D.train_rows(spark, sf_dir), D.test_rows(spark, sf_dir)):
+        DI.save_next(path, DI.keyed_counts(rows))
+    return DI.load(spark, path).select("term", "term_id", "df", "since")
+
+
+@register("a4_encoded_term_counts", O.with_(DICT, "SELECT row_id, term_id, tf FROM tf JOIN dict USING (term)"))
+def a4_encoded_term_counts(spark, sf_dir):
+    _, tf, known = _train_dictionary(spark, sf_dir)
+    return DI.encode(tf, known).select("row_id", "term_id", "tf")
+
+
+@register("j3_tfidf_by_term_id", O.with_(DICT, "SELECT row_id, term_id, round(weight, 6) AS weight FROM tfidf JOIN dict USING (term)"))
+def j3_tfidf_by_term_id(spark, sf_dir):
+    train, tf, known = _train_dictionary(spark, sf_dir)
+    out = DI.tfidf(tf, known, train.count())
+    return out.select("row_id", "term_id", r6(F.col("weight")).alias("weight"))
