@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mixtext.operators import bucketed as B
 from mixtext.operators import models as M
 from mixtext.operators import prep
 from mixtext.operators.scoring import ARTICLES, FUNCTION_WORDS, article_scorer, function_word_scorer, score
 from mixtext.plans import documents as D
 from mixtext.plans import oracle as O
-from mixtext.plans.catalog import register
+from mixtext.plans.catalog import ORACLE, register
 from mixtext.plans.documents import r6
 from mixtext.session import materialize, read_table, scratch_path
 
@@ -115,6 +116,16 @@ def j6_text_embedding_join(spark, sf_dir):
     return docs.join(emb, "doc_id", "left").select("doc_id", "lang", "label", F.size("embedding").alias("dims"), r6(total).alias("total"))
 
 
+@register("j6_bucketed_text_embeddings", ORACLE["j6_text_embedding_join"])
+def j6_bucketed_text_embeddings(spark, sf_dir):
+    """J6 over stored tables: both sides lie bucketed by id, so the join moves no rows."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
+    emb = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", "embedding")
+    total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x)
+    joined = B.store(docs, emb, "doc_id", B.buckets_for(emb)).join("left")
+    return joined.select("doc_id", "lang", "label", F.size("embedding").alias("dims"), r6(total).alias("total"))
+
+
 def fit_tfidf(spark, sf_dir):
     """M1 + M2 to the gradient test."""
     train = materialize(D.train_rows(spark, sf_dir), "train")

@@ -6,11 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mixtext.functions import scoring as S
+from mixtext.operators import bucketed as B
 from mixtext.operators import evaluate as E
 from mixtext.operators.scoring import FUNCTION_WORDS, function_word_scorer, prediction_records
 from mixtext.plans import documents as D
 from mixtext.plans import oracle as O
-from mixtext.plans.catalog import register
+from mixtext.plans.catalog import ORACLE, register
 from mixtext.plans.documents import r6
 
 PRED = O.SPLIT + ",\n" + O.scorer_ctes(FUNCTION_WORDS)
@@ -128,6 +129,15 @@ def j1_truth_prediction_join(spark, sf_dir):
     )
 
 
+@register("j1_bucketed_truth_predictions", ORACLE["j1_truth_prediction_join"])
+def j1_bucketed_truth_predictions(spark, sf_dir):
+    """J1 over stored tables: truth and predictions lie bucketed by row_id."""
+    stored = D.predictions(spark, sf_dir).select("row_id", "predicted_label", "confidence")
+    truth = D.test_rows(spark, sf_dir).select("row_id", F.col("label").alias("true_label"))
+    return B.store(truth, stored, "row_id", B.buckets_for(stored)).join().select(
+        "row_id", "true_label", "predicted_label", r6(F.col("confidence")).alias("confidence"))
+
+
 @register("a7_confusion_matrix", O.with_(REPORT, "SELECT true_label, pred_label, count FROM cells"))
 def a7_confusion_matrix(spark, sf_dir):
     model = function_word_scorer()
