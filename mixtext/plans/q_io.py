@@ -14,7 +14,7 @@ from mixtext.operators import profile as PR
 from mixtext.operators.scoring import FUNCTION_WORDS, function_word_scorer
 from mixtext.plans import documents as D
 from mixtext.plans import oracle as O
-from mixtext.plans.catalog import register
+from mixtext.plans.catalog import ORACLE, register
 from mixtext.plans.documents import r6
 from mixtext.plans.q_errors import ERR
 from mixtext.session import read_table, scratch_path
@@ -201,6 +201,12 @@ def r5_role_inference(spark, sf_dir):
     return PR.infer_roles(PR.label_likeness(docs))
 
 
+@register("r5_roles_by_sketch", ORACLE["r5_role_inference"])
+def r5_roles_by_sketch(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select(*_R4_COLS)
+    return PR.infer_roles(PR.sketched_likeness(docs))
+
+
 @register("r6_inspect", O.with_(O.PREPARED, "SELECT row_id, original_text, text, label FROM w1 ORDER BY row_id LIMIT 5"))
 def r6_inspect(spark, sf_dir):
     return PR.inspect(D.prepared(spark, sf_dir))
