@@ -140,13 +140,14 @@ def stratified_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, labe
     boundary = cum.join(quotas.select("_s", "test_quota"), "_s").where(
         (F.col("_before") < F.col("test_quota")) & (F.col("_incl") >= F.col("test_quota"))
     ).select("_s", F.col("_b").alias("_bstar"), (F.col("test_quota") - F.col("_before")).alias("_need"))
-    # one row per class on the right side of both joins
-    edge = narrow.withColumn("_s", strata).join(boundary, "_s").where(F.col("_b") == F.col("_bstar"))
+    # one row per class on the right side of both joins: broadcast, so that no class's rows are
+    # dealt by label (Spark itself would not, with far more shuffle partitions than classes)
+    edge = narrow.withColumn("_s", strata).join(F.broadcast(boundary), "_s").where(F.col("_b") == F.col("_bstar"))
     rank = F.row_number().over(Window.partitionBy("_s").orderBy("_h", "row_id"))
     cuts = edge.withColumn("_rank", rank).where(F.col("_rank") == F.col("_need")).select(
         F.col("_s").alias("_cs"), F.struct(F.col("_h"), F.col("row_id")).alias("_cut"))
     place = F.struct(_split_hash(seed, F.col("row_id")).alias("_h"), F.col("row_id"))
-    out = df.join(cuts, strata == F.col("_cs"), "left")
+    out = df.join(F.broadcast(cuts), strata == F.col("_cs"), "left")
     # a class without a cut-off has no test rows
     return out.select(*[df[c] for c in df.columns], F.when(place <= F.col("_cut"), "test").otherwise("train").alias("split"))
 

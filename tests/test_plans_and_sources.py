@@ -9,7 +9,8 @@ from mixtext.operators import features as FE
 from mixtext.operators import prep
 from mixtext.operators import profile as PR
 from mixtext.plans import documents as D
-from mixtext.session import scratch_path
+from mixtext.plans import q_io as Q
+from mixtext.session import scratch_path, stored_bytes
 from mixtext.sources import delimited as DL
 
 from conftest import SF001
@@ -110,3 +111,16 @@ def test_role_inference_on_headerless_file(spark, tmp_path):
     raw, text_col, label_col = DL.load_dataset(spark, out)
     assert (text_col, label_col) == ("_c0", "_c1")
     assert raw.count() == 30 and "row_id" in raw.columns
+
+
+def test_split_does_not_deal_the_rows_by_label(spark):
+    """The cut-offs (a row a class) are broadcast: dealt by label, a class would be one task."""
+    held = D.prepared_table(spark, SF001)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on tables past the limit
+    try:
+        plan = _plan(prep.stratified_split(held)).split("\n\n")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    wide = plan.rsplit("BroadcastHashJoin", 1)[0]  # the tree's top join is that of the wide rows
+    assert "BroadcastHashJoin LeftOuter" in plan and wide.count("SortMergeJoin") == 0
