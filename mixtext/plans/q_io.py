@@ -17,20 +17,25 @@ from mixtext.plans import oracle as O
 from mixtext.plans.catalog import ORACLE, register
 from mixtext.plans.documents import r6
 from mixtext.plans.q_errors import ERR
-from mixtext.session import read_table, scratch_path
+from mixtext.session import read_table, scratch_path, stored_bytes
 from mixtext.sources import delimited as DL
 from mixtext.sources import files as FI
 from mixtext.sources import reports as RP
 from mixtext.streaming.scoring import start_scoring_stream
 
 
+CSV_PART_BYTES = 32 << 20  # stored bytes of documents in one delimited file, where 4 files would hold more
+
+
 def _documents_csv(spark, sf_dir, sep=";", header_names=None, parts=4):
-    """documents written as delimited text by Spark (the stand-in for the raw input file)."""
+    """documents written as delimited text by Spark (the stand-in for the raw input file), in
+    ``parts`` files or as many more as keep a file near CSV_PART_BYTES."""
     docs = read_table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string"), "lang", "text"
     )
     if header_names:
         docs = docs.toDF(*header_names)
+    parts = max(parts, -(-stored_bytes(docs) // CSV_PART_BYTES))
     path = scratch_path(spark, "csv")
     (docs.repartition(parts).write.option("sep", sep).option("header", bool(header_names)).option("escape", '"')
      .option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)

@@ -86,6 +86,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads, from a listing (no contents); 0 if it reads none."""
+    files = df.inputFiles()
+    return int(df.sparkSession.read.format("binaryFile").load(files).agg({"length": "sum"}).first()[0] or 0) if files else 0
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin the rows over the cluster when a scan yields fewer partitions than
     there are task slots (e.g. a file with one row group). Inputs already split finer

@@ -124,3 +124,12 @@ def test_split_does_not_deal_the_rows_by_label(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     wide = plan.rsplit("BroadcastHashJoin", 1)[0]  # the tree's top join is that of the wide rows
     assert "BroadcastHashJoin LeftOuter" in plan and wide.count("SortMergeJoin") == 0
+
+
+def test_delimited_stand_in_has_more_files_for_more_bytes(spark, monkeypatch):
+    few = Q._documents_csv(spark, SF001)
+    monkeypatch.setattr(Q, "CSV_PART_BYTES", 20_000)
+    many = Q._documents_csv(spark, SF001)
+    assert len(DL.list_inputs(spark, few)) == 4 < len(DL.list_inputs(spark, many))
+    rows = [sorted(map(tuple, DL.read_delimited(spark, p).drop("_order").collect()), key=str) for p in (few, many)]
+    assert rows[0] == rows[1] and len(rows[0]) == spark.read.parquet(f"{SF001}/documents.parquet").count()
