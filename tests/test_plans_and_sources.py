@@ -133,3 +133,11 @@ def test_delimited_stand_in_has_more_files_for_more_bytes(spark, monkeypatch):
     assert len(DL.list_inputs(spark, few)) == 4 < len(DL.list_inputs(spark, many))
     rows = [sorted(map(tuple, DL.read_delimited(spark, p).drop("_order").collect()), key=str) for p in (few, many)]
     assert rows[0] == rows[1] and len(rows[0]) == spark.read.parquet(f"{SF001}/documents.parquet").count()
+
+
+def test_term_pairs_of_a_task_are_bound_by_stored_bytes(spark, monkeypatch):
+    docs = D.prepared_table(spark, SF001)
+    whole = sorted(map(tuple, FE.term_counts(docs).collect()))
+    monkeypatch.setattr(FE, "TASK_BYTES", stored_bytes(docs) // 40)
+    fine = FE.term_counts(docs)
+    assert fine.rdd.getNumPartitions() >= 40 and sorted(map(tuple, fine.collect())) == whole
