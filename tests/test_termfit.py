@@ -116,3 +116,40 @@ def test_text_model_ends_at_its_optimum(spark):
         M.TfidfModel.fit(train.limit(0))
     with pytest.raises(FileNotFoundError):
         M.TfidfModel.load("/nowhere/model")
+
+
+def test_counts_dealt_once_give_the_normalised_products(spark, monkeypatch):
+    """Cells of term counts: idf by the cells' own document frequencies, norms summed over cells."""
+    monkeypatch.setattr(TF, "CELL_ENTRIES", 50)
+    rng = np.random.default_rng(7)
+    tf = rng.integers(1, 5, (60, 40)) * (rng.random((60, 40)) < 0.3)
+    tf[3] = 0  # a row without terms
+    entries = [(int(i), f"t{j}", float(tf[i, j])) for i, j in zip(*np.nonzero(tf), strict=True)]
+    cells = TF.build_cells(spark.createDataFrame(entries, "i long, term string, weight double"), len(entries))
+    idf = np.log(61 / (1 + (tf > 0).sum(axis=0))) + 1
+    x = tf * idf
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    s = rng.normal(size=(60, 3))
+    gram = TF.Gram(cells, 60, 60)
+    got, peak = gram(s)
+    assert np.abs(got - x @ (x.T @ s)).max() < 1e-9 and abs(peak - np.abs(x.T @ s).max()) < 1e-9
+    table = {r.term: r for r in TF.coefficients(cells, TF.Fit(s, np.zeros(3), 0.0, 0, 0), 60, gram).collect()}
+    assert max(abs(table[f"t{j}"].idf - idf[j]) + np.abs(np.array(table[f"t{j}"].w) - x[:, j] @ s).max() for j in range(40)) < 1e-9
+
+
+def test_answers_of_a_product_follow_slots_and_bytes_not_cells(spark, monkeypatch):
+    monkeypatch.setattr(TF, "CELL_ENTRIES", 20)
+    entries = [(i, f"t{i % 40}", 1.0) for i in range(2000)]
+    cells = TF.build_cells(spark.createDataFrame(entries, "i long, term string, weight double"), len(entries))
+    slots = spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a partition for each cell's file
+    try:
+        gram = TF.Gram(spark.read.parquet(cells.inputFiles()[0].rsplit("/", 1)[0]), 2000)
+        assert cells.count() > slots and gram.tasks(3) == slots
+        monkeypatch.setattr(TF, "FEW_CELLS", 2)
+        monkeypatch.setattr(TF, "ANSWER_BYTES", 8 * 2000 * 3 * 4)
+        assert gram.tasks(3) == min(4, slots)
+        got, _ = gram(np.ones((2000, 3)))
+        assert np.array_equal(got, np.full((2000, 3), 50.0))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
