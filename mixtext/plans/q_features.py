@@ -94,8 +94,8 @@ def x4_l2_normalize(spark, sf_dir):
                       FROM tr LEFT JOIN tfidf t USING (row_id) GROUP BY tr.row_id"""),
 )
 def m1_tfidf_pipeline_features(spark, sf_dir):
-    """M1's Spark ML feature stages (tokenizer, 2-grams, CountVectorizer, smoothed IDF, L2)
-    fitted on the training split; each row's vector must equal the relational TF-IDF."""
+    """M1's feature stages (Spark ML tokenizer and 2-grams, counts over a distributed vocabulary,
+    smoothed IDF, L2) fitted on the training split; each row's vector must equal the relational TF-IDF."""
     train = D.train_rows(spark, sf_dir)
     vec = M.TfidfModel.fit_features(train).transform(train).select("row_id", F.unwrap_udt("features").alias("f"))
     vec = vec.select("row_id", F.filter("f.values", lambda x: x != 0).alias("v"))

@@ -84,3 +84,27 @@ def test_embedding_model_round_trips_under_its_name(spark):
     assert a == b
     with pytest.raises(FileNotFoundError):
         M.EmbeddingModel.load(path + "-none")
+
+
+def test_feature_vocabulary_stays_a_table(spark):
+    """Vectors by dictionary ids: equal rows stay apart, unseen terms drop out before the norm."""
+    train = spark.createDataFrame([(1, "b a b"), (2, "a"), (2, "a"), (None, " ")], "row_id long, text string")
+    fitted = M.TfidfModel.fit_features(train)
+    known = {r["term"]: (r["term_id"], r["df"]) for r in fitted.dictionary.collect()}
+    assert {t: df for t, (_, df) in known.items()} == {"a": 3, "b": 1, "b a": 1, "a b": 1}
+    assert sorted(i for i, _ in known.values()) == [0, 1, 2, 3]
+
+    def vector(**tf):
+        w = {known[t][0]: n * (np.log(5 / (1 + known[t][1])) + 1) for t, n in tf.items()}
+        norm = np.sqrt(sum(x * x for x in w.values()))
+        return {i: x / norm for i, x in w.items()}
+
+    want = [(1, vector(**{"a": 1, "b": 2, "b a": 1, "a b": 1})), (2, vector(a=1)), (2, vector(a=1)), (3, vector(b=1)), (4, {}), (None, {})]
+    rows = train.where("row_id IS NOT NULL").unionByName(spark.createDataFrame([(3, "c b"), (4, "c"), (None, "")], train.schema))
+    got = fitted.transform(rows)
+    assert got.columns == ["row_id", "text", "features"]
+    found = sorted(((r["row_id"], r["features"]) for r in got.collect()), key=lambda x: (x[0] is None, x[0]))
+    assert [i for i, _ in found] == [i for i, _ in want]
+    for (_, v), (_, w) in zip(found, want, strict=True):
+        assert v.size == 4 and v.indices.tolist() == sorted(w)
+        assert np.allclose(v.values, [w[i] for i in sorted(w)])
