@@ -8,8 +8,8 @@ a threshold: 3-grams and 90 % unless the caller names another ``Rule``. The join
 2. All sets' elements are put in one global order (frequent elements last, otherwise by
    hash). Linked sets share an element among their first n - ceil(0.9 n) + 1 (at 90 %). An index list
    per element holds (size, position, sketch) of the sets that have it there. Inside a list
-   blocks are skipped by size, then by position: a position bounds the overlap that is still
-   possible. A 16-byte count sketch bounds the symmetric difference from below; groups are
+   blocks are skipped by size, then by position: as a pair's first shared element, a position
+   bounds the overlap that is still possible. A 16-byte count sketch bounds the symmetric difference from below; groups are
    then compared by sketches of 256 bytes before any text moves.
 3. A list names a group by its smallest member: every candidate pair meets in a group, and
    rows stay linear in the lists. In a group sets are answered in order of size; a set's
@@ -43,7 +43,8 @@ from mixtext.session import materialize
 HOT_CHUNK = 2_000_000  # elements counted together when looking for frequent ones
 HOT_IN_CHUNK = 4  # documents of a chunk that make an element a candidate
 HOT_MOST = 200_000  # most frequent elements ordered last; the order never changes results
-WIDE = 256  # longer lists are cut into size classes instead of compared pair by pair
+WIDE = 1024  # longer lists are cut into size classes instead of compared pair by pair
+PAIRS = 1 << 16  # compared at once
 LIST_BLOCK = 1 << 16  # rows of an index list in one hash block
 GROUP_BLOCK = 2048  # sets of a group in one hash block
 GROUP_ELEMENTS = 2_000_000  # elements of a group in one hash block
@@ -127,10 +128,12 @@ def digest(s: np.ndarray) -> int:
 
 
 def may_link(n1, p1, s1, n2, p2, s2, rule: Rule = CONTRACT) -> np.ndarray:
-    """Whether sets (size, position of a shared element, sketch) can reach the overlap."""
+    """Whether sets (size, position of a shared element, sketch) can reach the overlap with that
+    element as the first that they share: sets that link also meet in that element's list, so
+    no other list need keep them together."""
     low, high = np.minimum(n1, n2), np.maximum(n1, n2)
     need = rule.needed(n1 + n2)
-    most = np.minimum(p1, p2) + 1 + np.minimum(n1 - p1, n2 - p2) - 1
+    most = np.minimum(n1 - p1, n2 - p2)  # nothing shared before it
     gap = (s1 - s2).astype(np.int64)
     apart = np.minimum(gap, 256 - gap).sum(axis=-1)
     return (rule.den * low >= rule.num * high) & (most >= need) & (apart <= n1 + n2 - 2 * need)
@@ -330,8 +333,10 @@ def _meetings(e: np.ndarray, d: np.ndarray, sk: np.ndarray, n: np.ndarray, p: np
     for k in np.flatnonzero(size > 2).tolist():
         x = rows[cut[k]:cut[k + 1]]
         if len(x) <= WIDE:
-            ok = may_link(n[x][:, None], p[x][:, None], sk[x][:, None, :], n[x][None, :], p[x][None, :], sk[x][None, :, :], rule)
-            for some in _clusters(ok):
+            step = max(1, PAIRS // len(x))
+            ok = [may_link(n[y][:, None], p[y][:, None], sk[y][:, None, :], n[x][None, :], p[x][None, :], sk[x][None, :, :], rule)
+                  for y in np.split(x, range(step, len(x), step))]
+            for some in _clusters(np.concatenate(ok)):
                 meet(x[some])
         else:  # sets of adjacent size classes; sizes that link are at most one class apart
             klass = rule.size_class(n[x])

@@ -175,3 +175,22 @@ def test_contractions_find_components(spark):
     got = {r.v: r.c for r in J.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
+
+
+def test_lists_keep_pairs_only_where_they_may_meet_first():
+    """A position bounds a pair as its first shared element, in lists beyond 256 rows too."""
+    near = J.Rule(shingle=5, num=80)
+    sk = np.full(16, 6, np.uint8)
+    assert J.may_link(np.int64(100), np.int64(11), sk, np.int64(100), np.int64(11), sk, near)
+    assert not J.may_link(np.int64(100), np.int64(15), sk, np.int64(100), np.int64(15), sk, near)  # 85 left, 89 needed
+
+    k = 300
+    far = np.tile(np.arange(k, dtype=np.uint8)[:, None] * 37, (1, 16)) + np.arange(16, dtype=np.uint8) * 11
+    far = far[np.unique(far[:, 0], return_index=True)[1]]
+    far = np.concatenate([far, far ^ 0x55])
+    e, d = np.zeros(len(far), np.int64), np.arange(len(far), dtype=np.int64)
+    n, p = np.full(len(far), 100, np.int64), np.full(len(far), 15, np.int64)
+    assert len(far) > 256 and not len(J._meetings(e, d, far, n, p, near)[0])
+    p[[3, 7]], far[7] = 0, far[3]
+    group, member = J._meetings(e, d, far, n, p, near)
+    assert sorted(member.tolist()) == [3, 7] and group.tolist() == [3, 3]
