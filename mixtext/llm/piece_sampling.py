@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections.abc import Iterator
 from functools import partial
 from itertools import chain
@@ -42,7 +43,7 @@ SPACE = "▁"
 LETTER, MARK = "[A-Za-z\u00c0-\u024f]", "[.,!?;:#*$%&|]"
 CHUNK = re.compile(f"\n|{SPACE}*{LETTER}+(?={MARK})|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 TWO_WORDS = f"^{SPACE}*{LETTER}+{MARK}"  # a cut at spaces and line ends that is not one word
-CACHE_EDGES = 2_000_000  # edges (20 bytes each) of the word lattices a worker keeps; then it starts anew
+CACHE_EDGES = 4_000_000  # edges (20 bytes each) of the word lattices a worker keeps; then it starts anew
 LEARN_WORDS = 4000  # new words whose lattices are built together
 CUT_BYTES = 2_000_000  # of texts cut into words together
 GROUP_BYTES = 250_000  # of texts sampled together
@@ -54,10 +55,11 @@ MASK = (1 << 64) - 1
 def _mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: uncorrelated 64-bit hashes of counters."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _key(*parts) -> np.ndarray:
@@ -130,6 +132,10 @@ class Lattices:
         if (self.starts[1:] == self.starts[:-1]).any():
             raise ValueError("hashes of piece beginnings collide")
         self.start_piece = np.array(list(beginnings.values()), np.int64)[order]
+        # code point -> place of the beginning that is this character alone, or -1
+        self.alone = np.full(sys.maxunicode + 1, -1, np.int32)
+        lone = [p for p in beginnings if len(p) == 1]
+        self.alone[[ord(p) for p in lone]] = np.searchsorted(self.starts, np.array([self._hash(p) for p in lone], np.uint64))
         self.weight = np.zeros(self.model.get_piece_size())
         for p, i in self.ids.items():
             self.weight[i] = self.logs[p]
@@ -150,8 +156,12 @@ class Lattices:
         for size in range(1, self.longest + 1):
             with np.errstate(over="ignore"):
                 h = h * np.uint64(0x9E3779B97F4A7C15) + points[at + size - 1].astype(np.uint64) + np.uint64(1)
-            place = np.minimum(np.searchsorted(self.starts, h), len(self.starts) - 1)
-            known = self.starts[place] == h
+            if size == 1:
+                place = self.alone[points]
+                known = place >= 0
+            else:
+                place = np.minimum(np.searchsorted(self.starts, h), len(self.starts) - 1)
+                known = self.starts[place] == h
             piece = np.where(known, self.start_piece[place], -1)
             hit = piece >= 0
             found.append((at[hit], at[hit] + size, piece[hit], self.weight[piece[hit]]))

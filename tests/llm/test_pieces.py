@@ -91,3 +91,14 @@ def test_codec_and_reruns(spark, lattices):
     again = P.pieces(docs.repartition(7, "text"), model, k=3).collect()
     assert sorted(map(str, ((r.doc_id, r.pieces) for r in rows))) == sorted(map(str, ((r.doc_id, r.pieces) for r in again)))
     assert P.pieces(odd.empty(spark), model).count() == 0
+
+
+def test_words_are_not_learned_again_while_the_cache_has_room():
+    """Three million edges of words fit the cache; single characters are found without a search."""
+    assert P.CACHE_EDGES >= 3_000_000
+    lat = P.Lattices(tokenizer_file("piece_bpe_32k.model"))
+    for c in map(chr, (*range(32, 700), 0x2581, 0x10FFFF)):
+        at = lat.alone[ord(c)]
+        assert (at >= 0) == (lat._hash(c) in set(lat.starts[[at]].tolist())) and (at < 0 or lat.start_piece[at] == lat.ids.get(c, -1))
+        if at < 0:
+            assert c not in lat.ids
