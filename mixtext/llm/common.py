@@ -79,10 +79,10 @@ def portions(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 class Growing:
-    """An array that grows at its end."""
+    """An array that grows at its end, in place up to ``room`` values."""
 
-    def __init__(self, kind):
-        self.data = np.zeros(1024, kind)
+    def __init__(self, kind, room: int = 1024):
+        self.data = np.zeros(room, kind)
         self.n = 0
 
     def extend(self, values) -> None:
@@ -92,6 +92,12 @@ class Growing:
         self.data[self.n:need] = values
         self.n = need
 
+    def keep(self, which: np.ndarray) -> None:
+        """Keep only the values where ``which`` is true."""
+        kept = self.data[:self.n][which]
+        self.n = len(kept)
+        self.data[:self.n] = kept
+
 
 def tokenizer_file(name: str) -> str:
     """Path of a public vocabulary file; ``MIXTEXT_TOKENIZERS`` overrides the folder."""

@@ -17,7 +17,7 @@ Encoding gives the model's own pieces; decoding gives the text back. Beside the
 
 No piece spans a line end, has a space after a character or a closing mark after a letter,
 so a text's lattice is a row of small lattices, one per word with its spaces; those are built
-once per word and kept. All
+once per word and kept, up to a bound: then the words used in most cuts stay. All
 random numbers are hashes of (row key, sample, word, step): results do not depend on how
 rows are dealt to tasks.
 """
@@ -29,7 +29,7 @@ import re
 import sys
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +43,15 @@ SPACE = "▁"
 LETTER, MARK = "[A-Za-z\u00c0-\u024f]", "[.,!?;:#*$%&|]"
 CHUNK = re.compile(f"\n|{SPACE}*{LETTER}+(?={MARK})|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 TWO_WORDS = f"^{SPACE}*{LETTER}+{MARK}"  # a cut at spaces and line ends that is not one word
-CACHE_EDGES = 4_000_000  # edges (20 bytes each) of the word lattices a worker keeps; then it starts anew
-LEARN_WORDS = 4000  # new words whose lattices are built together
-CUT_BYTES = 2_000_000  # of texts cut into words together
-GROUP_BYTES = 250_000  # of texts sampled together
+CACHE_EDGES = 3_000_000  # edges (17 bytes each) of the word lattices a worker keeps; beyond, it drops the third used least
+LEARN_WORDS = 2000  # new words whose lattices are built together
+BUCKET_BITS = 18  # of a hash, by which the beginnings of pieces are found
+SPREAD = np.uint64(0xD6E8FEB86659FD93)  # texts that differ in the last character only get other first bits
+JOIN_WORDS = 64  # new words encoded as one text
+CUT_BYTES = 1_000_000  # of texts cut into words together
+GROUP_BYTES = 125_000  # of texts sampled together
 RANK_OFFSET = 50.0  # a piece of rank r weighs 1 / (r + RANK_OFFSET)
-MANY = 1 << 16  # edge codes from here on stand for several byte pieces
+MANY = 1 << 16  # from here on an edge's code is MANY + a code point that is spelt in several byte pieces
 MASK = (1 << 64) - 1
 
 
@@ -78,6 +81,11 @@ def _uniform(keys: np.ndarray, step=0) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
 
 
+def _utf8_bytes(points: np.ndarray) -> np.ndarray:
+    """How many bytes UTF-8 takes for each code point."""
+    return 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+
+
 class Lattices:
     """The model's pieces and the lattices of the words met so far."""
 
@@ -102,22 +110,49 @@ class Lattices:
         for b, i in self.byte.items():
             self.surface[i] = bytes([b])
         self.width = np.array([len(x) for x in self.surface], np.int64)
+        if self.longest > 255:
+            raise ValueError("pieces' lengths are kept in 8 bits")
         self._index()
         self.reset()
 
     def reset(self) -> None:
         self.number: dict[str, int] = {}
-        self.pieces = Growing("<u2")  # encodings of the words, one after another
-        self.stop = Growing(np.int64)  # where they end
+        # room for a full cache and the words of one more cut; memory is only taken as it is filled
+        nodes, edges = CACHE_EDGES // 2, CACHE_EDGES * 3 // 2
+        self.uses = Growing(np.int32)  # in how many cuts of texts a word was met, halved by trim()
+        self.pieces = Growing("<u2", nodes)  # encodings of the words, one after another
+        self.stop = Growing(np.int32)  # where they end
         self.stop.extend([0])
-        self.many: list[tuple[int, ...]] = []
         self.fits = Growing(bool)  # whether a word's encoding decodes to the word
         self.first = Growing(np.int32)  # word -> its first node
-        self.edges = Growing(np.int32)  # node -> its first edge
-        self.log = Growing(np.float64)  # edge -> log of its probability at the node it leaves
-        self.upto = Growing(np.float32)  # the probability summed over the node's edges so far
-        self.to = Growing(np.int32)  # edge -> the node it enters, -1 at the word's end
-        self.code = Growing(np.int32)  # edge -> piece id, or MANY + number of a byte sequence
+        self.edges = Growing(np.int32, nodes)  # node -> its first edge
+        self.log = Growing(np.float64, edges)  # edge -> log of its probability at the node it leaves
+        self.upto = Growing(np.float32, edges)  # the probability summed over the node's edges so far
+        self.size = Growing(np.uint8, edges)  # edge -> how many nodes on the one it enters is, 0 at the word's end
+        self.code = Growing(np.int32, edges)  # edge -> piece id, or MANY + code point
+
+    def trim(self, most: int) -> None:
+        """Keep only the words used in most cuts (of these the latest), up to ``most`` edges."""
+        n = len(self.number)
+        node = np.append(self.first.data[:n], self.edges.n)
+        edge = np.append(self.edges.data[:self.edges.n], self.log.n)[node]
+        order = np.lexsort((-np.arange(n), -self.uses.data[:n]))
+        stay = np.zeros(n, bool)
+        stay[order[np.cumsum(np.diff(edge)[order]) <= most]] = True
+        self.number = {w: k for k, w in enumerate(compress(self.number, stay.tolist()))}
+        nodes, edges, ids = np.diff(node), np.diff(edge), np.diff(self.stop.data[:n + 1])
+        self.pieces.keep(np.repeat(stay, ids))
+        self.stop.n = 1
+        self.stop.extend(np.cumsum(ids[stay]))
+        self.edges.keep(np.repeat(stay, nodes))
+        self.edges.data[:self.edges.n] += np.repeat(np.cumsum(edges[stay]) - edges[stay] - edge[:-1][stay], nodes[stay]).astype(np.int32)
+        each = np.repeat(stay, edges)
+        for column in (self.log, self.upto, self.size, self.code):
+            column.keep(each)
+        for column in (self.uses, self.fits, self.first):
+            column.keep(stay)
+        self.first.data[:self.first.n] = np.cumsum(nodes[stay]) - nodes[stay]
+        self.uses.data[:self.uses.n] //= 2
 
     def _index(self) -> None:
         """Hashes of all beginnings of pieces, sorted, with the piece that each one is (or -1)."""
@@ -131,10 +166,15 @@ class Lattices:
         self.starts = hashes[order]
         if (self.starts[1:] == self.starts[:-1]).any():
             raise ValueError("hashes of piece beginnings collide")
-        self.start_piece = np.array(list(beginnings.values()), np.int64)[order]
+        # above all others, so that every search ends at a place
+        self.starts = np.append(self.starts, np.uint64(MASK))
+        self.start_piece = np.append(np.array(list(beginnings.values()), np.int64)[order], -1)
+        # first bits of a hash -> the first place that may hold it
+        self.bucket = np.searchsorted(self.starts, np.arange(1 << BUCKET_BITS).astype(np.uint64) << np.uint64(64 - BUCKET_BITS)).astype(np.int32)
         # code point -> place of the beginning that is this character alone, or -1
         self.alone = np.full(sys.maxunicode + 1, -1, np.int32)
         lone = [p for p in beginnings if len(p) == 1]
+        self.byte_id = np.array([self.byte[b] for b in range(256)])
         self.alone[[ord(p) for p in lone]] = np.searchsorted(self.starts, np.array([self._hash(p) for p in lone], np.uint64))
         self.weight = np.zeros(self.model.get_piece_size())
         for p, i in self.ids.items():
@@ -145,7 +185,7 @@ class Lattices:
         h = 0
         for c in text:
             h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) & MASK
-        return h
+        return h * int(SPREAD) & MASK
 
     def _edges(self, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(from, to, code, log weight) of all pieces found in words laid end to end, longer
@@ -160,8 +200,17 @@ class Lattices:
                 place = self.alone[points]
                 known = place >= 0
             else:
-                place = np.minimum(np.searchsorted(self.starts, h), len(self.starts) - 1)
-                known = self.starts[place] == h
+                with np.errstate(over="ignore"):
+                    spread = h * SPREAD
+                place = self.bucket[spread >> np.uint64(64 - BUCKET_BITS)]
+                there = self.starts[place]
+                known = there == spread
+                over = np.flatnonzero(there < spread)
+                while len(over):
+                    place[over] += 1
+                    there, want = self.starts[place[over]], spread[over]
+                    known[over] = there == want
+                    over = over[there < want]
             piece = np.where(known, self.start_piece[place], -1)
             hit = piece >= 0
             found.append((at[hit], at[hit] + size, piece[hit], self.weight[piece[hit]]))
@@ -172,14 +221,10 @@ class Lattices:
             if not len(at):
                 break
         spelt = np.flatnonzero(~single)
-        codes, logs = [], []
-        for p in points[spelt].tolist():
-            ids = tuple(self.byte[b] for b in chr(p).encode())
-            if len(ids) > 1:
-                self.many.append(ids)
-            codes.append(ids[0] if len(ids) == 1 else MANY + len(self.many) - 1)
-            logs.append(self.byte_log * len(ids))
-        found.append((spelt, spelt + 1, np.array(codes, np.int64), np.array(logs)))
+        codes = points[spelt].astype(np.int64)
+        logs = self.byte_log * _utf8_bytes(codes)
+        codes = np.where(codes < 0x80, self.byte_id[codes & 0x7F], MANY + codes)
+        found.append((spelt, spelt + 1, codes, logs))
         # edges of a node together, long pieces (mostly the likely ones) first
         src, dst, code, log = (np.concatenate(x) for x in zip(*found[::-1], strict=True))
         order = np.argsort(src.astype(np.uint16) if len(points) < 1 << 16 else src, kind="stable")  # 16 bits: radix sort
@@ -188,11 +233,12 @@ class Lattices:
     def learn(self, chunks: list[str]) -> None:
         """Build the lattices and encodings of new words, all at once."""
         self.number.update(zip(chunks, range(len(self.number), len(self.number) + len(chunks)), strict=True))
-        self._encode(chunks)
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         stops = np.cumsum(sizes)
         ends = np.repeat(stops, sizes)
         points = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4")
+        self._encode(chunks, points, stops - sizes)
+        self.uses.extend(np.zeros(len(chunks), np.int32))
         src, dst, code, log = self._edges(points, ends)
         # backward sums, all nodes at the same distance from their word's end together
         inner, distance = dst < ends[src], ends[src] - src
@@ -217,7 +263,7 @@ class Lattices:
         self.first.extend(nodes + stops - sizes)
         self.edges.extend(edges + begin)
         self.upto.extend(upto)
-        self.to.extend(np.where(inner, nodes + dst, -1))
+        self.size.extend(np.where(inner, dst - src, 0))
         self.code.extend(code)
         single = per_node[src] == 1
         with np.errstate(divide="ignore"):
@@ -227,26 +273,34 @@ class Lattices:
         """The node an edge leaves."""
         return int(np.searchsorted(self.edges.data[:self.edges.n], np.int32(edge), "right")) - 1
 
-    def _encode(self, chunks: list[str]) -> None:
-        """The model's encodings of new words, and whether they decode to the words."""
-        # the model would put a space before a word; behind a line end it does not
-        shown = "\n".join(chunks).replace(SPACE, " ").split("\n") if "\n" not in chunks else [c.replace(SPACE, " ") for c in chunks]
-        got = self.model.encode(["\n" + c for c in shown])
+    def _encode(self, chunks: list[str], points: np.ndarray, begin: np.ndarray) -> None:
+        """The model's encodings of new words (laid end to end as ``points``, each from its
+        ``begin`` on), and whether they decode to the words."""
+        # the model would put a space before a word; behind a line end it does not. No piece
+        # spans a line end, so words with one between them are encoded together
+        shown = [c.replace(SPACE, " ") for c in chunks] if "\n" in chunks else "\n".join(chunks).replace(SPACE, " ").split("\n")
+        got = self.model.encode(["\n" + "\n".join(shown[a:a + JOIN_WORDS]) for a in range(0, len(shown), JOIN_WORDS)] if "\n" not in chunks else ["\n" + c for c in shown], num_threads=1)
         lens = np.fromiter(map(len, got), np.int64, len(got))
         ids = np.fromiter(chain.from_iterable(got), np.int64, int(lens.sum()))
-        begin = np.cumsum(lens) - lens
         keep = np.ones(len(ids), bool)
-        keep[begin] = keep[begin + 1] = False  # the line end and the space before it
-        ids, lens = ids[keep], lens - 2
+        keep[np.cumsum(lens) - lens] = False  # the space before the first line end
+        ids = ids[keep]
+        if "\n" in chunks:
+            heads = np.cumsum(lens - 1) - (lens - 1)
+        else:
+            heads = np.flatnonzero(ids == self.byte[10])
+        lens = np.diff(np.append(heads, len(ids))) - 1
+        ids = np.delete(ids, heads)
         self.pieces.extend(ids)
         self.stop.extend(self.stop.data[self.stop.n - 1] + np.cumsum(lens))
         # equal bytes word by word: equal lengths, and equal when laid end to end
-        want = [c.encode() for c in shown]
+        want = np.add.reduceat(np.where(points == ord(SPACE), 1, _utf8_bytes(points)), begin)
         sizes = np.concatenate([[0], np.cumsum(self.width[ids])])
-        spelt = sizes[np.cumsum(lens)] - sizes[np.cumsum(lens) - lens]
-        fits = spelt == np.fromiter(map(len, want), np.int64, len(want))
-        if not fits.all() or b"".join(map(self.surface.__getitem__, ids.tolist())) != b"".join(want):
-            fits = [b"".join([self.surface[i] for i in x[2:]]) == w for x, w in zip(got, want, strict=True)]
+        stops = np.cumsum(lens)
+        fits = sizes[stops] - sizes[stops - lens] == want
+        if not fits.all() or b"".join(map(self.surface.__getitem__, ids.tolist())) != "".join(shown).encode():
+            each = np.split(ids, stops[:-1])
+            fits = [b"".join([self.surface[i] for i in x.tolist()]) == w.encode() for x, w in zip(each, shown, strict=True)]
         self.fits.extend(fits)
 
     def encoded(self, numbers: np.ndarray) -> np.ndarray:
@@ -272,16 +326,28 @@ class Lattices:
         flat = pc.cast(cuts.flatten(), pa.large_string()).dictionary_encode()
         index = flat.indices.to_numpy(zero_copy_only=False)
         distinct = strings(flat.dictionary, mark)
-        # the words of each distinct cut: most are one word, the empty one none
-        words = [(x,) if x else () for x in distinct]
-        for i in np.flatnonzero(pc.match_substring_regex(flat.dictionary, TWO_WORDS).to_numpy(zero_copy_only=False)).tolist():
-            words[i] = CHUNK.findall(distinct[i])
-        some = list(set(chain.from_iterable(words)).difference(self.number))
-        for a in range(0, len(some), LEARN_WORDS):  # a slice's working arrays take some 15 MB
+        # the words of each distinct cut: most are one word, the empty one none. ``words`` holds
+        # the first words of all cuts, then the further ones
+        two = np.flatnonzero(pc.match_substring_regex(flat.dictionary, TWO_WORDS).to_numpy(zero_copy_only=False))
+        split = [CHUNK.findall(distinct[i]) for i in two.tolist()]
+        each = (pc.binary_length(flat.dictionary).to_numpy(zero_copy_only=False) > 0).astype(np.int64)
+        each[two] = np.fromiter(map(len, split), np.int64, len(split))
+        words = distinct
+        for i, x in zip(two.tolist(), split, strict=True):
+            words[i] = x[0]
+        words = list(filter(None, words))
+        heads = len(words)
+        words.extend(chain.from_iterable([x[1:] for x in split]))
+        some = list(set(words).difference(self.number))
+        for a in range(0, len(some), LEARN_WORDS):  # a slice's working arrays take some 8 MB
             self.learn(some[a:a + LEARN_WORDS])
-        each = np.fromiter(map(len, words), np.int64, len(words))
-        known = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(each.sum()))
+        found = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        self.uses.data[found] += 1  # once a cut: a repeated index counts once
         first = np.cumsum(each) - each
+        known = np.empty(len(words), np.int64)
+        head = np.zeros(len(words), bool)
+        head[first[each > 0]] = True
+        known[head], known[~head] = found[:heads], found[heads:]
         sizes = each[index]
         upto = np.cumsum(sizes)
         out = known[np.repeat(first[index] - upto + sizes, sizes) + np.arange(int(sizes.sum()))]
@@ -290,7 +356,7 @@ class Lattices:
 
     def walk(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draw a path from each node to its word's end: (edges per path, all edges in order)."""
-        to, upto, start = self.to.data, self.upto.data, self.edges.data
+        size, upto, start = self.size.data, self.upto.data, self.edges.data
         counts = np.zeros(len(nodes), np.int64)
         active, at, steps = np.arange(len(nodes)), nodes, []
         while len(active):
@@ -302,8 +368,9 @@ class Lattices:
                 over = over[u[over] > upto[e[over]]]
             steps.append((active, e))
             counts[active] += 1
-            at = to[e]
-            on = at >= 0
+            on = size[e]
+            at = at + on
+            on = on > 0
             active, at = active[on], at[on]
         offset = np.concatenate([[0], np.cumsum(counts)])
         out = np.empty(offset[-1], np.int64)
@@ -314,7 +381,7 @@ class Lattices:
     def pack(self, edges: np.ndarray) -> bytes:
         codes = self.code.data[edges]
         if len(codes) and codes.max() >= MANY:
-            return np.array([i for c in codes.tolist() for i in (self.many[c - MANY] if c >= MANY else (c,))], "<u2").tobytes()
+            return np.array([i for c in codes.tolist() for i in ([self.byte[b] for b in chr(c - MANY).encode()] if c >= MANY else (c,))], "<u2").tobytes()
         return codes.astype("<u2").tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
@@ -410,7 +477,7 @@ def sample(lat: Lattices, numbers: list[np.ndarray], seeds: np.ndarray, k: int)
             u = float(_uniform(_key(seeds[d], j, -3 & MASK))) * float(weights.sum())
             pick = others[min(int(np.searchsorted(np.cumsum(weights), u)), len(others) - 1)]
             w = int(parent.words[t])
-            rest = int(lat.to.data[pick])
+            rest = node + int(lat.size.data[pick]) if lat.size.data[pick] else -1
             chosen.append(d)
             fronts.append((np.append(parent.edges[:t], pick), np.append(parent.words[:t], w)))
             starts.append(np.concatenate([[rest], heads[d][w + 1:]]) if rest >= 0 else heads[d][w + 1:])
@@ -480,12 +547,13 @@ def pieces(docs: DataFrame, model: str, k: int = 2, id_col: str = "doc_id", text
             sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
             for a, z in portions(sizes, CUT_BYTES):
                 if lat.log.n > CACHE_EDGES:
-                    lat.reset()
+                    lat.trim(CACHE_EDGES * 2 // 3)
                 numbers = lat.numbers(text[a:z])
                 for b, y in portions(sizes[a:z], GROUP_BYTES):
                     group = [t or "" for t in text[a + b:a + y].to_pylist()]
                     # handed on at once: a batch's samples outweigh its texts
                     yield pa.array(encode_group(lat, group, seeds[a + b:a + y], k, numbers[b:y]), _ROW)
+            text = key = numbers = group = None  # not held while the next batch is read
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     udf = F.arrow_udf(run, SAMPLED).asNondeterministic()

@@ -6,6 +6,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,36 @@ def test_words_are_not_learned_again_while_the_cache_has_room():
         assert (at >= 0) == (lat._hash(c) in set(lat.starts[[at]].tolist())) and (at < 0 or lat.start_piece[at] == lat.ids.get(c, -1))
         if at < 0:
             assert c not in lat.ids
+
+
+def test_a_full_cache_keeps_the_words_met_most(lattices):
+    """Half the words are met again and stay when the cache is trimmed, in place; encodings and
+    samples of kept, dropped and byte-spelt words are those of lattices that were never trimmed."""
+    lat = P.Lattices(tokenizer_file("piece_bpe_32k.model"))
+    texts = ["".join(f" often{i} \u4e16\U0001F600{i}," for i in range(300)), "".join(f" rarely{i}\n" for i in range(300))]
+    for text in (texts[0], texts[1], texts[0]):
+        lat.numbers(pa.array([text]))
+    arrays = [x.data for x in (lat.log, lat.upto, lat.size, lat.code)]
+    before, often = lat.log.n, [w for w in lat.number if "often" in w]
+    lat.trim(before * 2 // 3)
+    assert lat.log.n <= before * 2 // 3 and set(often) <= set(lat.number) and len(often) == 300
+    assert not all(f"{P.SPACE}rarely{i}" in lat.number for i in range(300))
+    seeds = np.arange(2).astype(np.uint64)
+    assert P.encode_group(lat, texts, seeds, 3) == P.encode_group(lattices, texts, seeds, 3)
+    assert all(x.data is y for x, y in zip((lat.log, lat.upto, lat.size, lat.code), arrays, strict=True))
+    lat.trim(0)
+    assert not lat.number and lat.log.n == lat.edges.n == lat.pieces.n == 0
+    assert P.encode_group(lat, texts, seeds, 3) == P.encode_group(lattices, texts, seeds, 3)
+
+
+def test_words_encoded_together_are_encoded_alone(lattices):
+    """Words joined by line ends get the ids and the fit that each has by itself."""
+    words = [f"{P.SPACE * (i % 3)}w{chr(0x4e00 + i)}{'ab' * (i % 5)}" for i in range(300)] + [P.SPACE * 2]
+    lat = P.Lattices(tokenizer_file("piece_bpe_32k.model"))
+    lat.learn(words)
+    for i, w in enumerate(words):
+        shown = w.replace(P.SPACE, " ")
+        assert lat.encoded(np.array([i])).tolist() == lat.model.encode("\n" + shown)[2:]
+        assert lat.fits.data[i] == (lat.model.decode(lat.model.encode("\n" + shown)) == "\n" + shown)
+    lat.learn(["\n"])
+    assert lat.encoded(np.array([len(words)])).tolist() == lat.model.encode("\n\n")[2:]
