@@ -68,7 +68,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the encoding's length and checksum, whether it decodes to the text, and two
     sampled segmentations with their inclusion scores."""
-    return piece_digest(pieces(docs.select("doc_id", "text"), tokenizer_file(PIECES)))
+    return piece_digest(pieces(docs.select("doc_id", "text"), tokenizer_file(PIECES), spare=True))
 
 
 STAGES = [

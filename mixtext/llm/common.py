@@ -120,15 +120,20 @@ def taken(shared):
 _HELD: dict[str, object] = {}
 
 
-def hand_back() -> None:
-    """Return freed memory to the system: Python's, Arrow's and the C allocator's."""
-    gc.collect()
+def release() -> None:
+    """Return freed memory to the system: Arrow's and the C allocator's."""
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         with contextlib.suppress(AttributeError, OSError):  # allocators other than glibc's have no malloc_trim
             ctypes.CDLL(None).malloc_trim(0)
 
 
+def hand_back() -> None:
+    """``release``, after Python has looked for what nothing refers to."""
+    gc.collect()
+    release()
+
+
 def per_worker(key: str, make):
     """``make()`` once per worker process and key. Workers outlive queries and stages, so a
     process holds one such object at a time: the next operator's takes its place, and what

@@ -94,7 +94,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         .groupBy("lang").agg(F.max("place").alias("cut")).collect()  # one row a language
     langs = sorted(r["lang"] for r in cuts)
     spark = docs.sparkSession
-    cut = spark.createDataFrame([(r["lang"], r["cut"]) for r in cuts], "lang string, cut int")
+    # from Arrow: rows given as a list would start a second set of Python workers on the executors
+    cut = spark.createDataFrame(pa.table({"lang": pa.array([r["lang"] for r in cuts], pa.string()), "cut": pa.array([r["cut"] for r in cuts], pa.int32())}))
     sample = known.withColumn("lang", F.col("lang").cast("string")).join(F.broadcast(cut), "lang").where("place <= cut")
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")) \
         .groupBy("lang", "word").agg(F.count("*").alias("n"))

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixtext.llm.common import Growing, per_worker, portions, strings
+from mixtext.llm.common import Growing, per_worker, portions, release, strings
 
 SPACE = "▁"
 LETTER, MARK = "[A-Za-z\u00c0-\u024f]", "[.,!?;:#*$%&|]"
@@ -50,6 +50,7 @@ SPREAD = np.uint64(0xD6E8FEB86659FD93)  # texts that differ in the last characte
 JOIN_WORDS = 64  # new words encoded as one text
 CUT_BYTES = 1_000_000  # of texts cut into words together
 GROUP_BYTES = 125_000  # of texts sampled together
+SPARE_EDGES, SPARE_CUT = 1_000_000, 250_000  # CACHE_EDGES and CUT_BYTES beside executors that earlier stages have filled
 RANK_OFFSET = 50.0  # a piece of rank r weighs 1 / (r + RANK_OFFSET)
 MANY = 1 << 16  # from here on an edge's code is MANY + a code point that is spelt in several byte pieces
 MASK = (1 << 64) - 1
@@ -89,9 +90,10 @@ def _utf8_bytes(points: np.ndarray) -> np.ndarray:
 class Lattices:
     """The model's pieces and the lattices of the words met so far."""
 
-    def __init__(self, path: str, temperature: float = 1.0):
+    def __init__(self, path: str, temperature: float = 1.0, cache: int = CACHE_EDGES):
         import sentencepiece
 
+        self.cache = cache
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         m = self.model
         self.byte = {int(m.id_to_piece(i)[3:5], 16): i for i in range(m.get_piece_size()) if m.is_byte(i)}
@@ -118,7 +120,7 @@ class Lattices:
     def reset(self) -> None:
         self.number: dict[str, int] = {}
         # room for a full cache and the words of one more cut; memory is only taken as it is filled
-        nodes, edges = CACHE_EDGES // 2, CACHE_EDGES * 3 // 2
+        nodes, edges = self.cache // 2, self.cache * 3 // 2
         self.uses = Growing(np.int32)  # in how many cuts of texts a word was met, halved by trim()
         self.pieces = Growing("<u2", nodes)  # encodings of the words, one after another
         self.stop = Growing(np.int32)  # where they end
@@ -530,7 +532,8 @@ def encode_group(lat: Lattices, texts: list[str], seeds: np.ndarray, k: int, num
     return out
 
 
-def pieces(docs: DataFrame, model: str, k: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, model: str, k: int = 2, id_col: str = "doc_id", text_col: str = "text",
+           spare: bool = False) -> DataFrame:
     """``docs`` plus ``pieces``: the encoding (ids packed as little-endian uint16), whether it
     decodes to the text, and up to ``k`` sampled segmentations.
 
@@ -538,17 +541,22 @@ def pieces(docs: DataFrame, model: str, k: int = 2, id_col: str = "doc_id", text
     with fewer than ``k`` segmentations gives them all, each with log_inclusion 0. Rows with
     the same id and text give the same samples; null ids share one key. A text that holds the
     space mark U+2581 itself decodes to spaces, so its round_trip is false. A column of
-    ``docs`` named ``pieces`` is replaced.
+    ``docs`` named ``pieces`` is replaced. ``spare``: workers hold less, for more time; the
+    rows are the same.
     """
+    cache, cut = (SPARE_EDGES, SPARE_CUT) if spare else (CACHE_EDGES, CUT_BYTES)
+
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for text, key in batches:
-            lat = per_worker(f"lattices:{model}", partial(Lattices, model))
+            lat = per_worker(f"lattices:{model}:{cache}", partial(Lattices, model, cache=cache))
             seeds = key.to_numpy(zero_copy_only=False).astype(np.uint64)
             sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
-            for a, z in portions(sizes, CUT_BYTES):
-                if lat.log.n > CACHE_EDGES:
-                    lat.trim(CACHE_EDGES * 2 // 3)
+            for a, z in portions(sizes, cut):
+                if lat.log.n > cache:
+                    lat.trim(cache * 2 // 3)
                 numbers = lat.numbers(text[a:z])
+                if spare:
+                    release()
                 for b, y in portions(sizes[a:z], GROUP_BYTES):
                     group = [t or "" for t in text[a + b:a + y].to_pylist()]
                     # handed on at once: a batch's samples outweigh its texts
@@ -563,7 +571,7 @@ def pieces(docs: DataFrame, model: str, k: int = 2, id_col: str = "doc_id", text
 def decoded(ids: Column, model: str) -> Column:
     """The text of packed piece ids; null stays null."""
     def run(column: pa.Array) -> pa.Array:
-        lat = per_worker(f"lattices:{model}", partial(Lattices, model))
+        lat = per_worker(f"lattices:{model}:{CACHE_EDGES}", partial(Lattices, model))
         return pa.array([None if x is None else lat.decode(np.frombuffer(x, "<u2")) for x in column.to_pylist()], pa.string())
 
     run.__annotations__ = {"column": pa.Array, "return": pa.Array}

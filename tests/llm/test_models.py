@@ -40,6 +40,17 @@ def test_language_held_out_accuracy_and_odd_rows(spark):
     assert language_id.language(odd.empty(spark), model).count() == 0
 
 
+def test_language_fit_starts_no_python_on_the_executors(spark, monkeypatch):
+    """The table of cuts is made by the driver alone; rows given as a list are read by Python workers."""
+    plans = []
+    whole = language_id.F.broadcast
+    monkeypatch.setattr(language_id.F, "broadcast", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or whole(df))
+    rows = [(i, f"word{i % 3} text", "en" if i % 2 else "de") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.fit(docs).langs == ["de", "en"]
+    assert len(plans) == 1 and "ExistingRDD" not in plans[0]
+
+
 def test_language_backs_off_to_the_longest_known_gram(spark):
     rows = [(i, t, x) for i, (t, x) in enumerate([("abcde abcde xyz", "a"), ("fghij fghij xyw", "b")] * 6)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))

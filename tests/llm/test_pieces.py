@@ -136,3 +136,24 @@ def test_words_encoded_together_are_encoded_alone(lattices):
         assert lat.fits.data[i] == (lat.model.decode(lat.model.encode("\n" + shown)) == "\n" + shown)
     lat.learn(["\n"])
     assert lat.encoded(np.array([len(words)])).tolist() == lat.model.encode("\n\n")[2:]
+
+
+def test_spare_workers_hold_less_and_give_the_same_rows(spark, monkeypatch):
+    """With ``spare`` (the pipeline's stage) the cache, its room and the texts cut together are
+    at most a third, and freed memory is handed back; the rows are those of the full cache, also
+    where every cut trims it."""
+    import corpus_pipeline
+
+    assert 3 * P.SPARE_EDGES <= P.CACHE_EDGES and 3 * P.SPARE_CUT <= P.CUT_BYTES
+    model = tokenizer_file("piece_bpe_32k.model")
+    lat = P.Lattices(model, cache=P.SPARE_EDGES)
+    assert all(len(x.data) <= 3 * P.SPARE_EDGES // 2 for x in (lat.log, lat.upto, lat.size, lat.code))
+    texts = [f"the word{i} and word{i % 7},\nagain {'abc' * (i % 5)} \u4e16{i}" for i in range(60)] + ["", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    want = sorted(map(str, P.pieces(docs, model).collect()))
+    monkeypatch.setattr(P, "SPARE_EDGES", 300)
+    monkeypatch.setattr(P, "SPARE_CUT", 200)
+    assert sorted(map(str, P.pieces(docs, model, spare=True).collect())) == want
+    seen = []
+    monkeypatch.setattr(corpus_pipeline, "pieces", lambda *a, **b: seen.append(b) or P.pieces(*a, **b))
+    assert corpus_pipeline.encode(spark, docs, "").count() == len(texts) and seen == [{"spare": True}]
