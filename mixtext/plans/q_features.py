@@ -145,6 +145,5 @@ def a4_encoded_term_counts(spark, sf_dir):
 
 @register("j3_tfidf_by_term_id", O.with_(DICT, "SELECT row_id, term_id, round(weight, 6) AS weight FROM tfidf JOIN dict USING (term)"))
 def j3_tfidf_by_term_id(spark, sf_dir):
-    train, tf, known = _train_dictionary(spark, sf_dir)
-    out = DI.tfidf(tf, known, train.count())
+    out = DI.tfidf_from_docs(D.train_rows(spark, sf_dir))
     return out.select("row_id", "term_id", r6(F.col("weight")).alias("weight"))
