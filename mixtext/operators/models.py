@@ -154,33 +154,37 @@ class TermFeatures:
     """M1's fitted feature stages over a dictionary (term, term_id, key, df): an entry of a row's
     vector is the term's count times ln((1 + n) / (1 + df)) + 1, divided by the row's L2 norm."""
 
-    def __init__(self, stages: PipelineModel, dictionary: DataFrame, n_docs: int):
+    def __init__(self, stages: PipelineModel, parts: DI.Parts, n_docs: int, text_col: str = "text"):
         self.stages = stages
-        self.dictionary = dictionary
+        self.parts = parts
+        self.dictionary = parts.table()
         self.n_docs = n_docs
-        self.size = dictionary.count()
-        self.on = DI.join_columns(dictionary)
+        self.text_col = text_col
+        self.size = parts.size
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` plus ``features``, sparse vectors by term id. Terms not seen in training drop out
         before the norm; a row without known terms gets an empty vector. Rows get a written key,
-        so equal rows stay apart."""
+        so equal rows stay apart; a row's vector is made where its text is."""
+        size, n_docs, names = self.size, self.n_docs, df.columns
         held = materialize(df.withColumn("__k", F.monotonically_increasing_id()), "feature-rows")
-        dealt = held.repartition(FE.pair_tasks(held), "__k")  # a row's terms are counted where its text is
-        counts = self.stages.transform(dealt).select("__k", F.explode("_terms").alias("term")) \
-            .groupBy("__k", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("key", DI.term_key(F.col("term")))
-        idf = F.log((F.lit(1.0) + F.lit(int(self.n_docs))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-        entry = F.struct(F.col("term_id").cast("int").alias("i"), (F.col("tf") * idf).alias("w"))
-        # dealt by row before they are gathered: a row's entries are one array in one place
-        # the norm is an aggregate: as an expression it would be worked out for every entry
-        rows = DI.encode(counts, self.dictionary, "__k", self.on).select("__k", entry.alias("e")).repartition("__k") \
-            .groupBy("__k").agg(F.sort_array(F.collect_list("e")).alias("e"), F.sqrt(F.sum(F.col("e.w") * F.col("e.w"))).alias("n"))
-        vectors = rows.select("__k", F.col("e.i").alias("i"), F.transform("e", lambda x: x["w"] / F.col("n")).alias("v"))
-        parts = [F.lit(0).cast("tinyint").alias("type"), F.lit(self.size).alias("size"),
-                 F.coalesce("i", F.array().cast("array<int>")).alias("indices"), F.coalesce("v", F.array().cast("array<double>")).alias("values")]
-        out = materialize(held.join(vectors, "__k", "left").select(*df.columns, F.struct(*parts).alias("features")), "features")
-        # the written struct is a vector's stored form
-        return df.sparkSession.read.schema(StructType([*df.schema.fields, StructField("features", VectorUDT())])).parquet(*out.inputFiles())
+        blocks = BL.Blocks(held, "__k", self.text_col, self.stages.transform, BL.by_bucket, self.parts.count, carry=tuple(names))
+
+        def give(b, block, answer):
+            told, df = BL.told(block, answer, 2)
+            hit = told[block.codes] > 0
+            rows, codes, n = block.rows[hit], block.codes[hit], len(block.ids)
+            ids, w = told[codes] - 1, block.counts[hit] * BL.smoothed(df[codes], n_docs)
+            w /= np.sqrt(np.bincount(rows, w * w, n))[rows]
+            order = np.argsort(rows * size + ids)
+            stops = pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).astype(np.int32))
+            parts = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)),
+                     pa.ListArray.from_arrays(stops, pa.array(ids[order].astype(np.int32))), pa.ListArray.from_arrays(stops, pa.array(w[order]))]
+            vectors = pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])  # a vector's stored form
+            yield pa.RecordBatch.from_arrays([*block.carried, vectors], names=[*names, "features"])
+
+        schema = StructType([*df.schema.fields, StructField("features", VectorUDT())])
+        return blocks.map(give, schema, self.parts.look_up(blocks))
 
 
 class TfidfModel:
@@ -215,8 +219,8 @@ class TfidfModel:
         """M1's feature stages fitted on ``train``: text -> L2-normalised smoothed TF-IDF ``features``.
         No term is left out; the vocabulary is a written dictionary, never on the driver."""
         stages = cls.term_stages(text_col)
-        met = stages.transform(train).select(F.explode(F.array_distinct("_terms")).alias("term"))
-        return TermFeatures(stages, materialize(DI.build(met), "feature-terms"), train.count())
+        rows = train.withColumn("__k", F.monotonically_increasing_id())  # equal rows count each
+        return TermFeatures(stages, DI.Parts(BL.Blocks(rows, "__k", text_col, stages.transform, BL.by_bucket), links=False), train.count(), text_col)
 
     @staticmethod
     def _numbered(weighted: DataFrame, text_col: str, label: str, classes: list[str]) -> tuple[DataFrame, TF.RowTable, int]:

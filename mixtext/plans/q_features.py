@@ -96,7 +96,7 @@ def x4_l2_normalize(spark, sf_dir):
 def m1_tfidf_pipeline_features(spark, sf_dir):
     """M1's feature stages (Spark ML tokenizer and 2-grams, counts over a distributed vocabulary,
     smoothed IDF, L2) fitted on the training split; each row's vector must equal the relational TF-IDF."""
-    train = D.train_rows(spark, sf_dir)
+    train = D.train_rows(spark, sf_dir).select("row_id", "text")  # all columns would come along
     vec = M.TfidfModel.fit_features(train).transform(train).select("row_id", F.unwrap_udt("features").alias("f"))
     vec = vec.select("row_id", F.filter("f.values", lambda x: x != 0).alias("v"))
     return vec.select("row_id", F.size("v").cast("long").alias("n_terms"), r6(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("sum_weight"),
